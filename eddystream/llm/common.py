@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eddystream.session import ship
+
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_FALLBACK = "/tmp/checkpoints/eddystream"
 
@@ -31,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of texts small enough for a worker's memory."""
+    """Keeps Arrow batches of texts small enough for a worker's memory, and sends this package to the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

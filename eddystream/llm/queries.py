@@ -10,6 +10,7 @@ _ALL = (
     ("op2_best_fit_packing", "packing", None),
     ("op3_warc_archive", "warc", None),
     ("op4_chat_perspectives", "chat", "OP4_SQL"),
+    ("op5_quality_classifier", "quality", None),
     ("op6_mix_sources", "mixing", "OP6_SQL"),
 )
 
