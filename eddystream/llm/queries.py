@@ -12,6 +12,7 @@ _ALL = (
     ("op4_chat_perspectives", "chat", "OP4_SQL"),
     ("op5_quality_classifier", "quality", None),
     ("op6_mix_sources", "mixing", "OP6_SQL"),
+    ("op7_suffix_dedup", "suffix_dedup", None),
     ("op10_ngram_join", "ngram_join", None),
 )
 
