@@ -1,7 +1,7 @@
 """A content-addressed WARC archive.
 
-Payload bytes are stored once under a strong digest (SHA-256 with the length),
-and verified against it whenever they are read; the exact bytes of every
+Payload bytes are stored once, deflated, under a strong digest (SHA-256 with the
+length), and verified against it whenever they are read; the exact bytes of every
 record's head (WARC head and the block's own head) are stored apart. Original
 records come back by joining both on the digest.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,6 +67,18 @@ def digests(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "url", "payload", F.sha2("payload", 256).alias("sha256"), F.length("payload").cast("long").alias("n_bytes"))
 
 
+def deflated(rows: DataFrame) -> DataFrame:
+    """``rows`` (sha256, page_id, n_bytes, payload) with the payload deflated, and its base32 SHA-1 from the very bytes that go in."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = b.column("payload").to_pylist()
+            sums, small = pa.array([b32_sha1(x) for x in data], pa.string()), pa.array([zlib.compress(x, 6) for x in data], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("sha256", "page_id", "n_bytes")), sums, small], ["sha256", "page_id", "n_bytes", "sha1", "deflated"])
+
+    return rows.mapInArrow(pack, "sha256 string, page_id long, n_bytes long, sha1 string, deflated binary")
+
+
 def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Writes ``path``/payloads and ``path``/heads for ``pages`` (page_id, url, html).
 
@@ -80,18 +93,13 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     rows = digests(pages)
     # one row a payload: the partial maximum makes a payload with many copies cheap
     first = rows.groupBy("sha256").agg(F.max("page_id").alias("first"))
-    store = rows.select("sha256", "n_bytes", "payload", "page_id").join(
+    # deflated before they are shuffled: what moves and what is stored is the small form
+    store = deflated(rows.select("sha256", "page_id", "n_bytes", "payload")).join(
         first.select(F.col("sha256").alias("s"), "first"), (F.col("sha256") == F.col("s")) & F.col("page_id").eqNullSafe(F.col("first"))
     )
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the base32 SHA-1, computed from the very bytes that are stored."""
-        for b in batches:
-            sums = pa.array([b32_sha1(x) for x in b.column("payload").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("sha256"), b.column("n_bytes"), sums, b.column("payload")], ["sha256", "n_bytes", "sha1", "payload"])
-
-    store = store.dropDuplicates(["sha256", "page_id"]).select("sha256", "n_bytes", "payload")
-    store.mapInArrow(once, "sha256 string, n_bytes long, sha1 string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
+    store = store.dropDuplicates(["sha256", "page_id"]).select("sha256", "n_bytes", "sha1", "deflated")
+    store.write.mode("overwrite").parquet(f"{path}/payloads")
     kept = spark.read.parquet(f"{path}/payloads").select("sha256", "sha1")
 
     slim = rows.select("page_id", "url", "sha256", "n_bytes").join(first, "sha256").join(kept, "sha256")
@@ -107,18 +115,21 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """The payload store, one row a digest, every payload checked against its digests."""
+    """(sha256, n_bytes, sha1, payload): one row a digest, every payload inflated and checked against its digests."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for sha256, sha1, n, data in zip(*(b.column(c).to_pylist() for c in ("sha256", "sha1", "n_bytes", "payload")), strict=True):
+            out = []
+            for sha256, n, sha1, small in zip(*(b.column(c).to_pylist() for c in ("sha256", "n_bytes", "sha1", "deflated")), strict=True):
+                data = zlib.decompress(small)
                 if len(data) != n or hashlib.sha256(data).hexdigest() != sha256 or b32_sha1(data) != sha1:
                     raise ValueError(f"payload {sha256} is damaged")
-            yield b
+                out.append(data)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["sha256", "n_bytes", "sha1", "payload"])
 
     small_batches(spark)
-    stored = spark.read.parquet(f"{path}/payloads")
-    return stored.mapInArrow(check, stored.schema)
+    kept = spark.read.parquet(f"{path}/payloads").select("sha256", "n_bytes", "sha1", "deflated")
+    return kept.mapInArrow(check, "sha256 string, n_bytes long, sha1 string, payload binary")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
