@@ -17,6 +17,8 @@ from eddystream.llm.common import plain, stored
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 WORDS = r"[^\x20\x09-\x0D]+"
+#: As many sources at most are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 #: Hex digits of a document's hash that make a coarse bucket, then a fine one within it.
 COARSE, FINE = 3, 6
 
@@ -81,6 +83,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     goal = stored(goal.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))), "mix-targets")
     keyed = base.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
     rest = goal.select("key", "rest")
+    few = goal.count() <= BROADCAST_SOURCES
 
     def ends(parts: DataFrame, by: str) -> DataFrame:
         """Each source's bucket in which its running sum passes the budget, with the sums before and in it."""
@@ -90,11 +93,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
 
     coarse = keyed.groupBy("key", "coarse").agg(F.sum("size").alias("n")).withColumn("start", F.lit(0).cast("long"))
     edge = ends(coarse, "coarse").select("key", F.col("at.coarse").alias("coarse"), F.col("at.before").alias("start"))
+    # by both columns: a source may hold any share of the rows
+    edge = F.broadcast(edge) if few else edge.repartition("key", "coarse")
     finer = keyed.join(edge, ["key", "coarse"]).groupBy("key", "start", "fine").agg(F.sum("size").alias("n"))
     cut = ends(finer, "fine").join(rest, "key")
     # the fine bucket in which the budget ends is taken if that comes nearer to the budget
     cut = cut.select("key", (F.col("at.fine") + F.when(2 * (F.col("rest") - F.col("at.before")) > F.col("at.n"), 1).otherwise(0)).alias("cut"))
     goal = goal.join(cut, "key", "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    goal = F.broadcast(goal) if few else goal
     taken = F.col("size") * (F.col("full") + F.when(F.col("fine") < F.col("cut"), 1).otherwise(0))
     return keyed.drop("source").join(goal, "key").select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
