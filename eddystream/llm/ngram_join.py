@@ -5,12 +5,13 @@ Linking is the same as reaching an overlap: sets of sizes a and b with
 
 1. Each document becomes its set of distinct shingles (64-bit hashes); documents
    with equal sets are one class, of which one document stands for all.
-2. Prefix filter: two linking sets share a shingle among the first
-   ``a - least overlap + 1`` of each in any fixed order of all shingles. The
+2. Prefix filter: two linking sets share at least m shingles among the first
+   ``a - least overlap + m`` of each in any fixed order of all shingles. The
    order puts shingles last that many sets hold (a bounded list of the most
-   frequent; any list gives the same result), then goes by hash. Sets that meet
-   at such a shingle are chained in order of their size, which keeps one edge a
-   set however many meet.
+   frequent; any list gives the same result), then goes by hash. Sets of whose
+   prefix fewer than m shingles are anybody else's drop out. The others that
+   meet at a shingle are chained in order of their size, which keeps one edge
+   a set however many meet.
 3. The components of the chains are groups in which all links lie. A group's
    sets meet in one task, or, if the group is large, block by block in several:
    there every set searches the inverted lists of its shingles for sets that
@@ -40,6 +41,10 @@ from eddystream.llm.components import components
 FREQUENT = 300_000
 #: A task names a shingle frequent if so many of its own sets hold it.
 LOCAL_FREQUENT = 2
+#: Hundredths of a set's shingles that a partner must share of its prefix, which is longer by as many.
+MORE = 8
+#: As many sets at most are sought in the documents by a broadcast; more by a shuffle.
+BROADCAST_SETS = 500_000
 #: Shingles of all sets that meet in one task; larger groups meet block by block.
 TASK_SHINGLES = 1_000_000
 
@@ -53,6 +58,10 @@ def fits(a: int, b: int, num: int, den: int) -> bool:
     return den * min(a, b) >= num * max(a, b)
 
 
+def shared_prefix(n: int) -> int:
+    return max(1, n * MORE // 100)
+
+
 # ---- sets of documents -------------------------------------------------------
 
 
@@ -138,7 +147,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int)
                     continue
                 done.add(key)
                 n = len(s)
-                p = n + (-num * n // den) + 1
+                p = n + (-num * n // den) + shared_prefix(n)
                 if len(rare):
                     at = np.searchsorted(rare, s)
                     late = rare[np.minimum(at, len(rare) - 1)] == s
@@ -295,7 +304,8 @@ def group_links(docs: DataFrame, chosen: DataFrame, k: int, num: int, den: int,
     small = sized.where("not large").select("doc_id", "key", "grp", F.lit("").alias("task"))
     big = sized.where("large").select("doc_id", "key", "grp", "block").join(met, ["grp", "block"]).select("doc_id", "key", "grp", "task")
     where = small.union(big).groupBy("doc_id").agg(F.collect_list(F.struct("key", "grp", "task")).alias("tasks"))
-    texts = docs.join(where, "doc_id").select("text", "tasks")
+    where = stored(where, "sought")
+    texts = docs.join(F.broadcast(where) if where.count() <= BROADCAST_SETS else where, "doc_id").select("text", "tasks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -335,8 +345,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     posts = postings(docs, frequent_shingles(docs, k), k, num, den)
     sizes = base.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
     # in order of size, sets that can link with one another are not parted by one that neither can link with
+    shared = stored(posts.withColumn("k", F.count("*").over(Window.partitionBy("s"))).where("k > 1").drop("k"), "postings")
+    for _ in range(2):  # a set that drops out can leave others alone with a shingle
+        need = F.greatest(F.lit(1), F.floor(F.col("n") * MORE / 100))
+        live = shared.groupBy("key", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need).select("key")
+        left = shared.join(live, "key").withColumn("k", F.count("*").over(Window.partitionBy("s"))).where("k > 1").select("s", "n", "key")
+        left = stored(left, "postings")
+        dropped(shared)
+        shared = left
     meeting = Window.partitionBy("s").orderBy("n", "key")
-    chained = posts.withColumn("before", F.lag(F.struct("n", "key")).over(meeting)).where(f"before.key <> key and {den} * before.n >= {num} * n")
+    chained = shared.withColumn("before", F.lag(F.struct("n", "key")).over(meeting)).where(f"before.key <> key and {den} * before.n >= {num} * n")
     chained = chained.select(F.col("before.key").alias("before"), "key").distinct()
     near = components(chained, "chains")
     chosen = stored(near.join(sizes, near["node"] == sizes["key"]).select("doc_id", "key", "n", F.col("component").alias("grp")), "chosen")
