@@ -13,6 +13,7 @@ _ALL = (
     ("op5_quality_classifier", "quality", None),
     ("op6_mix_sources", "mixing", "OP6_SQL"),
     ("op7_suffix_dedup", "suffix_dedup", None),
+    ("op8_stable_projections", "stable_knn", None),
     ("op9_cap_filters", "cap_filters", None),
     ("op10_ngram_join", "ngram_join", None),
 )
