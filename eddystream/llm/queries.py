@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 #: query, module, name of its SQL there.
 _ALL = (
+    ("op1_link_graph", "link_graph", "OP1_SQL"),
     ("op2_best_fit_packing", "packing", None),
     ("op3_warc_archive", "warc", None),
     ("op4_chat_perspectives", "chat", "OP4_SQL"),
