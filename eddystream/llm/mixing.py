@@ -62,47 +62,77 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return level.select("source", "source_size", F.least("cap", F.col("found.level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source).
+def _key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
-    ``taken`` is the document's words times how often the mix takes it: every
-    document as often as the target holds its source whole, and those below
-    the source's hash threshold once more. The threshold is the bucket bound
-    nearest to the budget. Rows with one id (or, without an id, one text) share
-    a hash, and so a fate. Null text has size 0; a null source is a source;
-    an empty table gives no rows.
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key of its source, its size, and its coarse and fine bucket."""
+    return (
+        docs.withColumn("_digest", hex_of(F.col("doc_id"), F.col("text"))).withColumn("_key", _key(F.col("source")))
+        .withColumn("_size", n_words(F.col("text")))
+        .withColumn("_coarse", bucket(F.col("_digest"), COARSE)).withColumn("_fine", bucket(F.col("_digest"), FINE)).drop("_digest")
+    )
+
+
+def budgets(base: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """(_key, source_size, target, full, cut) of each source of ``base`` (source and the columns of :func:`_hashed`).
+
+    A document is taken ``full`` times, and once more if its fine bucket is below ``cut``.
     """
-    base = plain(docs, "doc_id", "text", "source")
-    base = stored(base.select("doc_id", "source", n_words(F.col("text")).alias("size"), hex_of(F.col("doc_id"), F.col("text")).alias("digest")), "mix-sizes")
-    base = base.withColumn("coarse", bucket(F.col("digest"), COARSE)).withColumn("fine", bucket(F.col("digest"), FINE))
-    goal = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    goal = targets(base.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, most)
     goal = (
         goal.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
+        .withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")).withColumn("_key", _key(F.col("source"))).drop("source")
     )
-    goal = stored(goal.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))), "mix-targets")
-    keyed = base.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-    rest = goal.select("key", "rest")
-    few = goal.count() <= BROADCAST_SOURCES
+    goal = stored(goal, "mix-targets")
+    rest = goal.select("_key", "rest")
 
     def ends(parts: DataFrame, by: str) -> DataFrame:
         """Each source's bucket in which its running sum passes the budget, with the sums before and in it."""
-        upto = Window.partitionBy("key").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        upto = Window.partitionBy("_key").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
         run = parts.withColumn("before", F.col("start") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
-        return run.join(rest, "key").where("before <= rest and before + n > rest").groupBy("key").agg(F.min(F.struct(by, "before", "n")).alias("at"))
+        return run.join(rest, "_key").where("before <= rest and before + n > rest").groupBy("_key").agg(F.min(F.struct(by, "before", "n")).alias("at"))
 
-    coarse = keyed.groupBy("key", "coarse").agg(F.sum("size").alias("n")).withColumn("start", F.lit(0).cast("long"))
-    edge = ends(coarse, "coarse").select("key", F.col("at.coarse").alias("coarse"), F.col("at.before").alias("start"))
+    coarse = base.groupBy("_key", "_coarse").agg(F.sum("_size").alias("n")).withColumn("start", F.lit(0).cast("long"))
+    edge = ends(coarse, "_coarse").select("_key", F.col("at._coarse").alias("_coarse"), F.col("at.before").alias("start"))
     # by both columns: a source may hold any share of the rows
-    edge = F.broadcast(edge) if few else edge.repartition("key", "coarse")
-    finer = keyed.join(edge, ["key", "coarse"]).groupBy("key", "start", "fine").agg(F.sum("size").alias("n"))
-    cut = ends(finer, "fine").join(rest, "key")
+    edge = F.broadcast(edge) if goal.count() <= BROADCAST_SOURCES else edge.repartition("_key", "_coarse")
+    finer = base.join(edge, ["_key", "_coarse"]).groupBy("_key", "start", "_fine").agg(F.sum("_size").alias("n"))
+    cut = ends(finer, "_fine").join(rest, "_key")
     # the fine bucket in which the budget ends is taken if that comes nearer to the budget
-    cut = cut.select("key", (F.col("at.fine") + F.when(2 * (F.col("rest") - F.col("at.before")) > F.col("at.n"), 1).otherwise(0)).alias("cut"))
-    goal = goal.join(cut, "key", "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
-    goal = F.broadcast(goal) if few else goal
-    taken = F.col("size") * (F.col("full") + F.when(F.col("fine") < F.col("cut"), 1).otherwise(0))
-    return keyed.drop("source").join(goal, "key").select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    cut = cut.select("_key", (F.col("at._fine") + F.when(2 * (F.col("rest") - F.col("at.before")) > F.col("at.n"), 1).otherwise(0)).alias("cut"))
+    return stored(goal.drop("rest").join(cut, "_key", "left").withColumn("cut", F.coalesce("cut", F.lit(0))), "mix-budgets")
+
+
+def apply(base: DataFrame, goal: DataFrame) -> DataFrame:
+    """``base`` with size, source_size, target, and times: how often the mix takes each row."""
+    goal = F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal
+    times = F.col("full") + F.when(F.col("_fine") < F.col("cut"), 1).otherwise(0)
+    out = base.join(goal, "_key").withColumn("times", times).withColumnRenamed("_size", "size")
+    return out.drop("_key", "_coarse", "_fine", "full", "cut")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source).
+
+    ``taken`` is the document's words times how often the mix takes it: every
+    document as often as the target holds its source whole, and those below
+    the source's hash threshold once more. The threshold is the bucket bound
+    nearest to the budget. Rows with one id (or, without an id, one text) share
+    a hash, and so a fate. Null text has size 0; a null source is a source;
+    an empty table gives no rows.
+    """
+    base = stored(_hashed(plain(docs, "doc_id", "text", "source")).drop("text"), "mix-sizes")
+    out = apply(base, budgets(base, weights, most))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it takes it, with all their columns."""
+    base = stored(_hashed(plain(docs, "doc_id", "text", "source")).drop("text", "doc_id"), "mix-sizes")
+    out = apply(_hashed(docs), budgets(base, weights, most))
+    return out.where("times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
