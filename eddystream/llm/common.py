@@ -7,6 +7,7 @@ from the session; a folder of our own is used only where it is unset.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,10 +54,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes a table made by :func:`stored` that nothing reads any more."""
+    """Deletes a table made by :func:`stored` that nothing reads any more, and the shuffle files of plans that are gone."""
     path = getattr(df, "_eddystream_path", None)
     if path:
         jvm = df.sparkSession.sparkContext._jvm
+        gc.collect()
+        jvm.System.gc()  # Spark's cleaner removes what no live plan refers to
         target = jvm.org.apache.hadoop.fs.Path(path)
         conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         target.getFileSystem(conf).delete(target, True)

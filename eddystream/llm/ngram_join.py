@@ -45,6 +45,8 @@ LOCAL_FREQUENT = 2
 MORE = 8
 #: As many sets at most are sought in the documents by a broadcast; more by a shuffle.
 BROADCAST_SETS = 500_000
+#: Ids of short lists that a heap merges; more are merged by counting them in bulk.
+HEAP_IDS = 500
 #: Shingles of all sets that meet in one task; larger groups meet block by block.
 TASK_SHINGLES = 1_000_000
 
@@ -165,24 +167,28 @@ def postings(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int)
 # ---- search in one task ------------------------------------------------------
 
 
-def divide_skip(lists: list[list[int]], want: int, ratio: float = 0.01) -> list[int]:
-    """Ids that are in at least ``want`` of the sorted ``lists``.
+def divide_skip(lists: list, want: int, ratio: float = 0.01) -> tuple[list[int], list[int]]:
+    """Ids that are in at least ``want`` of the sorted ``lists``, and in how many.
 
     The longest lists are set aside; the short ones are merged by a heap, and
     an id that they hold often enough is probed for in the long ones by binary
     search. While too few short lists could reach the count, the heap's smallest
     are popped and skip ahead to the next possible id.
     """
-    lists = sorted((x for x in lists if x), key=len)
+    lists = sorted((x for x in lists if len(x)), key=len)
     if len(lists) < want:
-        return []
+        return [], []
     longest = len(lists[-1])
     n_long = min(want - 1, int(want / (ratio * np.log2(longest + 1) + 1)))
     while n_long and len(lists[len(lists) - n_long]) <= 1:  # lists of one id are never worth a probe
         n_long -= 1
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
     need = want - n_long
+    if sum(map(len, short)) > HEAP_IDS:
+        return _divide_skip_vectorised([np.asarray(x) for x in short], [np.asarray(x) for x in long], want)
     found: list[int] = []
+    counts: list[int] = []
+    short, long = [list(x) for x in short], [list(x) for x in long]
     heap = [(x[0], i, 0) for i, x in enumerate(short)]
     heapq.heapify(heap)
     while len(heap) >= need:
@@ -193,12 +199,13 @@ def divide_skip(lists: list[list[int]], want: int, ratio: float = 0.01) -> list[
         if len(popped) >= need:
             have = len(popped)
             for j, x in enumerate(long):
-                if have + len(long) - j < want or have >= want:
+                if have + len(long) - j < want:
                     break
                 i = bisect_left(x, at)
                 have += i < len(x) and x[i] == at
             if have >= want:
                 found.append(at)
+                counts.append(have)
             target = at + 1
         else:  # need-1 lists are out of the way: nothing below the next head can be found
             while heap and len(popped) < need - 1:
@@ -210,7 +217,34 @@ def divide_skip(lists: list[list[int]], want: int, ratio: float = 0.01) -> list[
             j = bisect_left(short[i], target, j)
             if j < len(short[i]):
                 heapq.heappush(heap, (short[i][j], i, j))
-    return found
+    return found, counts
+
+
+def _divide_skip_vectorised(short: list, long: list, want: int) -> tuple[list[int], list[int]]:
+    """The same for many ids: lists are merged by counting them in bulk, candidates are probed for all at once.
+
+    Long lists are probed once that costs less than to merge them, as it does when few candidates are left.
+    """
+    merged = np.concatenate(short)
+    times = np.bincount(merged)
+    while True:
+        ids = np.flatnonzero(times >= want - len(long))
+        if not len(long) or len(ids) * np.log2(len(long[0]) + 2) * 4 < len(long[0]):
+            break
+        some, long = long[:16], long[16:]
+        more = np.bincount(np.concatenate(some), minlength=len(times))
+        more[: len(times)] += times
+        times = more
+    have = times[ids]
+    for j, x in enumerate(long):
+        at = np.minimum(np.searchsorted(x, ids), len(x) - 1)
+        have = have + (x[at] == ids)
+        alive = have + len(long) - 1 - j >= want
+        if not alive.all():
+            ids, have = ids[alive], have[alive]
+        if not len(ids):
+            break
+    return ids.tolist(), have.tolist()
 
 
 class Forest:
@@ -244,7 +278,8 @@ def links_of(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]
         a, b = len(sets[i]), len(sets[j])
         if not fits(a, b, num, den):
             return False
-        return int(np.isin(sets[i], sets[j], assume_unique=True).sum()) >= least_overlap(a, b, num, den)
+        at = np.minimum(np.searchsorted(sets[j], sets[i]), b - 1)
+        return int((sets[j][at] == sets[i]).sum()) >= least_overlap(a, b, num, den)
 
     heads: list[int] = []
     for i in range(n):
@@ -274,11 +309,11 @@ def links_of(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]
         for t in place[bounds[i] : bounds[i + 1]].tolist():
             if ends[t + 1] - ends[t] > 1:
                 if t not in inverted:
-                    inverted[t] = ids[ends[t] : ends[t + 1]].tolist()
+                    inverted[t] = ids[ends[t] : ends[t + 1]]
                 lists.append(inverted[t])
-        for j in divide_skip(lists, low):
-            if j != i and forest.root(j) != forest.root(i) and linked(i, j):
-                forest.join(i, j)
+        a = len(sets[i])
+        for j, overlap in zip(*divide_skip(lists, low), strict=True):
+            if den * overlap >= num * (a + len(sets[j]) - overlap) and j != i and forest.join(i, j):
                 found.append((i, j))
     return found
 
@@ -374,6 +409,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     return base.join(joined, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
 
 
+def distinct_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the one with the smallest id stays, and all rows without an id."""
+    groups = stored(near_duplicates(docs, k, num, den), "groups")
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_SETS else gone
+    left = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twice.limit(1).count():
+        return left
+    # ids that repeat: one row each, the least of those rows
+    once = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("r")).select("r.*")
+    return left.join(twice, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(once)
+
+
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Four-word shingles, similarity 0.85, as its contract has it."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, num=85, den=100)
