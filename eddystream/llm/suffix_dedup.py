@@ -15,8 +15,10 @@ smallest hash among its ``seed``-byte windows. Only such places, the anchors
    branch and compare in full once.
 3. A string that starts d bytes before its anchor repeats if another anchor
    shares d bytes before and ``length - d`` after, that is, if both lie in one
-   run of both arrays. Seeds with very many surroundings, which one task should
-   not sort, count the hashes of their strings instead, in a shuffle.
+   run of both arrays. A seed with very many surroundings is parted by what
+   strings through it must share besides the seed: either the nearer half of
+   what precedes it or most of what follows. Parts that are still too large for
+   a task count the hashes of their strings instead, in a shuffle.
 4. Covered bytes are joined to the documents and cut out.
 """
 
@@ -36,9 +38,9 @@ from eddystream.llm.common import dropped, small_batches, stored
 LENGTH = 200
 #: Bytes that the multikey quicksort looks at, in steps of a word, before blind tries take over.
 SHALLOW, WORD = 32, 8
-#: A seed with more different surroundings is counted by string hashes instead of being sorted in a task.
-HOT = 20_000
-#: Surroundings that a task sorts at once.
+#: A seed, or a part of one, with more different surroundings isn't sorted in one task.
+HOT = 50_000
+#: Surroundings that a task sorts at once, whole groups.
 AT_ONCE = 20_000
 NO_ID = -(1 << 63)
 #: A text of more bytes is cut into overlapping stretches when anchors are sought, to bound memory.
@@ -46,8 +48,8 @@ STRETCH = 4 << 20
 
 
 def seed_of(length: int) -> int:
-    """Bytes of a seed: a power of two, about a sixth of ``length``."""
-    return 1 << max(0, (length // 6).bit_length() - 1)
+    """Bytes of a seed: the largest power of two up to a third of ``length``."""
+    return 1 << max(0, (length // 3).bit_length() - 1)
 
 
 # ---- anchors -----------------------------------------------------------------
@@ -326,17 +328,45 @@ def _tables(b: pa.Table, length: int, seed: int) -> tuple:
     return b.column("h").to_numpy(), before.reshape(n, reach), after.reshape(n, reach), nb, na, b.column("twice").to_numpy(zero_copy_only=False)
 
 
+AROUND = "g long, h long, c long, twice boolean, nb int, na int, around binary"
+
+
+def halves(around: DataFrame, length: int) -> DataFrame:
+    """Each row of ``around`` once for the strings that start at least half the reach before the anchor, once for the others.
+
+    ``g`` is what such strings must share: the seed with the half before it, or with all that the shortest of them has after it.
+    """
+    half = (length - seed_of(length)) // 2
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for h, c, twice, nb, na, text in zip(*(b.column(x).to_pylist() for x in ("h", "c", "twice", "nb", "na", "around")), strict=True):
+                if nb >= half:
+                    more = min(na, length - half)
+                    out.append((h, c, twice, nb, more, text[: nb + more], b"L" + text[nb - half : nb]))
+                less = min(nb, half - 1)
+                if half and na > length - half:
+                    out.append((h, c, twice, less, na, text[nb - less :], b"R" + text[nb : nb + length - half + 1]))
+            keys = [int.from_bytes(hashlib.md5(r[6] + r[0].to_bytes(8, "big", signed=True)).digest()[:8], "big", signed=True) for r in out]
+            cols = [keys, *(list(zip(*out, strict=True))[:6] if out else [[]] * 6)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["g", "h", "c", "twice", "nb", "na", "around"])
+
+    return around.mapInArrow(part, AROUND)
+
+
 def sorted_repeats(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For rows of :func:`contexts` sorted by h: (h, c, lo, hi) of the bytes that repeat around each anchor, whole groups at a time."""
+    """For rows of AROUND sorted by g: (h, c, lo, hi) of the bytes that repeat around each anchor, whole groups at a time."""
     seed = seed_of(length)
 
     def answer(t: pa.Table) -> pa.RecordBatch:
-        h, before, after, nb, na, twice = _tables(t, length, seed)
-        group = np.cumsum(np.diff(h, prepend=h[:1]) != 0)
+        g, before, after, nb, na, twice = _tables(t, length, seed)
+        group = np.cumsum(np.diff(g, prepend=g[:1]) != 0)
         found = repeats(group, before, after, nb, na, twice, length, seed)
         found[twice] = False  # these are covered whole in any case
         row, lo, hi = covered(found, length)
-        return pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(t.column("c").to_numpy()[row]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["h", "c", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([*(pa.array(t.column(x).to_numpy()[row]) for x in ("h", "c")), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["h", "c", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -346,9 +376,10 @@ def sorted_repeats(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             n += len(b)
             if n >= AT_ONCE:
                 t = pa.Table.from_batches(waiting)
-                h = t.column("h").to_numpy()
-                whole = int(np.searchsorted(h != h[-1], False)) if h[0] == h[-1] else int(np.flatnonzero(h != h[-1])[-1]) + 1
-                if whole:
+                g = t.column("g").to_numpy()
+                others = np.flatnonzero(g != g[-1])
+                if len(others):
+                    whole = int(others[-1]) + 1
                     yield answer(t.slice(0, whole).combine_chunks())
                     waiting, n = t.slice(whole).combine_chunks().to_batches(), len(t) - whole
         if n:
@@ -358,7 +389,7 @@ def sorted_repeats(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def hashed_repeats(hot: DataFrame, length: int) -> DataFrame:
-    """The same for seeds with very many surroundings: strings are counted by their hashes, wherever they are."""
+    """The same for groups with very many surroundings: strings are counted by their hashes, wherever they are."""
     seed = seed_of(length)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,23 +421,30 @@ def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     some = stored(all_.join(often, "h"), "repeated-anchors")
     dropped(all_)
     classes = stored(some.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("did", "at")).alias("rep")), "surroundings")
-    mixed = classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    reps = classes.join(mixed, "h").select("rep.did", F.shiftright("rep.at", 32).cast("int").alias("th"), F.struct("h", "c", (F.col("m") > 1).alias("twice"), F.col("rep.at").alias("at")).alias("r"))
-    by_row = reps.groupBy("did", "th").agg(F.collect_list("r").alias("reps"))
-    around = contexts(slim.join(by_row, ["did", "th"]).dropDuplicates(["did", "th"]).select("text", "reps"), length)
+    mixed = stored(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "mixed-seeds")
+
+    def around(seeds: DataFrame) -> DataFrame:
+        """The different surroundings of ``seeds``, from one row each that has them."""
+        th = F.shiftright("rep.at", 32).cast("int").alias("th")
+        reps = classes.join(seeds, "h").select("rep.did", th, F.struct("h", "c", (F.col("m") > 1).alias("twice"), F.col("rep.at").alias("at")).alias("r"))
+        by_row = reps.groupBy("did", "th").agg(F.collect_list("r").alias("reps"))
+        # equal rows are one: the same key, the same text
+        return contexts(slim.join(by_row, ["did", "th"]).dropDuplicates(["did", "th"]).select("text", "reps"), length)
+
+    parts = around(mixed.where(F.col("k") <= hot).select("h")).withColumn("g", F.col("h"))
+    parts = parts.select("g", "h", "c", "twice", "nb", "na", "around").repartition("g")
+    found = []
     hottest = mixed.where(F.col("k") > hot).select("h")
-    n_hot = hottest.count()
-    if n_hot:
-        around = stored(around, "around")
-        cool = around.join(hottest, "h", "left_anti")
-        found = hashed_repeats(around.join(hottest, "h", "left_semi"), length)
-    else:
-        cool = around
-        found = None
-    sorted_ = cool.repartition("h").sortWithinPartitions("h").mapInArrow(sorted_repeats(length), "h long, c long, lo int, hi int")
-    marks = sorted_ if found is None else sorted_.unionByName(found)
+    if hottest.limit(1).count():
+        split = stored(halves(around(hottest), length), "halves")
+        sizes = split.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
+        parts = parts.unionByName(split.join(sizes.where(F.col("k") <= hot).select("g"), "g").repartition("g"))
+        found.append(hashed_repeats(split.join(sizes.where(F.col("k") > hot).select("g"), "g"), length))
     # surroundings that occur twice are covered from end to end
-    marks = marks.unionByName(classes.where("m > 1").select("h", "c", F.lit(seed - length).alias("lo"), F.lit(length).alias("hi")))
+    found.append(classes.where("m > 1").select("h", "c", F.lit(seed - length).alias("lo"), F.lit(length).alias("hi")))
+    marks = parts.sortWithinPartitions("g").mapInArrow(sorted_repeats(length), "h long, c long, lo int, hi int")
+    for more in found:
+        marks = marks.unionByName(more)
     at = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
     spans = some.join(marks, ["h", "c"]).select(
         "did", F.shiftright("at", 32).cast("int").alias("th"),
@@ -472,5 +510,23 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, more: tuple[str, ...] = (
     )
 
 
+def deduplicated_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with what :func:`deduplicate` leaves as text, n_chars with it; characters that a cut parts go, and texts of which nothing but white space is left."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = deduplicate(docs, length, others)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], b.schema.names[:-1] + ["text"])
+
+    slim = out.select("doc_id", *(F.col(f"`{c}`").alias(f"m{i}") for i, c in enumerate(others)), "n_removed", "kept")
+    kinds = dict(slim.dtypes)
+    schema = ", ".join(["doc_id long", *(f"m{i} {kinds[f'm{i}']}" for i in range(len(others))), "n_removed long, text string"])
+    done = slim.mapInArrow(whole, schema).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    named = {c: F.col(f"m{i}") for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*(named[c].alias(c) for c in docs.columns))
+
+
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
