@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddystream.functions.geometry import cell, dense_side
-from eddystream.operators.kernel import cluster_window, roots
+from eddystream.functions.geometry import cell, dense_side, stencil
+from eddystream.operators.kernel import cluster_chunk, cluster_window, roots
 from eddystream.operators.neighbors import neighbor_counts_incremental, window_pairs
-from eddystream.operators.windows import count_windows, dense_cells
+from eddystream.operators.windows import count_windows, dense_cells, first_window, last_window, n_windows
 from eddystream.params import BORDER, CORE, NOISE, DbscanParams
 from eddystream.session import ship
 
@@ -87,18 +88,31 @@ def dbscan_windows_joined(points: DataFrame, p: DbscanParams) -> DataFrame:
 def dbscan_windows(points: DataFrame, p: DbscanParams, collapse: bool = True) -> DataFrame:
     """Labels and clusters of every row of every window.
 
-    A window is the unit of work: its rows are shuffled once, by window, and
-    clustered by vectorised code over a grid. What a task holds is bounded by
-    the window's size and not by the stream, and there are as many tasks as
-    windows. ``collapse`` spares comparisons within cells that are dense.
+    The unit of work is as many consecutive windows as overlap (window / stride
+    of them): about two windows of rows, so each row is shuffled twice instead
+    of once for every window that holds it, and near pairs are found once for
+    all these windows. What a task holds is bounded by the window's size and
+    not by the stream, and there are as many tasks as the stream is long.
+    ``collapse`` spares comparisons within cells that are dense.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        label, cluster = cluster_window(pdf["pos"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(), p, collapse)
-        return pd.DataFrame({"window_id": pdf["window_id"], "seq": pdf["seq"], "pos": pdf["pos"], "label": label, "cluster_id": cluster})
+    some = p.window // p.stride
+    bounded = points.withColumn("_lo", first_window(p)).withColumn("_hi", last_window(p, n_windows(points, p))).where("_lo <= _hi")
+    chunk = F.explode(F.sequence(F.floor((F.col("_lo") - 1) / some), F.floor((F.col("_hi") - 1) / some)))
+    rows = bounded.select(chunk.alias("chunk"), "seq", "x", "y", "z")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", kind="stable")
+        seq, first = pdf["seq"].to_numpy(), int(key[0]) * some + 1
+        # the last chunk of a stream may hold fewer windows: those whose last row has come
+        last = min(first + some - 1, (int(seq[-1]) + 1 - p.window) // p.stride)
+        done = [
+            pd.DataFrame({"window_id": np.int32(k), "seq": seq[at], "pos": (seq[at] % p.window).astype(np.int32), "label": label, "cluster_id": cluster})
+            for k, at, label, cluster in cluster_chunk(seq, pdf[["x", "y", "z"]].to_numpy(), p, first, last, collapse)
+        ]
+        return pd.concat(done) if done else pd.DataFrame({"window_id": [], "seq": [], "pos": [], "label": [], "cluster_id": []})
 
     ship(points.sparkSession)
-    return count_windows(points, p).groupBy("window_id").applyInPandas(run, RESULT)
+    return rows.groupBy("chunk").applyInPandas(run, RESULT)
 
 
 def dbscan_static(points: DataFrame, p: DbscanParams, n: int) -> DataFrame:
@@ -131,8 +145,6 @@ def _dense_pairs(points: DataFrame, p: DbscanParams) -> DataFrame:
     axes = [f"c{a}" for a in p.axes]
     # a coarse cell is four fine ones wide, which is more than two radii in any dimension
     cells = dense_cells(count_windows(points, p), p).withColumns({f"k{a}": F.floor(F.col(f"c{a}") / 4) for a in p.axes})
-    from eddystream.functions.geometry import stencil
-
     around = F.array(*(F.struct(*((F.col(f"k{a}") + o).alias(f"k{a}") for a, o in zip(p.axes, move, strict=True))) for move in stencil(p.dims)))
     d = cells.select("window_id", *axes, "min_pos", F.explode(around).alias("k")).select("window_id", *axes, "min_pos", "k.*").alias("d")
     e = cells.select("window_id", *axes, "min_pos", *(f"k{a}" for a in p.axes)).alias("e")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from eddystream.functions.geometry import dense_side, join_side, stencil
@@ -99,42 +101,75 @@ def _expand(order, low, high, xyz, p, group, out_a, out_b, most: int = 2_000_000
         i = j
 
 
+def _label(pos: np.ndarray, a: np.ndarray, b: np.ndarray, head: np.ndarray, p: DbscanParams) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and cluster ids of rows from their near pairs; ``head`` is the first row of a row's dense cell, or -1."""
+    n = len(pos)
+    rank = np.empty(n, np.int64)
+    order = np.argsort(pos, kind="stable")
+    rank[order] = np.arange(n)
+    core = np.bincount(a, minlength=n) + np.bincount(b, minlength=n) + 1 >= p.min_pts
+    dense = np.flatnonzero(head >= 0)
+    core[dense] = True
+    both = core[a] & core[b]
+    up = roots(n, rank[np.concatenate([a[both], dense])], rank[np.concatenate([b[both], head[dense]])])[rank]
+    least = np.full(n, n)
+    for x, y in ((a, b), (b, a)):
+        touch = core[x] & ~core[y]
+        np.minimum.at(least, y[touch], up[x[touch]])
+    border = ~core & (least < n)
+    cid = np.where(core, up, np.where(border, least, rank))
+    return np.where(core, CORE, np.where(border, BORDER, NOISE)).astype(np.int32), pos[order][cid] if n else pos
+
+
+def _heads(cell: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """The first row with each row's cell where ``alike``, else -1."""
+    head = np.full(len(cell), -1)
+    rows = np.flatnonzero(alike)
+    if len(rows):
+        _, first, back = np.unique(cell[rows], return_index=True, return_inverse=True)
+        head[rows] = rows[first][back.reshape(-1)]
+    return head
+
+
+def cluster_chunk(seq: np.ndarray, xyz: np.ndarray, p: DbscanParams, first: int, last: int, collapse: bool = True) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+    """(window, rows, labels, cluster ids) of windows ``first`` to ``last`` of rows sorted by ``seq``.
+
+    Near pairs are found once for all these windows and are taken by each
+    window that holds both rows. With ``collapse``, points of a cell that holds
+    min_pts in every one of the windows are cores without being compared, and
+    hang together by their cell: a hot cell costs no more than its points.
+    """
+    xyz = np.ascontiguousarray(xyz[:, : p.dims])
+    bounds = [np.searchsorted(seq, [k * p.stride, k * p.stride + p.window]) for k in range(first, last + 1)]
+    cell = group = np.full(len(seq), -1)
+    if collapse and len(seq):
+        cell = np.unique(np.floor(xyz / dense_side(p)), axis=0, return_inverse=True)[1].reshape(-1)
+        fewest = np.full(cell.max() + 1, len(seq))
+        for low, high in bounds:
+            fewest = np.minimum(fewest, np.bincount(cell[low:high], minlength=len(fewest)))
+        group = np.where(fewest[cell] >= p.min_pts, cell, -1)
+    a, b = near_pairs(xyz, p, group if collapse else None)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    by = np.argsort(a, kind="stable")
+    a, b = a[by], b[by]
+    for k, (low, high) in zip(range(first, last + 1), bounds, strict=True):
+        i, j = np.searchsorted(a, [low, high])
+        alive = b[i:j] < high
+        head = _heads(cell[low:high], group[low:high] >= 0)
+        yield k, slice(low, high), *_label(seq[low:high] % p.window, a[i:j][alive] - low, b[i:j][alive] - low, head, p)
+
+
 def cluster_window(pos: np.ndarray, xyz: np.ndarray, p: DbscanParams, collapse: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Labels and cluster ids of one window's rows.
 
     A cluster's id is the smallest pos of its cores, a border row joins the
-    smallest cluster next to it, noise keeps its pos. With ``collapse`` the
-    points of a cell that holds min_pts are cores without being compared, and
-    hang together by their cell, so a hot cell costs no more than its points.
+    smallest cluster next to it, noise keeps its pos.
     """
-    n = len(pos)
-    order = np.argsort(pos, kind="stable")
-    where, xyz = pos[order], np.ascontiguousarray(xyz[order, : p.dims])
-    group = None
-    if collapse and n:
+    xyz = np.ascontiguousarray(xyz[:, : p.dims])
+    head = np.full(len(pos), -1)
+    if collapse and len(pos):
         _, cell, size = np.unique(np.floor(xyz / dense_side(p)), axis=0, return_inverse=True, return_counts=True)
         cell = cell.reshape(-1)
-        group = np.where(size[cell] >= p.min_pts, cell, -1)
-    a, b = near_pairs(xyz, p, group)
-    nn = 1 + np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
-    core = nn >= p.min_pts
-    tie_a, tie_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if group is not None:
-        core |= group >= 0
-        dense = np.flatnonzero(group >= 0)
-        _, head, back = np.unique(group[dense], return_index=True, return_inverse=True)
-        tie_a, tie_b = dense, dense[head][back.reshape(-1)]
-    both = core[a] & core[b]
-    up = roots(n, np.concatenate([a[both], tie_a]), np.concatenate([b[both], tie_b]))
-    cid = np.where(core, up, n)
-    near_core = np.full(n, n)
-    for x, y in ((a, b), (b, a)):
-        touch = core[x] & ~core[y]
-        np.minimum.at(near_core, y[touch], up[x[touch]])
-    border = ~core & (near_core < n)
-    cid = np.where(border, near_core, cid)
-    label = np.where(core, CORE, np.where(border, BORDER, NOISE))
-    ids = np.where(label == NOISE, where, where[np.minimum(cid, max(n - 1, 0))] if n else where)
-    out_l, out_c = np.empty(n, np.int32), np.empty(n, np.int64)
-    out_l[order], out_c[order] = label, ids
-    return out_l, out_c
+        head = _heads(cell, size[cell] >= p.min_pts)
+    a, b = near_pairs(xyz, p, head if collapse else None)
+    return _label(pos, a, b, head, p)

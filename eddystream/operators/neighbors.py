@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eddystream.functions.geometry import cell, join_side, near, stencil
-from eddystream.operators.windows import count_windows, first_window, last_window, live_windows, _n_windows
+from eddystream.operators.windows import count_windows, first_window, last_window, live_windows, n_windows
 from eddystream.params import DbscanParams
 
 
-def _moved(p: DbscanParams, half: bool = False) -> Column:
+def moved_cells(p: DbscanParams, half: bool = False) -> Column:
     """An array of the cells around (cx, cy, cz), to be exploded."""
     return F.array(*(F.struct(*((F.col(f"c{a}") + d).alias(f"c{a}") for a, d in zip(p.axes, o, strict=True))) for o in stencil(p.dims, half)))
 
@@ -26,7 +26,7 @@ def eps_pairs(points: DataFrame, p: DbscanParams) -> DataFrame:
     """(seq_a, seq_b): pairs of near rows less than a window apart, the earlier first, each once."""
     axes = [f"c{a}" for a in p.axes]
     cells = points.withColumns(cell(p, join_side(p))).withColumn("block", F.floor(F.col("seq") / p.window))
-    there = F.explode(_moved(p)).alias("to")
+    there = F.explode(moved_cells(p)).alias("to")
     a = cells.select("seq", *p.axes, "block", there).select("seq", *p.axes, F.explode(F.array("block", F.col("block") + 1)).alias("block"), "to.*").alias("a")
     b = cells.select("seq", *p.axes, "block", *axes).alias("b")
     keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("block", *axes)]
@@ -41,7 +41,7 @@ def window_pairs(points: DataFrame, p: DbscanParams) -> DataFrame:
     """(window_id, pos_a, pos_b): near pairs window by window, by one join in each window; the plain form of :func:`eps_pairs`."""
     axes = [f"c{a}" for a in p.axes]
     rows = count_windows(points, p).withColumns(cell(p, join_side(p)))
-    a = rows.select("window_id", "seq", "pos", *p.axes, F.explode(_moved(p)).alias("to")).select("window_id", "seq", "pos", *p.axes, "to.*").alias("a")
+    a = rows.select("window_id", "seq", "pos", *p.axes, F.explode(moved_cells(p)).alias("to")).select("window_id", "seq", "pos", *p.axes, "to.*").alias("a")
     b = rows.alias("b")
     on = F.col("a.window_id") == F.col("b.window_id")
     for k in axes:
@@ -64,7 +64,7 @@ def neighbor_counts_incremental(points: DataFrame, p: DbscanParams) -> DataFrame
     ends = pairs.select(F.explode(F.array("seq_a", "seq_b")).alias("seq"), "lo", "hi")
     steps = ends.select("seq", F.explode(F.array(F.struct(F.col("lo").alias("k"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("k"), F.lit(-1).alias("d")))).alias("s"))
     steps = steps.groupBy("seq", F.col("s.k").alias("k")).agg(F.sum("s.d").alias("d"))
-    held = points.select("seq").withColumn("lo", first_window(p)).withColumn("hi", last_window(p, _n_windows(points, p))).where("lo <= hi")
+    held = points.select("seq").withColumn("lo", first_window(p)).withColumn("hi", last_window(p, n_windows(points, p))).where("lo <= hi")
     held = held.select("seq", F.explode(F.sequence("lo", "hi")).alias("k"), F.lit(0).cast("long").alias("d"), F.lit(1).alias("row"))
     both = held.unionByName(steps.withColumn("row", F.lit(0))).groupBy("seq", "k").agg(F.sum("d").alias("d"), F.max("row").alias("row"))
     run = Window.partitionBy("seq").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
@@ -75,7 +75,7 @@ def neighbor_counts_incremental(points: DataFrame, p: DbscanParams) -> DataFrame
 def _delta(points: DataFrame, p: DbscanParams, out: bool) -> DataFrame:
     """Near pairs between a window's rows and a stride that leaves or enters it, summed for the rows that stay or come."""
     pairs = eps_pairs(points, p).select("seq_a", "seq_b")
-    n = _n_windows(points, p)
+    n = n_windows(points, p)
     # window k drops the stride of rows (k-1)*S .. k*S-1 and takes in rows (k-1)*S+W .. k*S+W-1
     k = F.floor(F.col("seq_a") / p.stride) + 1 if out else F.floor((F.col("seq_b") - p.window) / p.stride) + 1
     moved = pairs.withColumn("window_id", k.cast("int")).where((F.col("window_id") >= 1) & (F.col("window_id") <= n))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eddystream.functions.geometry import cell, join_side
-from eddystream.operators.neighbors import _moved, brute_force_counts, window_pairs
+from eddystream.operators.neighbors import moved_cells, brute_force_counts, window_pairs
 from eddystream.operators.windows import count_windows, dense_totals
 from eddystream.params import BORDER, CORE, NOISE, DbscanParams
 from eddystream.session import ship
@@ -58,7 +58,7 @@ def rt_counters(points: DataFrame, p: DbscanParams) -> DataFrame:
     """(window_id, candidates, pairs, dense_cells, dense_points): work of the search: pairs that share a neighbourhood of cells, and near ones."""
     axes = [f"c{a}" for a in p.axes]
     counted = count_windows(points, p).withColumns(cell(p, join_side(p))).groupBy("window_id", *axes).agg(F.count("*").alias("n"))
-    here = counted.select("window_id", "n", F.explode(_moved(p)).alias("to")).select("window_id", "n", "to.*")
+    here = counted.select("window_id", "n", F.explode(moved_cells(p)).alias("to")).select("window_id", "n", "to.*")
     there = counted.withColumnRenamed("n", "m")
     seen = here.join(there, ["window_id", *axes]).groupBy("window_id").agg(F.sum(F.col("n") * F.col("m")).alias("candidates"))
     found = window_pairs(points, p).groupBy("window_id").agg(F.count("*").alias("pairs"))

@@ -9,7 +9,7 @@ from eddystream.functions.geometry import cell, dense_side
 from eddystream.params import DbscanParams
 
 
-def _n_windows(points: DataFrame, p: DbscanParams) -> Column:
+def n_windows(points: DataFrame, p: DbscanParams) -> Column:
     """Windows after the first full one; a scalar subquery, so no job runs here."""
     return F.floor((points.agg(F.count("*")).scalar() - p.window) / p.stride).cast("long")
 
@@ -31,7 +31,7 @@ def last_window(p: DbscanParams, n: Column, seq: str = "seq") -> Column:
 
 def count_windows(points: DataFrame, p: DbscanParams) -> DataFrame:
     """Each point once in every window that holds it: (window_id, seq, pos, x, y, z); pos is its slot in a ring of ``window``."""
-    bounded = points.withColumn("_lo", first_window(p)).withColumn("_hi", last_window(p, _n_windows(points, p))).where("_lo <= _hi")
+    bounded = points.withColumn("_lo", first_window(p)).withColumn("_hi", last_window(p, n_windows(points, p))).where("_lo <= _hi")
     # sequence() would count down from _lo to a smaller _hi
     ids = F.explode(F.sequence("_lo", "_hi"))
     return bounded.withColumn("window_id", ids).select(F.col("window_id").cast("int").alias("window_id"), "seq", (F.col("seq") % p.window).cast("int").alias("pos"), "x", "y", "z")
@@ -39,7 +39,7 @@ def count_windows(points: DataFrame, p: DbscanParams) -> DataFrame:
 
 def live_windows(pairs: DataFrame, points: DataFrame, p: DbscanParams) -> DataFrame:
     """``pairs`` (a.seq < b.seq) with the windows (lo, hi) that hold both rows."""
-    return pairs.withColumn("lo", first_window(p, "seq_b")).withColumn("hi", last_window(p, _n_windows(points, p), "seq_a")).where("lo <= hi")
+    return pairs.withColumn("lo", first_window(p, "seq_b")).withColumn("hi", last_window(p, n_windows(points, p), "seq_a")).where("lo <= hi")
 
 
 def cell_counts(windowed: DataFrame, p: DbscanParams) -> DataFrame:

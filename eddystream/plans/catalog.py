@@ -111,9 +111,9 @@ def _kth_sql(which: str, k: int, sample: int) -> str:
     p = _PARAMS[which]
     d2 = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in p.axes)
     return f"""
-WITH pts AS ({_sql_points(which)}), some AS MATERIALIZED (SELECT * FROM pts ORDER BY md5(CAST(seq AS VARCHAR)), seq LIMIT {sample}),
+WITH pts AS ({_sql_points(which)}), picked AS MATERIALIZED (SELECT * FROM pts ORDER BY md5(CAST(seq AS VARCHAR)), seq LIMIT {sample}),
 far AS (
-  SELECT a.seq, sqrt(list_extract(list_sort(min({d2}, {k})), {k})) AS distance FROM some a JOIN some b ON a.seq <> b.seq GROUP BY a.seq
+  SELECT a.seq, sqrt(list_extract(list_sort(min({d2}, {k})), {k})) AS distance FROM picked a JOIN picked b ON a.seq <> b.seq GROUP BY a.seq
 )"""
 
 
