@@ -16,18 +16,23 @@ from pyspark.sql import functions as F
 POINT = "seq long, x double, y double, z double"
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
-    """Lines with their number. Partitions of one text file are its stretches in order, so counting them first is enough."""
-    tagged = lines.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    counts = tagged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_before", before).select("_part", "_first", "_before")  # a row a partition
-    return tagged.join(F.broadcast(counts), "_part").withColumn("seq", F.col("_row") - F.col("_first") + F.col("_before")).drop("_part", "_row", "_first", "_before")
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, value) of the lines that aren't blank, numbered by file name and place in the file.
+
+    A file is read in blocks; counting each block's lines first gives every
+    block its first number, and lines then count on within their block.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = lines.where(F.trim("value") != "").withColumn("_row", F.monotonically_increasing_id())
+    counts = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).select("_file", "_block", "_first", "_before")  # a row a block of a file
+    return lines.join(counts, ["_file", "_block"]).select((F.col("_row") - F.col("_first") + F.col("_before")).alias("seq"), "value")
 
 
 def _text_points(spark: SparkSession, path: str, sep: str, fields: tuple[int, ...], skip: int) -> DataFrame:
     parts = F.split(F.trim("value"), sep)
-    lines = _numbered(spark.read.text(path).where(F.trim("value") != "")).where(F.col("seq") >= skip)
+    lines = _numbered_lines(spark, path).where(F.col("seq") >= skip)
     xyz = [parts[i].cast("double") for i in fields] + [F.lit(0.0)] * (3 - len(fields))
     return lines.select((F.col("seq") - skip).alias("seq"), *(c.alias(n) for c, n in zip(xyz, "xyz", strict=True)))
 
