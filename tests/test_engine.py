@@ -45,6 +45,19 @@ def test_readers(spark, tmp_path):
         src.read_points(spark, "/nowhere/unknown.dat")
 
 
+def test_lines_of_large_and_several_files_keep_their_order(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        for name, lo, hi in (("a", 0, 40), ("b", 40, 3000), ("c", 3000, 3100)):
+            (tmp_path / f"{name}.csv").write_text("".join(f"{i},0,0\n" for i in range(lo, hi)))
+        got = src.read_points(spark, str(tmp_path), kind="tao")
+        assert rows(got, "seq", "x") == [(i, float(i)) for i in range(3100)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_trajectories_generators_and_logs(spark, tmp_path):
     head = "a\n" * 6
     (tmp_path / "one.plt").write_text(head + "1,2,0,300000,39000.5,d,t\n3,4,0,600000,38000.5,d,t\n")
