@@ -20,8 +20,8 @@ from eddystream.llm.common import dropped, plain, stored
 SCALE = 1_000_000_000
 #: Hundredths of a host's score that go on along its links, and rounds at most.
 DAMPING, ROUNDS = 85, 20
-#: A host is blocked if its distrust exceeds its trust and half of what a host has all of whose pages are blocked.
-LEAST = SCALE * (100 - DAMPING) // 100 // 2
+#: A host is blocked if its distrust exceeds its trust and a fifth of what a host has all of whose pages are blocked.
+LEAST = SCALE * (100 - DAMPING) // 100 // 5
 #: As many hosts at most are broadcast to the pages; more are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
