@@ -129,10 +129,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it takes it, with all their columns."""
+    """The rows of ``docs`` that the mix takes words of, each as often as it takes it, with all their columns."""
     base = stored(_hashed(plain(docs, "doc_id", "text", "source")).drop("text", "doc_id"), "mix-sizes")
-    out = apply(_hashed(docs), budgets(base, weights, most))
-    return out.where("times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    whole = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    out = apply(_hashed(whole), budgets(base, weights, most)).where("times > 0 and size > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("_row.*")
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
