@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eddystream.llm.common import partitions, plain, small_batches, stored
+from eddystream.llm.common import partitions, plain, small_batches, stored, tidy
 
 WIDTH = 2048
 END_ID = 0
@@ -84,7 +84,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, width: int = WIDTH, end_id: in
 
     small_batches(docs.sparkSession)
     docs = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], width: int = WIDTH) -> list[tuple[int, int, int, int, int, int]]:

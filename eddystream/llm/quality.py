@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddystream.llm import textops
-from eddystream.llm.common import plain, small_batches
+from eddystream.llm.common import plain, small_batches, tidy
 
 #: Terms that words are hashed to, and length of an index vector: the model's size, whatever the input.
 TERMS, DIM, NONZERO = 1 << 13, 32, 4
@@ -100,7 +100,7 @@ def word_vectors(docs: DataFrame, terms: int = TERMS, dim: int = DIM) -> np.ndar
         flat = pa.array(total[some].astype(np.int64).reshape(-1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.FixedSizeListArray.from_arrays(flat, dim).cast(pa.list_(pa.int64()))], ["term", "v"])
 
-    parts = plain(docs, "text").mapInArrow(sums, "term long, v array<long>")
+    parts = plain(docs, "text").mapInArrow(tidy(sums), "term long, v array<long>")
     summed = parts.groupBy("term").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(dim))).alias("v")).toPandas()
     out = np.zeros((terms, dim), np.float32)
     if len(summed):
@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
     kind = dict(known.dtypes)
-    got: pd.DataFrame = texts.mapInArrow(pool, f"doc_id {kind['doc_id']}, quality {kind['quality']}, x binary").dropDuplicates(["doc_id"]).toPandas()
+    got: pd.DataFrame = texts.mapInArrow(tidy(pool), f"doc_id {kind['doc_id']}, quality {kind['quality']}, x binary").dropDuplicates(["doc_id"]).toPandas()
     got = got.sort_values("doc_id")
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, width) if len(got) else np.zeros((0, width), np.float32)
     return fit(x, (got["quality"].to_numpy() > 0).astype(float))
@@ -230,7 +230,7 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, keep: tuple[str, .
 
     slim = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col("text").alias("_text"))
     schema = ", ".join([*(f"c{i} {kind}" for i, (_, kind) in enumerate(slim.dtypes[:-1])), "score double"])
-    return slim.mapInArrow(rate, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "score")
+    return slim.mapInArrow(tidy(rate), schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "score")
 
 
 def fold(doc_id: Column) -> Column:

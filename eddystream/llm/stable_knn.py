@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eddystream.llm.common import small_batches, stored
+from eddystream.llm.common import small_batches, stored, tidy
 from eddystream.llm.vectors import by_group, kind_of, matrix, valid_vectors
 
 #: Numbers of a projection, and the test's probability.
@@ -175,7 +175,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, m: int = M, sure: fl
                 x = matrix(b.column("v").take(pa.array(np.flatnonzero(lens == d))), kind)
                 yield pa.RecordBatch.from_arrays([pa.array([int(d)], pa.int32()), pa.array([float((x * x).sum(1).max())]), pa.array([len(x)])], ["dim", "most", "n"])
 
-    sizes = rows.mapInArrow(squares, "dim int, most double, n long").groupBy("dim").agg(F.max("most").alias("most"), F.sum("n").alias("n")).collect()
+    sizes = rows.mapInArrow(tidy(squares), "dim int, most double, n long").groupBy("dim").agg(F.max("most").alias("most"), F.sum("n").alias("n")).collect()
     projections = {r["dim"]: Projection(r["dim"], m, r["most"]) for r in sizes}
     trees: dict[int, list[tuple[int, float]]] = {}
     for r in sizes:
@@ -200,7 +200,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, m: int = M, sure: fl
                 home = cell_of(projections[int(d)].queries(x), trees.get(int(d), []))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(home), pa.array(list(z), pa.list_(pa.float64()))], ["id", "v", "dim", "cell", "home", "z"])
 
-    placed = stored(rows.mapInArrow(place, "id long, v binary, dim int, cell long, home long, z array<double>"), "knn-cells")
+    placed = stored(rows.mapInArrow(tidy(place), "id long, v binary, dim int, cell long, home long, z array<double>"), "knn-cells")
     # a cell's box and its blocks: a few numbers each, for MOST_CELLS cells at most a length
     boxes = placed.groupBy("dim", "cell").agg(
         F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
@@ -241,7 +241,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, m: int = M, sure: fl
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_i, out_s)], ["query_id", "vec_id", "score"])
 
         keys = ("dim", "cell", "block", "part")
-        return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(by_group(keys, answer), "query_id long, vec_id long, score double")
+        return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(by_group(keys, answer)), "query_id long, vec_id long, score double")
 
     first = stored(run(asked.select("id", "v", "dim", F.col("home").alias("cell"), F.lit(float("-inf")).alias("known"))), "knn-home")
     # the k-th best so far, where there are k
@@ -265,7 +265,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, m: int = M, sure: fl
                 got = part.select(["id", "v", "dim"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*got.columns, pa.array(cells[cell].astype(np.int64)), pa.array(known[row])], ["id", "v", "dim", "cell", "known"])
 
-    other = run(again.mapInArrow(visit, "id long, v binary, dim int, cell long, known double"))
+    other = run(again.mapInArrow(tidy(visit), "id long, v binary, dim int, cell long, known double"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = first.unionByName(other).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddystream.llm import textops
-from eddystream.llm.common import dropped, small_batches, stored
+from eddystream.llm.common import dropped, small_batches, stored, tidy
 
 LENGTH = 200
 #: Bytes that the multikey quicksort looks at, in steps of a word, before blind tries take over.
@@ -43,8 +43,6 @@ HOT = 50_000
 #: Surroundings that a task sorts at once, whole groups.
 AT_ONCE = 20_000
 NO_ID = -(1 << 63)
-#: A text of more bytes is cut into overlapping stretches when anchors are sought, to bound memory.
-STRETCH = 4 << 20
 
 
 def seed_of(length: int) -> int:
@@ -109,7 +107,7 @@ def anchor_table(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             buf, off = textops.raw(b.column("text"))
             did, th = b.column("did").to_numpy(), b.column("th").to_numpy().astype(np.int64)
-            for i, j in textops.pieces(off, 1 << 20):
+            for i, j in textops.pieces(off):
                 part, po = buf[off[i] : off[j]], off[i : j + 1] - off[i]
                 at, h = anchors(part, po, length, seed)
                 if not len(at):
@@ -120,7 +118,7 @@ def anchor_table(docs: DataFrame, length: int) -> DataFrame:
                 where = (th[i + row] << 32) | (at - po[row])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(did[i + row]), pa.array(where)], ["h", "c", "did", "at"])
 
-    return docs.mapInArrow(find, "h long, c long, did long, at long")
+    return docs.mapInArrow(tidy(find), "h long, c long, did long, at long")
 
 
 # ---- deep-shallow sorting ----------------------------------------------------
@@ -286,10 +284,10 @@ def covered(found: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """(did, th, text, ...): did and th name a row; rows equal in both have equal texts and so equal results."""
+    """(did, th, text, m0, m1, ...): did and th name a row; rows equal in both have equal texts and so equal results."""
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did")
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    return docs.select(did, F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("th"), text, *(F.col(f"`{m}`") for m in more))
+    return docs.select(did, F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("th"), text, *(F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(more)))
 
 
 def contexts(texts: DataFrame, length: int) -> DataFrame:
@@ -312,7 +310,7 @@ def contexts(texts: DataFrame, length: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "c", "twice", "nb", "na", "around"])
 
-    return texts.mapInArrow(cut, "h long, c long, twice boolean, nb int, na int, around binary")
+    return texts.mapInArrow(tidy(cut), "h long, c long, twice boolean, nb int, na int, around binary")
 
 
 def _tables(b: pa.Table, length: int, seed: int) -> tuple:
@@ -353,7 +351,7 @@ def halves(around: DataFrame, length: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["g", "h", "c", "twice", "nb", "na", "around"])
 
-    return around.mapInArrow(part, AROUND)
+    return around.mapInArrow(tidy(part), AROUND)
 
 
 def sorted_repeats(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -406,7 +404,7 @@ def hashed_repeats(hot: DataFrame, length: int) -> DataFrame:
                     [*(p.column(c).take(pa.array(row)) for c in ("h", "c", "twice")), pa.array(d.astype(np.int32)), pa.array(w.view(np.int64))], ["h", "c", "twice", "d", "w"]
                 )
 
-    all_ = hot.mapInArrow(strings, "h long, c long, twice boolean, d int, w long")
+    all_ = hot.mapInArrow(tidy(strings), "h long, c long, twice boolean, d int, w long")
     many = all_.groupBy("h", "d", "w").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("times")).where("times > 1")
     found = all_.where("not twice").join(many, ["h", "d", "w"], "left_semi")
     return found.select("h", "c", (-F.col("d")).cast("int").alias("lo"), (F.lit(length) - F.col("d")).cast("int").alias("hi"))
@@ -417,8 +415,10 @@ def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     seed = seed_of(length)
     slim = docs.select("did", "th", "text")
     all_ = stored(anchor_table(slim, length), "anchors")
-    often = all_.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    # stored, as are the sides of other joins below: Spark splits a hot key only where nothing but shuffles lies under a join
+    often = stored(all_.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "repeated-seeds")
     some = stored(all_.join(often, "h"), "repeated-anchors")
+    dropped(often)
     dropped(all_)
     classes = stored(some.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("did", "at")).alias("rep")), "surroundings")
     mixed = stored(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "mixed-seeds")
@@ -442,7 +442,7 @@ def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
         found.append(hashed_repeats(split.join(sizes.where(F.col("k") > hot).select("g"), "g"), length))
     # surroundings that occur twice are covered from end to end
     found.append(classes.where("m > 1").select("h", "c", F.lit(seed - length).alias("lo"), F.lit(length).alias("hi")))
-    marks = parts.sortWithinPartitions("g").mapInArrow(sorted_repeats(length), "h long, c long, lo int, hi int")
+    marks = parts.sortWithinPartitions("g").mapInArrow(tidy(sorted_repeats(length)), "h long, c long, lo int, hi int")
     for more in found:
         marks = marks.unionByName(more)
     at = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -500,10 +500,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, more: tuple[str, ...] = (
             names = ["did", *(f"m{i}" for i in range(len(carried))), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([b.column("did"), *(b.column(f"m{i}") for i in range(len(carried))), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
-    slim = joined.select("did", "text", "spans", *(F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(carried)))
+    slim = joined.select("did", "text", "spans", *(f"m{i}" for i in range(len(carried))))
     kinds = dict(slim.dtypes)
     schema = ", ".join(["did long", *(f"m{i} {kinds[f'm{i}']}" for i in range(len(carried))), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"])
-    done = slim.mapInArrow(cut, schema)
+    done = slim.mapInArrow(tidy(cut), schema)
     return done.select(
         F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept",
         *(F.col(f"m{i}").alias(m) for i, m in enumerate(carried)),
@@ -523,7 +523,7 @@ def deduplicated_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     slim = out.select("doc_id", *(F.col(f"`{c}`").alias(f"m{i}") for i, c in enumerate(others)), "n_removed", "kept")
     kinds = dict(slim.dtypes)
     schema = ", ".join(["doc_id long", *(f"m{i} {kinds[f'm{i}']}" for i in range(len(others))), "n_removed long, text string"])
-    done = slim.mapInArrow(whole, schema).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    done = slim.mapInArrow(tidy(whole), schema).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     named = {c: F.col(f"m{i}") for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return done.select(*(named[c].alias(c) for c in docs.columns))
 

@@ -54,7 +54,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def pieces(off: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def pieces(off: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` bytes; a longer row stands alone."""
     a, n = 0, len(off) - 1
     while a < n:

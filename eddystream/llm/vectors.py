@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddystream.llm.common import plain
+from eddystream.llm.common import plain, tidy
 
 
 def valid_vectors(table: DataFrame, id_: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -33,7 +33,7 @@ def valid_vectors(table: DataFrame, id_: str = "vec_id", column: str = "embeddin
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.binary())], ["id", "v"])
 
     slim = plain(table, id_, column).select(F.col(id_).cast("long"), F.col(column))
-    return slim.mapInArrow(parse, "id long, v binary").distinct()
+    return slim.mapInArrow(tidy(parse), "id long, v binary").distinct()
 
 
 def kind_of(table: DataFrame, column: str = "embedding") -> str:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddystream.llm.common import plain, shared_dir, small_batches
+from eddystream.llm.common import plain, shared_dir, small_batches, tidy
 
 #: The date that all records bear: an archive of one input is always the same.
 DATE = "2024-01-01T00:00:00Z"
@@ -76,7 +76,7 @@ def deflated(rows: DataFrame) -> DataFrame:
             sums, small = pa.array([b32_sha1(x) for x in data], pa.string()), pa.array([zlib.compress(x, 6) for x in data], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("sha256", "page_id", "n_bytes")), sums, small], ["sha256", "page_id", "n_bytes", "sha1", "deflated"])
 
-    return rows.mapInArrow(pack, "sha256 string, page_id long, n_bytes long, sha1 string, deflated binary")
+    return rows.mapInArrow(tidy(pack), "sha256 string, page_id long, n_bytes long, sha1 string, deflated binary")
 
 
 def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -111,7 +111,7 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
                 out.append(heads_of(page, url, n, sha1, None if n < least_bytes or page == of else of))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("sha256"), pa.array(out, pa.binary())], ["page_id", "sha256", "head"])
 
-    slim.mapInArrow(head, "page_id long, sha256 string, head binary").write.mode("overwrite").parquet(f"{path}/heads")
+    slim.mapInArrow(tidy(head), "page_id long, sha256 string, head binary").write.mode("overwrite").parquet(f"{path}/heads")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +129,7 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
     small_batches(spark)
     kept = spark.read.parquet(f"{path}/payloads").select("sha256", "n_bytes", "sha1", "deflated")
-    return kept.mapInArrow(check, "sha256 string, n_bytes long, sha1 string, payload binary")
+    return kept.mapInArrow(tidy(check), "sha256 string, n_bytes long, sha1 string, payload binary")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -159,7 +159,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     checked = read_payloads(spark, path).select("sha256", "sha1", "n_bytes")
     joined = spark.read.parquet(f"{path}/heads").join(checked, "sha256")
-    return joined.mapInArrow(parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return joined.mapInArrow(tidy(parse), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op3_warc_archive(spark, sf_dir: str) -> DataFrame:
