@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from eddystream.llm.common import dropped, stored
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _done(edges: DataFrame) -> bool:
+    """Whether all edges are stars: no node has two centres, and no centre has one."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("hub")).union(edges.select("b", F.lit(0), F.lit(1)))
+    tangled = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("hub").alias("hub")).where("up > 1 or (up = 1 and hub = 1)")
+    return not tangled.limit(1).count()
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    # stored: Spark splits the rows of a hub only where nothing but shuffles lies under the join
+    least = stored(both.groupBy("a").agg(F.min("b").alias("m")), "least")
     return (
         both.join(least, "a").where("b > a")
         .select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
@@ -29,7 +33,7 @@ def _large(edges: DataFrame) -> DataFrame:
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     return (
         down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         .union(least.select("a", F.col("m").alias("b"))).distinct()
@@ -43,16 +47,15 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     have an edge to another node appear.
     """
     a, b = edges.columns
-    now = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), f"{label}-edges")
-    seen = _mark(now)
-    while seen[0]:
-        new = stored(_small(_large(now)), f"{label}-stars")
-        mark = _mark(new)
+    # the larger end first, so that stars are seen as such from the start
+    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), (F.col(a) != F.col(b)).alias("ok")).where("ok").drop("ok").distinct()
+    now = stored(now, f"{label}-edges")
+    while not _done(now):
+        large = stored(_large(now), f"{label}-stars")
+        new = stored(_small(large), f"{label}-stars")
+        dropped(large)
         dropped(now)
         now = new
-        if mark == seen:
-            break
-        seen = mark
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
@@ -64,7 +67,7 @@ def smallest_ids(members: DataFrame, links: DataFrame, label: str) -> DataFrame:
     found = components(links, f"{label}-classes")
     named = members.join(found, members["cls"] == found["node"], "left").select("id", F.coalesce("component", "cls").alias("cls"))
     named = stored(named.distinct(), f"{label}-members")
-    least = named.groupBy("cls").agg(F.min("id").alias("first"))
+    least = stored(named.groupBy("cls").agg(F.min("id").alias("first")), f"{label}-least")
     joined = named.join(least, "cls").select("id", "first").distinct()
     if joined.groupBy("id").count().where("count > 1").limit(1).count():
         tied = components(joined, f"{label}-tied")

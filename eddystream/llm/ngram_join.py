@@ -10,9 +10,9 @@ Linking is the same as reaching an overlap: sets of sizes a and b with
    order puts shingles last that many sets hold (a bounded list of the most
    frequent; any list gives the same result), then goes by hash. Sets of whose
    prefix fewer than m shingles are anybody else's drop out. The others that
-   meet at a shingle are chained in order of their size, which keeps one edge
-   a set however many meet.
-3. The components of the chains are groups in which all links lie. A group's
+   meet at a shingle go by size; a run of sizes that can link is a star around
+   its first, which keeps one edge a set however many meet.
+3. The components of the stars are groups in which all links lie. A group's
    sets meet in one task, or, if the group is large, block by block in several:
    there every set searches the inverted lists of its shingles for sets that
    occur T times, merging short lists by a heap and probing long ones by binary
@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eddystream.llm import textops
-from eddystream.llm.common import dropped, plain, small_batches, stored
-from eddystream.llm.components import components
+from eddystream.llm.common import dropped, give_back, plain, small_batches, stored, tidy
+from eddystream.llm.components import components, smallest_ids
 
 #: Shingles that go last in the order: as many at most, a bounded broadcast.
 FREQUENT = 300_000
@@ -91,7 +91,7 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
             found = [(set_key(s), len(s)) for _, s in doc_sets(b.column("text"), k)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["doc_id", "key", "n"])
 
-    return docs.mapInArrow(keys, "doc_id long, key long, n long")
+    return docs.mapInArrow(tidy(keys), "doc_id long, key long, n long")
 
 
 def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> np.ndarray:
@@ -114,7 +114,7 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> np.ndarr
                     seen.add(key)
                     waiting.append(s)
                     size += len(s)
-            if size > 8_000_000:
+            if size > 2_000_000:
                 yield flush()
                 waiting, size = [], 0
                 seen.clear()
@@ -122,7 +122,7 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> np.ndarr
 
     # without a sort: the step of counts down to which ``most`` shingles are enough, by a histogram of few steps
     step = F.floor(F.log2("n") * 8).cast("int")
-    counts = stored(docs.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).withColumn("step", step), "shingles")
+    counts = stored(docs.mapInArrow(tidy(count), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).withColumn("step", step), "shingles")
     low, have = 1 << 30, 0
     for at, n in sorted(counts.groupBy("step").count().collect(), reverse=True):
         have += n
@@ -161,7 +161,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int)
                 [pa.array(full.view(np.int64)), *(pa.array(np.repeat(np.array([x[i] for x in out], t), lens)) for i, t in ((0, np.int32), (1, np.int64)))], ["s", "n", "key"]
             )
 
-    return docs.mapInArrow(prefixes, "s long, n int, key long")
+    return docs.mapInArrow(tidy(prefixes), "s long, n int, key long")
 
 
 # ---- search in one task ------------------------------------------------------
@@ -325,7 +325,7 @@ def group_links(docs: DataFrame, chosen: DataFrame, k: int, num: int, den: int,
     """(a, b): links between the sets of ``chosen`` (doc_id, key, n, grp), found group by group."""
     # blocks of a group by size: a block meets itself and every later one that sizes let it link with
     total = chosen.groupBy("grp").agg(F.sum("n").alias("total"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("long")
+    band = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(den / num)) * 1.000001)).cast("long")
     sized = chosen.join(total, "grp").withColumn("large", F.col("total") > task_shingles).withColumn("band", band)
     parts = sized.where("large").groupBy("grp", "band").agg(F.ceil(F.sum("n") / (task_shingles / 2)).cast("long").alias("parts"))
     sized = sized.join(parts, ["grp", "band"], "left")
@@ -357,10 +357,16 @@ def group_links(docs: DataFrame, chosen: DataFrame, k: int, num: int, den: int,
         all_ = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
         order = sorted(range(len(all_)), key=lambda i: (len(all_[i]), int(pdf["key"].iloc[i])))
         keys = pdf["key"].to_numpy()[order]
-        found = links_of([all_[i] for i in order], num, den)
-        return pd.DataFrame({"a": [keys[i] for i, _ in found], "b": [keys[j] for _, j in found]}, dtype="int64")
+        forest = Forest(len(keys))
+        for i, j in links_of([all_[i] for i in order], num, den):
+            forest.join(i, j)
+        # what hangs together goes out as a star, which needs no more rounds to be joined to others
+        out = [(keys[i], keys[forest.root(i)]) for i in range(len(keys)) if forest.root(i) != i]
+        if len(keys) > 1000:
+            give_back()
+        return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype="int64")
 
-    return texts.mapInArrow(sets, "grp long, task string, key long, s binary").groupBy("grp", "task").applyInPandas(search, "a long, b long")
+    return texts.mapInArrow(tidy(sets), "grp long, task string, key long, s binary").groupBy("grp", "task").applyInPandas(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, task_shingles: int = TASK_SHINGLES) -> DataFrame:
@@ -389,23 +395,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         dropped(shared)
         shared = left
     meeting = Window.partitionBy("s").orderBy("n", "key")
-    chained = shared.withColumn("before", F.lag(F.struct("n", "key")).over(meeting)).where(f"before.key <> key and {den} * before.n >= {num} * n")
-    chained = chained.select(F.col("before.key").alias("before"), "key").distinct()
-    near = components(chained, "chains")
+    before = F.lag("n").over(meeting)
+    # the first of each run of sizes stands for it: a star a shingle
+    head = F.last(F.when(before.isNull() | (den * before < num * F.col("n")), F.col("key")), ignorenulls=True).over(meeting.rowsBetween(Window.unboundedPreceding, 0))
+    meets_at = shared.withColumn("head", head).where("head <> key").select("head", "key").distinct()
+    near = components(meets_at, "groups")
     chosen = stored(near.join(sizes, near["node"] == sizes["key"]).select("doc_id", "key", "n", F.col("component").alias("grp")), "chosen")
     found = stored(group_links(docs, chosen, k, num, den, task_shingles), "links")
     dropped(chosen)
     # documents of one set, and sets that link; ids repeated with other texts link these as well
-    same = base.where("doc_id is not null and n > 0").select("doc_id", "key").distinct()
-    classes = components(found, "classes")
-    label = same.join(classes, same["key"] == classes["node"], "left").select("doc_id", F.coalesce("component", "key").alias("class"))
-    label = stored(label.distinct(), "labels")
-    least = label.groupBy("class").agg(F.min("doc_id").alias("first"))
-    joined = label.join(least, "class").select("doc_id", "first").distinct()
-    # ids that repeat with different texts tie several classes together
-    if joined.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        tied = components(joined, "tied")
-        joined = joined.select("doc_id").distinct().join(tied, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("first"))
+    same = base.where("doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), F.col("key").alias("cls")).distinct()
+    joined = smallest_ids(same, found, "documents").select(F.col("id").alias("doc_id"), "first")
     return base.join(joined, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
 
 
