@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddystream.llm.common import plain, small_batches, stored
+from eddystream.llm.common import plain, small_batches, stored, tidy
 from eddystream.llm.components import smallest_ids
 from eddystream.llm.vectors import by_group, kind_of, matrix, unit, valid_vectors
 
 LOAD, MISS, SEED = 1024, 0.01, 9
 #: A cap with more vectors is compared part by part, in several tasks.
-PART = 4096
+PART = 2048
 #: A cap's number among all: its own below, a mark of the vectors' length above.
 CAP_MASK = (1 << 46) - 1
 #: Words of a block's code at most; more directions need more blocks.
@@ -69,19 +69,22 @@ def make_code(dim: int, n: int, cosine: float) -> Code:
     mean = NormalDist().pdf(cap) / share  # of a vector's product with a direction that it exceeds
     both = share * (1 - NormalDist().cdf((cap - cosine * mean) / math.sqrt(1 - cosine * cosine + 1e-12)))
     rng = np.random.Generator(np.random.PCG64([SEED, 1]))
-    x = unit(rng.normal(size=(600, dim))) if dim > 1 else np.ones((600, 1))
-    side = rng.normal(size=(600, dim))
-    side = side - (side * x).sum(1, keepdims=True) * x
-    y = cosine * x + math.sqrt(1 - cosine * cosine) * (unit(side) if dim > 1 else 0 * side)
+    x, side = unit(rng.normal(size=(600, dim))), rng.normal(size=(600, dim))
     want = 6.0
+    if dim < 8:  # too few numbers for products to be normal: a tenth of the sphere, measured
+        code = Code(dim, 1, 60, 0.0)
+        code.least = float(np.quantile((x @ code.turn) @ code.code[0].T, 0.9)) - 1e-9
+        return code
+    side = side - (side * x).sum(1, keepdims=True) * x
+    y = cosine * x + math.sqrt(1 - cosine * cosine) * unit(side)
     while True:
         total = want / max(both, 1e-300)
-        blocks = min(dim, max(2, math.ceil(math.log(total) / math.log(WORDS))))
+        blocks = min(dim // 2, max(2, math.ceil(math.log(total) / math.log(WORDS))))
         words = max(2, math.ceil(total ** (1 / blocks)))
         code = Code(dim, blocks, words, cap / math.sqrt(dim))
         (ra, fa), (rb, fb) = code.decode(x), code.decode(y)
         together = np.intersect1d(ra * words**blocks + fa, rb * words**blocks + fb) // words**blocks
-        if 1 - len(np.unique(together)) / 600 <= MISS or want > 60 or dim == 1:
+        if 1 - len(np.unique(together)) / 600 <= MISS or want > 60:
             return code
         want *= 1.25
 
@@ -119,9 +122,10 @@ def met(parts: DataFrame, cosine: float, codes, kind: str) -> DataFrame:
         for i in range(0, len(some) if caps.shape[1] else 0, 1024):
             new[np.ix_(some[i : i + 1024], some)] &= caps[i : i + 1024] @ caps.T == 0
         np.fill_diagonal(new, False)
-        links, root = new @ size, np.arange(n)
+        parts_of = [slice(i, i + 512) for i in range(0, n, 512)]
+        links, root = np.concatenate([new[at] @ size for at in parts_of]), np.arange(n)
         while True:  # the smallest row reachable
-            low = np.minimum(root, np.where(new, root, n).min(1, initial=n))
+            low = np.minimum(root, np.concatenate([np.where(new[at], root, n).min(1) for at in parts_of]))
             low = low[low]
             if (low == root).all():
                 break
@@ -129,7 +133,7 @@ def met(parts: DataFrame, cosine: float, codes, kind: str) -> DataFrame:
         some = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(cls[some], pa.binary()), pa.array(links[some].astype(np.int64)), pa.array(cls[root[some]], pa.binary())], ["cls", "links", "root"])
 
-    return parts.repartition("f", "task").sortWithinPartitions("f", "task").mapInArrow(by_group(("f", "task"), verify), "cls binary, links long, root binary")
+    return parts.repartition("f", "task").sortWithinPartitions("f", "task").mapInArrow(tidy(by_group(("f", "task"), verify)), "cls binary, links long, root binary")
 
 
 def near_vectors(table: DataFrame, cosine: float = 0.9, part: int = PART) -> DataFrame:
@@ -174,7 +178,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, part: int = PART) -> Dat
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(caps + tag))
                 yield pa.RecordBatch.from_arrays([sub.column("cls"), sub.column("size"), sub.column("v"), lists], ["cls", "size", "v", "caps"])
 
-    capped = stored(reps.mapInArrow(decode, "cls binary, size long, v binary, caps array<long>"), "capped")
+    capped = stored(reps.mapInArrow(tidy(decode), "cls binary, size long, v binary, caps array<long>"), "capped")
     load = capped.select(F.explode("caps").alias("f")).groupBy("f").agg(F.count("*").alias("k")).where("k > 1")
     load = load.select("f", F.ceil(F.col("k") / part).cast("int").alias("parts"))
     each = capped.select("cls", "size", "v", F.explode("caps").alias("f")).join(load, "f")
