@@ -7,7 +7,8 @@ without trying all. Vectors that share a cap meet in a task, which verifies
 their cosines. How many directions and how small a cap: so that a cap holds
 about ``LOAD`` vectors of an even crowd, however many there are, and that
 simulated pairs exactly at the threshold miss one another as seldom as
-``MISS``; both follow from the number of vectors alone.
+``MISS``; both follow from the number of vectors alone. If one code can't do
+that, several with turns of their own do, of larger caps if need be.
 """
 
 from __future__ import annotations
@@ -30,16 +31,18 @@ LOAD, MISS, SEED = 1024, 0.01, 9
 PART = 2048
 #: A cap's number among all: its own below, a mark of the vectors' length above.
 CAP_MASK = (1 << 46) - 1
+#: Codes at most that are laid over one another before caps are made larger.
+TURNS = 8
 #: Words of a block's code at most; more directions need more blocks.
 WORDS = 1500
 
 
 class Code:
-    """The directions for vectors of ``dim`` numbers: ``words`` in each of ``blocks`` blocks, caps from ``least`` on."""
+    """The directions for vectors of ``dim`` numbers: ``words`` in each of ``blocks`` blocks, caps from ``least`` on; ``again`` numbers the turn."""
 
-    def __init__(self, dim: int, blocks: int, words: int, least: float) -> None:
-        self.dim, self.blocks, self.words, self.least = dim, blocks, words, least
-        rng = np.random.Generator(np.random.PCG64([SEED, dim, blocks]))
+    def __init__(self, dim: int, blocks: int, words: int, least: float, again: int = 0) -> None:
+        self.dim, self.blocks, self.words, self.least, self.caps = dim, blocks, words, least, words**blocks
+        rng = np.random.Generator(np.random.PCG64([SEED, dim, blocks, again] if again else [SEED, dim, blocks]))
         self.turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.parts = np.array_split(np.arange(dim), blocks)
         self.code = [unit(rng.normal(size=(words, len(p)))) / math.sqrt(blocks) for p in self.parts]
@@ -62,33 +65,81 @@ class Code:
         return row, number
 
 
-def make_code(dim: int, n: int, cosine: float) -> Code:
-    """The code for ``n`` vectors: caps of about LOAD/n of the sphere, and as many as pairs at ``cosine`` need to meet."""
-    share = min(0.1, LOAD / max(n, 1))
+class Codes:
+    """Several codes, each turned anew: pairs that one of them misses have other chances."""
+
+    def __init__(self, codes: list[Code]) -> None:
+        self.codes, self.caps = codes, sum(c.caps for c in codes)
+
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As of one code; a later code's directions are numbered after those of the earlier ones."""
+        rows, numbers, before = [], [], 0
+        for c in self.codes:
+            row, number = c.decode(x)
+            rows.append(row)
+            numbers.append(number + before)
+            before += c.caps
+        return np.concatenate(rows), np.concatenate(numbers)
+
+
+def apart(code: Code, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of ``x`` share no cap with the same row of ``y``."""
+    (ra, fa), (rb, fb) = code.decode(x), code.decode(y)
+    out = np.ones(len(x), bool)
+    out[np.intersect1d(ra * code.caps + fa, rb * code.caps + fb) // code.caps] = False
+    return out
+
+
+def one_turn(dim: int, share: float, cosine: float, x: np.ndarray, y: np.ndarray) -> Code | None:
+    """A code whose caps are about ``share`` of the sphere, of as many as the pairs (x, y) need or some 60 meetings a pair would take; None if caps so small hold nothing."""
+    if dim < 8:  # too few numbers for products to be normal: measured
+        code = Code(dim, 1, 60, 0.0)
+        code.least = float(np.quantile((x @ code.turn) @ code.code[0].T, 1 - share)) - 1e-9
+        return code
     cap = NormalDist().inv_cdf(1 - share)
+    if cap >= math.sqrt(dim):
+        return None
     mean = NormalDist().pdf(cap) / share  # of a vector's product with a direction that it exceeds
     both = share * (1 - NormalDist().cdf((cap - cosine * mean) / math.sqrt(1 - cosine * cosine + 1e-12)))
-    rng = np.random.Generator(np.random.PCG64([SEED, 1]))
-    x, side = unit(rng.normal(size=(600, dim))), rng.normal(size=(600, dim))
     want = 6.0
-    if dim < 8:  # too few numbers for products to be normal: a tenth of the sphere, measured
-        code = Code(dim, 1, 60, 0.0)
-        code.least = float(np.quantile((x @ code.turn) @ code.code[0].T, 0.9)) - 1e-9
-        return code
-    side = side - (side * x).sum(1, keepdims=True) * x
-    y = cosine * x + math.sqrt(1 - cosine * cosine) * unit(side)
     while True:
         total = want / max(both, 1e-300)
         blocks = min(dim // 2, max(2, math.ceil(math.log(total) / math.log(WORDS))))
         words = max(2, math.ceil(total ** (1 / blocks)))
+        if words > WORDS or words**blocks > CAP_MASK // TURNS:
+            return None
         code = Code(dim, blocks, words, cap / math.sqrt(dim))
-        (ra, fa), (rb, fb) = code.decode(x), code.decode(y)
-        together = np.intersect1d(ra * words**blocks + fa, rb * words**blocks + fb) // words**blocks
-        if 1 - len(np.unique(together)) / 600 <= MISS or want > 60:
+        if want > 60 or apart(code, x, y).mean() <= MISS:
             return code
         want *= 1.25
 
 
+def make_code(dim: int, n: int, cosine: float) -> Codes:
+    """The codes for ``n`` vectors: caps of about LOAD/n of the sphere, and as many as pairs at ``cosine`` need to meet.
+
+    Where one code doesn't bring the simulated pairs together, up to TURNS of
+    them do; where these don't either, caps are twice as large, and so on. No
+    code is returned that misses more than ``MISS`` of these pairs: the last
+    resort is one cap that holds all vectors, which compares every pair.
+    """
+    rng = np.random.Generator(np.random.PCG64([SEED, 1]))
+    x, side = unit(rng.normal(size=(600, dim))), rng.normal(size=(600, dim))
+    side = side - (side * x).sum(1, keepdims=True) * x
+    # vectors of one number have nothing at right angles to them
+    y = cosine * x + math.sqrt(1 - cosine * cosine) * unit(side) if dim > 1 else x
+    share = min(0.1, LOAD / max(n, 1))
+    while share < 1:
+        first = one_turn(dim, share, cosine, x, y)
+        codes, left = [], np.ones(len(x), bool)
+        while first is not None and len(codes) < TURNS:
+            codes.append(Code(dim, first.blocks, first.words, first.least, len(codes)))
+            left[left] = apart(codes[-1], x[left], y[left])
+            if left.mean() <= MISS:
+                return Codes(codes)
+        share *= 2
+    return Codes([Code(dim, 1, 1, -2.0)])
+
+
 def classes(vectors: DataFrame) -> DataFrame:
     """(id, cls) with the digest of each vector's numbers: copies are one class."""
     return vectors.select("id", F.unhex(F.md5("v")).alias("cls"))

@@ -78,6 +78,17 @@ def test_list_decoding_is_complete():
     assert set(zip(row.tolist(), number.tolist(), strict=True)) == want
 
 
+@pytest.mark.parametrize(("dim", "n"), [(64, 51_000), (64, 20_000_000), (64, 100_000_000), (16, 1_000_000), (8, 500_000), (3, 1000), (2, 1000), (1, 1000)])
+def test_pairs_at_the_threshold_meet_at_any_size(dim, n):
+    rng = np.random.default_rng(77)
+    x, side = unit(rng.normal(size=(1500, dim))), rng.normal(size=(1500, dim))
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * unit(side) if dim > 1 else x
+    code = cap_filters.make_code(dim, n, 0.9)
+    seen = [set(zip(*(a.tolist() for a in code.decode(v)), strict=True)) for v in (x, y)]
+    assert len({row for row, _ in seen[0] & seen[1]}) >= 0.98 * len(x)
+
+
 # ---- nearest -----------------------------------------------------------------
 
 
