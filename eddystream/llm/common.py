@@ -1,8 +1,6 @@
 """What the operators of this subpackage share: tables, the shared folder, batches.
 
-Lineage is cut by writing a table into the folder that ``spark.checkpoint.dir``
-names, so a lost executor only costs the tasks that it ran. The setting is read
-from the session; a folder of our own is used only where it is unset.
+Lineage is cut by :func:`eddystream.session.stored`.
 """
 
 from __future__ import annotations
@@ -10,17 +8,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddystream.session import ship
-
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_FALLBACK = "/tmp/checkpoints/eddystream"
+from eddystream.session import dropped, shared_dir, ship, stored  # noqa: F401  the operators take them from here
 
 #: Rows and bytes of one Arrow batch: texts can be long, so rows are few.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -30,13 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or LOCAL_FALLBACK).rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of texts small enough for a worker's memory, and sends this package to the workers."""
     ship(spark)
@@ -66,28 +53,6 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, without its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/eddystream-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._eddystream_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a table made by :func:`stored` that nothing reads any more, and the shuffle files of plans that are gone."""
-    path = getattr(df, "_eddystream_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        gc.collect()
-        jvm.System.gc()  # Spark's cleaner removes what no live plan refers to
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        target.getFileSystem(conf).delete(target, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

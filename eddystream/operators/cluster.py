@@ -7,12 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddystream.functions.geometry import cell, dense_side, stencil
+from eddystream.functions.geometry import cell, dense_side, join_side, near, stencil
+from eddystream.operators.components import components
 from eddystream.operators.kernel import cluster_chunk, cluster_window, roots
-from eddystream.operators.neighbors import neighbor_counts_incremental, window_pairs
+from eddystream.operators.neighbors import moved_cells, neighbor_counts_incremental, window_pairs
 from eddystream.operators.windows import count_windows, dense_cells, first_window, last_window, n_windows
 from eddystream.params import BORDER, CORE, NOISE, DbscanParams
-from eddystream.session import ship
+from eddystream.session import ship, stored
 
 RESULT = "window_id int, seq long, pos int, label int, cluster_id long"
 
@@ -127,6 +128,42 @@ def dbscan_static(points: DataFrame, p: DbscanParams, n: int) -> DataFrame:
     return one.groupBy("window_id").applyInPandas(run, "seq long, label int, cluster_id long")
 
 
+def dbscan_whole(points: DataFrame, p: DbscanParams) -> DataFrame:
+    """One clustering of all rows, however many: (seq, label, cluster_id), as :func:`dbscan_static` has them for a single window.
+
+    Rows at one place are one point with a count. Near points come from a join
+    on cells, so they cost what the points near one another are, and points
+    that many others are near to are spread as that join is. Cores of one
+    dense cell hang together, so what is handed to :func:`components` is links
+    between cells. Tables between are written to the shared folder. No rows
+    give no rows.
+    """
+    axes, fine = [f"c{a}" for a in p.axes], [f"d{a}" for a in p.axes]
+    # the axes beyond p.dims have no say in what is near
+    places = stored(points.groupBy(*p.axes).agg(F.min("seq").alias("at"), F.count("*").alias("n")), "places")
+    cells = places.withColumns(cell(p, join_side(p)))
+    a = cells.select("at", "n", *p.axes, F.explode(moved_cells(p)).alias("to")).select("at", "n", *p.axes, "to.*").alias("a")
+    b = cells.alias("b")
+    on = F.col("a.at") < F.col("b.at")
+    for k in axes:
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    pairs = a.join(b, on & near(p)).select(F.col("a.at").alias("at"), F.col("a.n").alias("n"), F.col("b.at").alias("other"), F.col("b.n").alias("n_other"))
+    pairs = stored(pairs, "near-places")
+    both = pairs.select("at", "other", "n_other").union(pairs.select("other", "at", "n"))
+    beside = both.groupBy("at").agg(F.sum("n_other").alias("more"))
+    counted = places.join(beside, "at", "left").where(F.col("n") + F.coalesce("more", F.lit(0)) >= p.min_pts)
+    cored = counted.withColumns(cell(p, dense_side(p), "d")).select("at", *fine)
+    heads = cored.groupBy(*fine).agg(F.min("at").alias("head"))
+    cores = stored(cored.join(heads, fine).select("at", "head"), "cores")
+    links = pairs.select("at", "other").join(cores, "at").join(cores.select(F.col("at").alias("other"), F.col("head").alias("head_other")), "other")
+    comps = components(links.where("head <> head_other").select("head", "head_other").distinct(), "cells")
+    rooted = stored(cores.join(comps, F.col("head") == F.col("node"), "left").select("at", F.coalesce("component", "head").alias("root")), "roots")
+    touched = both.join(rooted.withColumnRenamed("at", "other"), "other").groupBy("at").agg(F.min("root").alias("touched"))
+    marked = places.join(rooted, "at", "left").join(touched, "at", "left").select(*p.axes, "root", "touched")
+    label = F.when(F.col("root").isNotNull(), CORE).when(F.col("touched").isNotNull(), BORDER).otherwise(NOISE)
+    return points.select("seq", *p.axes).join(marked, list(p.axes)).select("seq", label.alias("label"), F.coalesce("root", "touched", "seq").alias("cluster_id"))
+
+
 # ---- mixed primitives --------------------------------------------------------
 
 

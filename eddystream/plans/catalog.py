@@ -248,6 +248,8 @@ comps(pos, root) USING KEY (pos) AS (
 SELECT p.seq, CAST(CASE WHEN c.pos IS NOT NULL THEN 0 WHEN b.root IS NOT NULL THEN 1 ELSE 2 END AS INTEGER) AS label, coalesce(c.root, b.root, p.seq) AS cluster_id
 FROM pts p LEFT JOIN comps c ON c.pos = p.seq LEFT JOIN (SELECT pa AS pos, min(root) AS root FROM near JOIN comps k ON k.pos = pb GROUP BY pa) b ON b.pos = p.seq""",
     ),
+    # all rows, which dbscan_static and its SQL cut to STATIC_ROWS; held against brute force and dbscan_static in the tests
+    "dbscan_static_whole": (_on("2", cluster.dbscan_whole), None),
     "cluster_sizes": (_on("2", lambda pts, p: report.cluster_sizes(cluster.dbscan_windows(pts, p))), _sql("2", "SELECT window_id, cluster_id, count(*) AS n_points FROM result GROUP BY ALL", comps=True)),
     "cluster_summary": (
         _on("3", lambda pts, p: report.cluster_summary(cluster.dbscan_windows(pts, p), p.min_pts)),

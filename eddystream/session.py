@@ -1,12 +1,22 @@
-"""Session helpers: Python workers must find this package wherever they run."""
+"""Session helpers: Python workers must find this package wherever they run, and tables are kept in the shared folder.
+
+Lineage is cut by writing a table into the folder that ``spark.checkpoint.dir``
+names, so a lost executor only costs the tasks that it ran. The setting is read
+from the session; a folder of our own is used only where it is unset.
+"""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the session names no shared folder, as in local tests.
+LOCAL_FALLBACK = "/tmp/checkpoints/eddystream"
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,3 +34,32 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, os.path.dirname(top)))
     sc.addPyFile(path)
     sc._eddystream_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (found or LOCAL_FALLBACK).rstrip("/")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, without its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/eddystream-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._eddystream_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table made by :func:`stored` that nothing reads any more, and the shuffle files of plans that are gone."""
+    path = getattr(df, "_eddystream_path", None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        gc.collect()
+        jvm.System.gc()  # Spark's cleaner removes what no live plan refers to
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        target.getFileSystem(conf).delete(target, True)

@@ -111,6 +111,37 @@ def test_joined_and_grouped_clusters_agree_and_verify(spark, stream_points):
     assert (s["n_clusters"], s["n_small"]) == (sum(n >= 3 for n in sizes), sum(n < 3 for n in sizes))
 
 
+@pytest.mark.parametrize("p", [P, DbscanParams(20, 5, 1, 0.4, 2), DbscanParams(20, 5, 5, 0.6, 1), DbscanParams(20, 5, 4, 1.5, 3)])
+def test_all_rows_are_clustered_at_once(spark, p):
+    rng = random.Random(5)
+    at = {i: tuple(rng.choice((-0.0, 0.0, 0.25)) if a == 2 else rng.randint(-40, 40) / 4 for a in range(3)) for i in range(400)}
+    points = spark.createDataFrame([(i, *x) for i, x in at.items()], src.POINT)
+    near = {i: [j for j in at if sum((a - b) ** 2 for a, b in zip(at[i][: p.dims], at[j][: p.dims])) < p.radius**2] for i in at}
+    root = {i: i for i in at if len(near[i]) >= p.min_pts}
+    while any((low := min(root[j] for j in near[i] if j in root)) < root[i] and not root.update({i: low}) for i in list(root)):
+        pass
+    want = []
+    for i in at:
+        beside = [root[j] for j in near[i] if j in root]
+        want.append((i, 0, root[i]) if i in root else (i, 1, min(beside)) if beside else (i, 2, i))
+    assert rows(cluster.dbscan_whole(points.repartition(3), p), "seq", "label", "cluster_id") == want
+    assert rows(cluster.dbscan_static(points, p, 400), "seq", "label", "cluster_id") == want
+    assert cluster.dbscan_whole(points.where("seq < 0"), p).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
+def test_the_whole_static_query_has_every_event(spark):
+    from eddystream.plans import catalog
+
+    sf, cols = "/root/testdata/sf0.01", ("seq", "label", "cluster_id")
+    points = src.events_points(spark, sf, 2)
+    got = rows(catalog.queries()["dbscan_static_whole"](spark, sf), *cols)
+    assert len(got) == points.count() > catalog.STATIC_ROWS
+    assert got == rows(cluster.dbscan_static(points, catalog.P2, len(got)), *cols)
+    first = points.where(F.col("seq") < catalog.STATIC_ROWS)
+    assert rows(cluster.dbscan_whole(first, catalog.P2), *cols) == rows(catalog.queries()["dbscan_static"](spark, sf), *cols)
+
+
 def test_tumbling_and_minimal_points(spark, stream_points):
     for p in (DbscanParams(20, 20, 3, 1.2, 2), DbscanParams(20, 5, 1, 1.2, 2), DbscanParams(20, 4, 2, 50.0, 1)):
         cols = ("window_id", "seq", "label", "cluster_id")
