@@ -74,11 +74,13 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and src <> dst").distinct()
 
 
-def propagate(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: int = DAMPING) -> DataFrame:
+def propagate(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: int = DAMPING, by_links: bool = False) -> DataFrame:
     """(host, trust, distrust) of ``hosts`` (host, good, bad: its shares of allowed and blocked pages, in 1/SCALE) and all that ``links`` name.
 
     A round gives each host what its seeds are worth and what its neighbours
     pass on, shared evenly by their links; it ends early once nothing changes.
+    With ``by_links``, a host's distrust from others is the mean of what its
+    own links go to, which the number of links to a host doesn't shrink.
     Every round is written to the shared folder, so lineage stays short.
     """
     links = stored(links, "links")
@@ -93,13 +95,15 @@ def propagate(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
     now = stored(now, "hosts")
     for _ in range(rounds):
         gives = now.where("n_out > 0").select(F.col("host").alias("src"), F.expr("trust div n_out").alias("t"))
-        takes = now.where("n_in > 0").select(F.col("host").alias("dst"), F.expr("distrust div n_in").alias("d"))
+        takes = now.where("n_in > 0").select(F.col("host").alias("dst"), F.expr("distrust" if by_links else "distrust div n_in").alias("d"))
         got = links.join(gives, "src").select(F.col("dst").alias("host"), "t", F.lit(0).cast("long").alias("d")).union(
             links.join(takes, "dst").select(F.col("src").alias("host"), F.lit(0).cast("long"), "d")
         )
         got = got.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         step = lambda seed, more: F.expr(f"({100 - damping} * {seed} + {damping} * coalesce({more}, 0)) div 100")
-        new = now.join(got, "host", "left").select(
+        got = now.join(got, "host", "left")
+        got = got.withColumn("d", F.expr("d div greatest(n_out, 1)")) if by_links else got
+        new = got.select(
             "host", "good", "bad", "n_out", "n_in", step("good", "t").alias("trust"), step("bad", "d").alias("distrust"),
             (F.col("trust") != step("good", "t")).alias("ct"), (F.col("distrust") != step("bad", "d")).alias("cd"),
         )
@@ -111,13 +115,14 @@ def propagate(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
     return now.select("host", "trust", "distrust")
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, by_links: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every row of ``pages`` (page_id, url, html).
 
     A null url or one without ``://`` has an empty host and path, fits no rule,
     belongs to no node of the graph (trust and distrust 0) and is allowed. A
     null html has no links. Repeated rows are pages of their own. Hosts that no
-    seed reaches are allowed. An empty table gives no rows.
+    seed reaches are allowed. An empty table gives no rows. ``by_links`` is as
+    for :func:`propagate`.
     """
     host, path = host_path(F.col("url"))
     rows = plain(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
@@ -125,7 +130,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     rows = rows.withColumn("rule", rule).withColumn("allow", allow)
     share = lambda what: F.expr(f"count_if({what}) * {SCALE} div count(*)")
     hosts = rows.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("not allow").alias("bad"))
-    scores = propagate(hosts, host_links(pages))
+    scores = propagate(hosts, host_links(pages), by_links=by_links)
     # pages of one host may be a third of all, so the few rows a host are sent to them if they are few
     scores = F.broadcast(scores) if scores.count() <= BROADCAST_HOSTS else scores
     joined = rows.join(scores, "host", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("trust", "distrust")})
@@ -138,6 +143,11 @@ def op1_link_graph(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op1_link_graph_farms(spark, sf_dir: str) -> DataFrame:
+    """Verdicts that hold for link farms of any size, by the mean distrust of what a host links to."""
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), by_links=True)
+
+
 def _sql() -> str:
     fits = "(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')"
     by_length = sorted(RULES, key=lambda r: -len(r.text))

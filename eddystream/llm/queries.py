@@ -17,6 +17,7 @@ _ALL = (
     ("op8_stable_projections", "stable_knn", None),
     ("op9_cap_filters", "cap_filters", None),
     ("op10_ngram_join", "ngram_join", None),
+    ("op1_link_graph_farms", "link_graph", None),
 )
 
 
