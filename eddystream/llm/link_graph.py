@@ -80,7 +80,8 @@ def propagate(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
     A round gives each host what its seeds are worth and what its neighbours
     pass on, shared evenly by their links; it ends early once nothing changes.
     With ``by_links``, a host's distrust from others is the mean of what its
-    own links go to, which the number of links to a host doesn't shrink.
+    own links go to, which the number of links to a host doesn't shrink, and
+    scores start at nothing, so that unfinished rounds can only lack a little.
     Every round is written to the shared folder, so lineage stays short.
     """
     links = stored(links, "links")
@@ -90,7 +91,7 @@ def propagate(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
     now = (
         named.join(hosts, "host", "left").join(out, "host", "left").join(in_, "host", "left")
         .select("host", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("good", "bad", "n_out", "n_in")))
-        .withColumn("trust", F.col("good")).withColumn("distrust", F.col("bad"))
+        .withColumn("trust", F.lit(0).cast("long") if by_links else F.col("good")).withColumn("distrust", F.lit(0).cast("long") if by_links else F.col("bad"))
     )
     now = stored(now, "hosts")
     for _ in range(rounds):

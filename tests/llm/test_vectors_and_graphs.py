@@ -205,13 +205,13 @@ def test_farms_of_any_size_and_the_hosts_near_a_blocked_one_are_blocked(spark):
     a = lambda *to: "".join(f'<a href="http://{t}/">x</a>' for t in to)
     rows = [(0, "http://spam.com/en/1", ""), (1, "http://good.net/de/1", a("plain.xyz"))]
     rows += [(100 + i, f"http://farm{i}.xyz/", a("spam.com")) for i in range(400)]
-    rows += [(1000 + i, f"http://chain{i}.xyz/", a(f"chain{i - 1}.xyz" if i else "spam.com")) for i in range(15)]
+    rows += [(1000 + i, f"http://chain{i}.xyz/", a(f"chain{i - 1}.xyz" if i else "spam.com")) for i in range(30)]
     rows += [(2000, "http://plain.xyz/", a("spam.com", *(f"other{i}.xyz" for i in range(9))))]
     got = {r["page_id"]: r for r in link_graph.judge(pages(spark, rows), by_links=True).collect()}
     assert {got[100 + i]["verdict"] for i in range(400)} == {"block"} and got[2000]["verdict"] == "allow"
-    verdicts = [got[1000 + i]["verdict"] for i in range(15)]
+    verdicts = [got[1000 + i]["verdict"] for i in range(30)]
     far = verdicts.index("allow")
-    assert 1 <= far and verdicts == ["block"] * far + ["allow"] * (15 - far)
+    assert 1 <= far and verdicts == ["block"] * far + ["allow"] * (30 - far)
     score = link_graph.SCALE * 15 // 100
     for i in range(15):  # a hop takes 15 in 100
         score = 85 * score // 100
@@ -226,7 +226,7 @@ def test_distrust_by_links_equals_brute_force(spark):
     got = link_graph.propagate(spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, good long, bad long"), spark.createDataFrame(edges, "src string, dst string"), rounds=6, by_links=True)
     named = set(seeds) | {h for e in edges for h in e}
     out = {h: [y for x, y in edges if x == h] for h in named}
-    now = {h: seeds.get(h, (0, 0)) for h in named}
+    now = dict.fromkeys(named, (0, 0))
     for _ in range(6):
         trust = {h: sum(now[x][0] // len(out[x]) for x, y in edges if y == h) for h in named}
         distrust = {h: sum(now[y][1] for y in out[h]) // max(len(out[h]), 1) for h in named}
