@@ -6,7 +6,7 @@ assistant and all others as named users; the mask marks what the speaker says.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eddystream.llm.common import plain
@@ -31,9 +31,14 @@ def perspectives(turns: DataFrame, block_turns: int = BLOCK_TURNS, system: str =
     mark included, counted in characters of ``text`` from 0. An empty table
     gives no rows.
     """
+    return _views(turns, F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(0)), system)
+
+
+def _views(turns: DataFrame, block: Column, system: str) -> DataFrame:
+    """The views of each ``block`` of a dialogue by itself."""
     rows = plain(turns, "conv_id", "turn", "role", "text").select(
         "conv_id",
-        F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(0)).cast("long").alias("block"),
+        block.cast("long").alias("block"),
         F.struct("turn", F.coalesce("role", F.lit(NOBODY)).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("said"),
     )
     blocks = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("said")).alias("all"))
@@ -60,11 +65,35 @@ def perspectives(turns: DataFrame, block_turns: int = BLOCK_TURNS, system: str =
     )
 
 
+def whole_views(turns: DataFrame, block_turns: int = BLOCK_TURNS, system: str = SYSTEM) -> DataFrame:
+    """(conv_id, participant, n_turns, n_own, text, mask): one view of the whole dialogue a participant, however long it is.
+
+    As :func:`perspectives`, but blocks are only a step between: they are
+    rendered apart and joined in order, and masks count from the start of the
+    dialogue. Turns without a number are a block of their own, the first. A
+    view is one row, so its text has to fit into one.
+    """
+    blocks = _views(turns, F.floor(F.col("turn") / block_turns), system)
+    before = Window.partitionBy("conv_id", "participant").orderBy(F.asc_nulls_first("block")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("at", F.coalesce(F.sum(F.length("text").cast("long")).over(before), F.lit(0)))
+    moved = F.transform("mask", lambda m: F.struct((m["start"] + F.col("at")).alias("start"), m["length"].alias("length")))
+    placed = placed.select("conv_id", "participant", "n_turns", "n_own", F.struct("at", "text", moved.alias("mask")).alias("piece"))
+    whole = placed.groupBy("conv_id", "participant").agg(F.sum("n_turns").alias("n_turns"), F.sum("n_own").alias("n_own"), F.sort_array(F.collect_list("piece")).alias("pieces"))
+    return whole.select("conv_id", "participant", "n_turns", "n_own", F.array_join("pieces.text", "").alias("text"), F.flatten("pieces.mask").alias("mask"))
+
+
+def op4_chat_whole(spark, sf_dir: str) -> DataFrame:
+    """Every whole view, with the mask as in :func:`op4_chat_perspectives`."""
+    return _spans(whole_views(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def _spans(out: DataFrame) -> DataFrame:
+    return out.withColumn("mask", F.array_join(F.transform("mask", lambda m: F.concat_ws("+", m["start"].cast("string"), m["length"].cast("string"))), ","))
+
+
 def op4_chat_perspectives(spark, sf_dir: str) -> DataFrame:
     """Every view; the mask as a string of start+length pairs, which compares alike everywhere."""
-    out = perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("+", m["start"].cast("string"), m["length"].cast("string"))), ",")
-    return out.withColumn("mask", spans)
+    return _spans(perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 OP4_SQL = r"""

@@ -18,6 +18,7 @@ _ALL = (
     ("op9_cap_filters", "cap_filters", None),
     ("op10_ngram_join", "ngram_join", None),
     ("op1_link_graph_farms", "link_graph", None),
+    ("op4_chat_whole", "chat", None),
 )
 
 

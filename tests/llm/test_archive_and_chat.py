@@ -98,3 +98,24 @@ def test_views_equal_their_sql(spark):
     got = got.withColumn("mask", spans)
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({chat.OP4_SQL})").fetchall()
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_a_long_dialogue_is_one_view_a_participant(spark):
+    rows = TURNS + [(9, i * 3 - 90, ("u1", "u2", "system", "u3")[i % 4], f"turn {i}é") for i in range(200)] + [(9, None, "u2", "first"), (9, None, None, None)]
+    got = chat.whole_views(turns(spark, rows)).collect()
+    views = {(r["conv_id"], r["participant"]): r for r in got}
+    assert len(views) == len(got)
+    want = set()
+    for conv in {c for c, *_ in rows}:
+        said = sorted(((t is not None, t or 0, r or "unknown", x or "") for c, t, r, x in rows if c == conv))
+        for who in {r for _, _, r, _ in said} - {"system"}:
+            want.add((conv, who))
+            text, mask = "", []
+            for _, _, r, x in said:
+                text += "<|assistant|>\n" if r == who else "<|system|>\n" if r == "system" else f"<|user name={r}|>\n"
+                mask += [(len(text), len(x) + 8)] if r == who else []
+                text += x + "<|end|>\n"
+            view = views[conv, who]
+            assert view["text"] == text and [tuple(m) for m in view["mask"]] == mask
+            assert (view["n_turns"], view["n_own"]) == (len(said), len(mask))
+    assert set(views) == want and chat.whole_views(turns(spark, [])).count() == 0
