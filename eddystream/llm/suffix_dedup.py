@@ -100,13 +100,13 @@ def surroundings(at: np.ndarray, off: np.ndarray, length: int, seed: int) -> tup
 
 
 def anchor_table(docs: DataFrame, length: int) -> DataFrame:
-    """(h, c, did, at) of every anchor: hashes of its seed and of its surroundings, its row, the row's text hash with its place."""
+    """(h, c, did, at) of every anchor: hashes of its seed and of its surroundings, its row by id and text hash, its place there."""
     seed = seed_of(length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = textops.raw(b.column("text"))
-            did, th = b.column("did").to_numpy(), b.column("th").to_numpy().astype(np.int64)
+            did, th = b.column("did").to_numpy(), b.column("th").to_numpy()
             for i, j in textops.pieces(off):
                 part, po = buf[off[i] : off[j]], off[i : j + 1] - off[i]
                 at, h = anchors(part, po, length, seed)
@@ -115,10 +115,10 @@ def anchor_table(docs: DataFrame, length: int) -> DataFrame:
                 row, before, after = surroundings(at, po, length, seed)
                 c = Hashes(part).of(at - before, at + after)
                 c = textops.mix(c + (before * 4096 + after).astype(np.uint64))
-                where = (th[i + row] << 32) | (at - po[row])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(did[i + row]), pa.array(where)], ["h", "c", "did", "at"])
+                where = (at - po[row]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(did[i + row]), pa.array(th[i + row]), pa.array(where)], ["h", "c", "did", "th", "at"])
 
-    return docs.mapInArrow(tidy(find), "h long, c long, did long, at long")
+    return docs.mapInArrow(tidy(find), "h long, c long, did long, th long, at int")
 
 
 # ---- deep-shallow sorting ----------------------------------------------------
@@ -284,10 +284,10 @@ def covered(found: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """(did, th, text, m0, m1, ...): did and th name a row; rows equal in both have equal texts and so equal results."""
+    """(did, th, text, m0, m1, ...): did and th name a row; rows equal in both, th having 64 bits, have equal texts and so equal results."""
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did")
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    return docs.select(did, F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("th"), text, *(F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(more)))
+    return docs.select(did, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), text, *(F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(more)))
 
 
 def contexts(texts: DataFrame, length: int) -> DataFrame:
@@ -303,7 +303,7 @@ def contexts(texts: DataFrame, length: int) -> DataFrame:
             for i, rows in enumerate(reps):
                 text = buf[off[i] : off[i + 1]].tobytes()
                 for r in rows:
-                    at = r["at"] & 0xFFFFFFFF
+                    at = r["at"]
                     nb, na = min(at, reach), min(len(text) - at, length)
                     out.append((r["h"], r["c"], r["twice"], nb, na, text[at - nb : at + na]))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
@@ -420,13 +420,12 @@ def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     some = stored(all_.join(often, "h"), "repeated-anchors")
     dropped(often)
     dropped(all_)
-    classes = stored(some.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("did", "at")).alias("rep")), "surroundings")
+    classes = stored(some.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("did", "th", "at")).alias("rep")), "surroundings")
     mixed = stored(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "mixed-seeds")
 
     def around(seeds: DataFrame) -> DataFrame:
         """The different surroundings of ``seeds``, from one row each that has them."""
-        th = F.shiftright("rep.at", 32).cast("int").alias("th")
-        reps = classes.join(seeds, "h").select("rep.did", th, F.struct("h", "c", (F.col("m") > 1).alias("twice"), F.col("rep.at").alias("at")).alias("r"))
+        reps = classes.join(seeds, "h").select("rep.did", "rep.th", F.struct("h", "c", (F.col("m") > 1).alias("twice"), F.col("rep.at").alias("at")).alias("r"))
         by_row = reps.groupBy("did", "th").agg(F.collect_list("r").alias("reps"))
         # equal rows are one: the same key, the same text
         return contexts(slim.join(by_row, ["did", "th"]).dropDuplicates(["did", "th"]).select("text", "reps"), length)
@@ -445,9 +444,9 @@ def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     marks = parts.sortWithinPartitions("g").mapInArrow(tidy(sorted_repeats(length)), "h long, c long, lo int, hi int")
     for more in found:
         marks = marks.unionByName(more)
-    at = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
+    at = F.col("at")
     spans = some.join(marks, ["h", "c"]).select(
-        "did", F.shiftright("at", 32).cast("int").alias("th"),
+        "did", "th",
         F.struct(F.greatest(at + F.col("lo"), F.lit(0)).cast("int").alias("lo"), (at + F.col("hi")).cast("int").alias("hi")).alias("s"),
     )
     return spans.groupBy("did", "th").agg(F.collect_set("s").alias("spans"))

@@ -331,3 +331,12 @@ def test_words_are_what_the_pattern_finds(texts):
         for w, h in zip(words, own, strict=True):
             assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+def test_texts_without_an_id_that_share_a_short_hash_are_rows_of_their_own(spark):
+    texts = spark.range(300_000).select(F.concat(F.sha2(F.col("id").cast("string"), 512), F.sha2((-F.col("id") - 1).cast("string"), 512)).alias("text"))
+    pair = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("both")).where("size(both) = 2").orderBy("both").first()["both"]
+    for a, b in (pair, pair[::-1]):
+        docs = spark.createDataFrame([(None, a), (None, b), (5, a)], "doc_id long, text string")
+        got = {(r["doc_id"], r["n_removed"], bytes(r["kept"]).decode()) for r in suffix_dedup.deduplicate(docs).collect()}
+        assert got == {(None, 256, ""), (None, 0, b), (5, 256, "")}
