@@ -7,6 +7,7 @@ written as Parquet and read again as the next one's input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eddystream.llm import mixing, ngram_join, packing, quality, suffix_dedup
 from eddystream.llm.common import stored, table
@@ -20,8 +21,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles have a similarity of 0.8 or more."""
-    return ngram_join.distinct_documents(docs)
+    """One document of each group whose sets of five-word shingles have a similarity of 0.8 or more.
+
+    Rows without an id go by a 62-bit hash of the row above all usual ids, so
+    that of their copies one stays, and none beside a copy that has an id.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    hash_ = F.xxhash64(*names).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = docs.withColumn("eddystream_no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), hash_))
+    left = ngram_join.distinct_documents(keyed)
+    kind = docs.schema["doc_id"].dataType
+    return left.withColumn("doc_id", F.when(~F.col("eddystream_no_id"), F.col("doc_id")).cast(kind)).select(*names)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

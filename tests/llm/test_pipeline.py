@@ -75,3 +75,13 @@ def test_queries_run_and_equal_their_sql(spark, name):
         want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
         short = lambda r: str(tuple(float(f"{x:.9g}") if isinstance(x, float) else x for x in r))
         assert sorted(map(short, rows)) == sorted(map(short, want))
+
+
+def test_documents_without_an_id_are_grouped_too(spark):
+    words = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    rows = [(None, words(1), "a")] * 4 + [(None, words(1) + " more", "b"), (None, words(2), "a"), (7, words(3), "a"), (None, words(3), "b"), (8, words(4), "a"), (None, "short", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.one_of_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns and got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    left = sorted((r["doc_id"] or 0, r["text"].removesuffix(" more")) for r in got.collect())
+    assert left == sorted([(0, words(1)), (0, words(2)), (7, words(3)), (8, words(4)), (0, "short")])
