@@ -2,20 +2,22 @@
 
 Lineage is cut by writing a table into the folder that ``spark.checkpoint.dir``
 names, so a lost executor only costs the tasks that it ran. The setting is read
-from the session; a folder of our own is used only where it is unset.
+from the session; a folder of our own is used only where it is unset and all
+runs on one machine. Tables there are deleted when the session ends, or before.
 """
 
 from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where a local session names no shared folder, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints/eddystream"
 
 
@@ -37,17 +39,34 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; a session over several machines has to name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or LOCAL_FALLBACK).rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """``path`` and its file system, as the JVM has them."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the session ends."""
+    path = f"{shared_dir(spark)}/eddystream-{label}-{uuid.uuid4().hex}"
+    target, files = _hadoop(spark, path)
+    files.mkdirs(target)  # only what exists can be marked
+    files.deleteOnExit(target)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again, without its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/eddystream-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch(spark, label)
+    df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._eddystream_path = path
     return out
@@ -57,9 +76,8 @@ def dropped(df: DataFrame) -> None:
     """Deletes a table made by :func:`stored` that nothing reads any more, and the shuffle files of plans that are gone."""
     path = getattr(df, "_eddystream_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
         gc.collect()
-        jvm.System.gc()  # Spark's cleaner removes what no live plan refers to
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        target.getFileSystem(conf).delete(target, True)
+        df.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner removes what no live plan refers to
+        target, files = _hadoop(df.sparkSession, path)
+        files.delete(target, True)
+        files.cancelDeleteOnExit(target)
