@@ -4,18 +4,19 @@ Filter directions are a structured code: each is made of one word of each of a
 few small random codes on blocks of the (rotated) coordinates, so there are
 words**blocks of them, and list decoding finds those whose cap holds a vector
 without trying all. Vectors that share a cap meet in a task, which verifies
-their cosines. How many directions and how small a cap: so that a cap holds
-about ``LOAD`` vectors of an even crowd, however many there are, and that
-simulated pairs exactly at the threshold miss one another as seldom as
-``MISS``; both follow from the number of vectors alone. If one code can't do
-that, several with turns of their own do, of larger caps if need be.
+their cosines. How small a cap: so that it holds about ``LOAD`` vectors of an
+even crowd, by its exact share of the sphere. How many caps: so that simulated
+pairs exactly at the threshold miss one another as seldom as ``MISS``. If one
+code can't do that, several with turns of their own do; if that takes more than
+``MOST`` caps a vector, caps are twice as large, and so on up to a single one
+that holds all. Both numbers are met at any number of vectors.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,12 @@ LOAD, MISS, SEED = 1024, 0.01, 9
 PART = 2048
 #: A cap's number among all: its own below, a mark of the vectors' length above.
 CAP_MASK = (1 << 46) - 1
-#: Codes at most that are laid over one another before caps are made larger.
-TURNS = 8
+#: Codes at most that are laid over one another, and caps a vector at most, before caps are made larger.
+TURNS, MOST = 8, 600
 #: Words of a block's code at most; more directions need more blocks.
 WORDS = 1500
+#: Pairs that are simulated to see how many miss one another.
+PAIRS = 1500
 
 
 class Code:
@@ -90,26 +93,36 @@ def apart(code: Code, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def one_turn(dim: int, share: float, cosine: float, x: np.ndarray, y: np.ndarray) -> Code | None:
-    """A code whose caps are about ``share`` of the sphere, of as many as the pairs (x, y) need or some 60 meetings a pair would take; None if caps so small hold nothing."""
-    if dim < 8:  # too few numbers for products to be normal: measured
-        code = Code(dim, 1, 60, 0.0)
-        code.least = float(np.quantile((x @ code.turn) @ code.code[0].T, 1 - share)) - 1e-9
-        return code
-    cap = NormalDist().inv_cdf(1 - share)
-    if cap >= math.sqrt(dim):
-        return None
-    mean = NormalDist().pdf(cap) / share  # of a vector's product with a direction that it exceeds
-    both = share * (1 - NormalDist().cdf((cap - cosine * mean) / math.sqrt(1 - cosine * cosine + 1e-12)))
-    want = 6.0
+class Sphere:
+    """What share of the unit sphere in ``dim`` (at least 2) dimensions lies how near to a direction, by its exact density."""
+
+    def __init__(self, dim: int) -> None:
+        self.angle = np.linspace(0, math.pi / 2, 200_001)
+        density = np.sin(self.angle) ** (dim - 2)
+        sum_ = np.concatenate([[0], np.cumsum((density[1:] + density[:-1]) / 2)])
+        self.dim, self.share = dim, sum_ / sum_[-1] / 2
+
+    def least(self, share: float) -> float:
+        """The product with a direction that this share of the sphere reaches."""
+        return math.cos(float(np.interp(share, self.share, self.angle)))
+
+    def both(self, share: float, cosine: float, rng: np.random.Generator, n: int = 20_000) -> float:
+        """Of the directions whose cap of this share holds a vector, the part whose cap holds one at ``cosine`` to it as well."""
+        along = np.cos(np.interp(rng.random(n) * share, self.share, self.angle))
+        across = rng.normal(size=(n, self.dim - 1))
+        across = across[:, 0] / np.linalg.norm(across, axis=1)
+        return float((cosine * along + math.sqrt(1 - cosine * cosine) * np.sqrt(1 - along * along) * across >= self.least(share)).mean())
+
+
+def one_turn(sphere: Sphere, share: float, both: float, x: np.ndarray, y: np.ndarray) -> Code:
+    """A code whose caps are ``share`` of the sphere, of as many as the pairs (x, y) need, or of as many as a share of MOST allows."""
+    want, dim = 6.0, sphere.dim
     while True:
-        total = want / max(both, 1e-300)
-        blocks = min(dim // 2, max(2, math.ceil(math.log(total) / math.log(WORDS))))
-        words = max(2, math.ceil(total ** (1 / blocks)))
-        if words > WORDS or words**blocks > CAP_MASK // TURNS:
-            return None
-        code = Code(dim, blocks, words, cap / math.sqrt(dim))
-        if want > 60 or apart(code, x, y).mean() <= MISS:
+        total = want / (share * both)
+        blocks = min(max(dim // 2, 1), max(2, math.ceil(math.log(total) / math.log(WORDS))))
+        words = min(max(2, math.ceil(total ** (1 / blocks))), WORDS)
+        code = Code(dim, blocks, words, sphere.least(share))
+        if 1.25 * want / both > MOST / TURNS or words == WORDS or apart(code, x, y).mean() <= MISS:
             return code
         want *= 1.25
 
@@ -118,24 +131,30 @@ def make_code(dim: int, n: int, cosine: float) -> Codes:
     """The codes for ``n`` vectors: caps of about LOAD/n of the sphere, and as many as pairs at ``cosine`` need to meet.
 
     Where one code doesn't bring the simulated pairs together, up to TURNS of
-    them do; where these don't either, caps are twice as large, and so on. No
-    code is returned that misses more than ``MISS`` of these pairs: the last
-    resort is one cap that holds all vectors, which compares every pair.
+    them do; where these don't either, or take more than MOST caps a vector,
+    caps are twice as large, and so on. No code is returned that misses more
+    than ``MISS`` of these pairs: the last resort is one cap that holds all
+    vectors, which compares every pair.
     """
+    if dim == 1:  # vectors are 1 or -1
+        sign = Code(1, 1, 2, 0.5)
+        sign.code = [np.array([[1.0], [-1.0]])]
+        return Codes([sign])
     rng = np.random.Generator(np.random.PCG64([SEED, 1]))
-    x, side = unit(rng.normal(size=(600, dim))), rng.normal(size=(600, dim))
+    x, side = unit(rng.normal(size=(PAIRS, dim))), rng.normal(size=(PAIRS, dim))
     side = side - (side * x).sum(1, keepdims=True) * x
-    # vectors of one number have nothing at right angles to them
-    y = cosine * x + math.sqrt(1 - cosine * cosine) * unit(side) if dim > 1 else x
-    share = min(0.1, LOAD / max(n, 1))
-    while share < 1:
-        first = one_turn(dim, share, cosine, x, y)
-        codes, left = [], np.ones(len(x), bool)
-        while first is not None and len(codes) < TURNS:
-            codes.append(Code(dim, first.blocks, first.words, first.least, len(codes)))
-            left[left] = apart(codes[-1], x[left], y[left])
-            if left.mean() <= MISS:
-                return Codes(codes)
+    y = cosine * x + math.sqrt(1 - cosine * cosine) * unit(side)
+    sphere, share = Sphere(dim), min(0.1, LOAD / max(n, 1))
+    while share < 0.5:
+        both = sphere.both(share, cosine, rng)
+        if both * MOST >= 6:  # else these caps are too small for such pairs, however many there are
+            first = one_turn(sphere, share, both, x, y)
+            codes, left = [], np.ones(len(x), bool)
+            while len(codes) < TURNS and (len(codes) + 1) * first.caps * share <= MOST and first.caps <= CAP_MASK // TURNS:
+                codes.append(Code(dim, first.blocks, first.words, first.least, len(codes)))
+                left[left] = apart(codes[-1], x[left], y[left])
+                if left.mean() <= MISS:
+                    return Codes(codes)
         share *= 2
     return Codes([Code(dim, 1, 1, -2.0)])
 
@@ -145,6 +164,45 @@ def classes(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", F.unhex(F.md5("v")).alias("cls"))
 
 
+def marked(rows: DataFrame, kind: str) -> DataFrame:
+    """(vec_id, digest) of every row (vec_id, embedding): the digest that :func:`classes` has for its numbers, or null."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [hashlib.md5(v.values.to_numpy(zero_copy_only=False).astype(kind).tobytes()).digest() if v.is_valid and len(v.values) and not v.values.null_count else None for v in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "digest"])
+
+    return rows.mapInArrow(tidy(digest), "vec_id long, digest binary")
+
+
+def sharing(pairs: np.ndarray, row: np.ndarray, cap: np.ndarray, n_caps: int) -> np.ndarray:
+    """Which of ``pairs`` (a symmetric matrix of truth) share one of the caps that ``row``, ``cap`` list, by whichever of two ways costs less."""
+    n, out = len(pairs), np.zeros(pairs.shape, bool)
+    if not len(row):
+        return out
+    a, b = np.nonzero(np.triu(pairs))
+    most = int(np.bincount(row, minlength=n).max())
+    if len(a) * most * 200 > float(n) * n * n_caps:  # nearly all pairs: a product of matrices, so many caps at once that memory has a bound
+        for k in range(0, n_caps, 4096):
+            at = (cap >= k) & (cap < k + 4096)
+            caps = np.zeros((n, min(4096, n_caps - k)), np.float32)
+            caps[row[at], cap[at] - k] = 1
+            for i in range(0, n, 1024):
+                out[i : i + 1024] |= caps[i : i + 1024] @ caps.T > 0
+        return out
+    # few pairs: each one's two lists side by side, padded with numbers that occur once
+    order = np.argsort(row, kind="stable")
+    row, cap = row[order], cap[order]
+    lists = np.tile(-1 - np.arange(most), (n, 1))
+    lists[row, np.arange(len(row)) - np.searchsorted(row, row)] = cap
+    for i in range(0, len(a), 20_000):
+        x, y = lists[a[i : i + 20_000]], lists[b[i : i + 20_000]]
+        both = np.sort(np.concatenate([x, np.where(y < 0, y - most, y)], 1), axis=1)
+        hit = (both[:, 1:] == both[:, :-1]).any(1)
+        out[a[i : i + 20_000][hit], b[i : i + 20_000][hit]] = out[b[i : i + 20_000][hit], a[i : i + 20_000][hit]] = True
+    return out
+
+
 def met(parts: DataFrame, cosine: float, codes, kind: str) -> DataFrame:
     """(cls, links, root) for vectors that meet: linked vectors of the pairs that no earlier cap has, and one they hang on."""
     size_of = int(kind[-1])
@@ -167,11 +225,8 @@ def met(parts: DataFrame, cosine: float, codes, kind: str) -> DataFrame:
         below = flat < f & CAP_MASK
         known, place, times = np.unique(flat[below], return_inverse=True, return_counts=True)
         shared = times[place] > 1
-        row, place = row[below][shared], (np.cumsum(times > 1) - 1)[place[shared]]
-        caps = np.zeros((len(some), int((times > 1).sum())), np.float32)
-        caps[row, place] = 1
-        for i in range(0, len(some) if caps.shape[1] else 0, 1024):
-            new[np.ix_(some[i : i + 1024], some)] &= caps[i : i + 1024] @ caps.T == 0
+        row, place, n_caps = row[below][shared], (np.cumsum(times > 1) - 1)[place[shared]], int((times > 1).sum())
+        new[np.ix_(some, some)] &= ~sharing(new[np.ix_(some, some)], row, place, n_caps)
         np.fill_diagonal(new, False)
         parts_of = [slice(i, i + 512) for i in range(0, n, 512)]
         links, root = np.concatenate([new[at] @ size for at in parts_of]), np.arange(n)
@@ -184,7 +239,8 @@ def met(parts: DataFrame, cosine: float, codes, kind: str) -> DataFrame:
         some = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(cls[some], pa.binary()), pa.array(links[some].astype(np.int64)), pa.array(cls[root[some]], pa.binary())], ["cls", "links", "root"])
 
-    return parts.repartition("f", "task").sortWithinPartitions("f", "task").mapInArrow(tidy(by_group(("f", "task"), verify)), "cls binary, links long, root binary")
+    keys = ("f", "low", "high")
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(by_group(keys, verify)), "cls binary, links long, root binary")
 
 
 def near_vectors(table: DataFrame, cosine: float = 0.9, part: int = PART) -> DataFrame:
@@ -196,8 +252,9 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, part: int = PART) -> Dat
     and with all that any of them links with. Vectors of different lengths
     never link. Null, empty and zero vectors, ones with null or non-finite
     numbers and rows without an id link with nothing and are kept. A row that
-    repeats an id and a vector counts once; an id with several vectors stands
-    for all of them, with the sum of their links. An empty table gives no rows.
+    repeats an id and a vector counts once, and each such row has that vector's
+    links. Of an id with several vectors each row has its own vector's links,
+    and all have one component. An empty table gives no rows.
     """
     spark = table.sparkSession
     small_batches(spark)
@@ -237,13 +294,15 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, part: int = PART) -> Dat
     # a cap in several parts: every two parts meet, and each part meets itself
     each = each.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    each = each.select("cls", "size", "v", "f", (low * 100_000 + high).cast("int").alias("task"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("half"))
+    each = each.select("cls", "size", "v", "f", low.alias("low"), high.alias("high"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("half"))
     found = stored(met(each, cosine, shared, kind), "vector-links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     first = smallest_ids(members.select("id", "cls"), found.select("cls", "root"), "vectors")
-    per_id = members.join(sizes.select("cls", "size"), "cls").join(links, "cls", "left").groupBy("id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    out = plain(table, "vec_id").select(F.col("vec_id").cast("long").alias("vec_id"))
-    out = out.join(per_id, out["vec_id"] == per_id["id"], "left").drop("id").join(first, F.col("vec_id") == F.col("id"), "left")
+    # a row's own vector decides its links, its id the component
+    own = members.join(sizes.select("cls", "size"), "cls").join(links, "cls", "left").select("id", "cls", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    out = stored(marked(plain(table, "vec_id", "embedding"), kind), "vector-rows")
+    out = out.join(own, (out["vec_id"] == own["id"]) & (out["digest"] == own["cls"]), "left").select("vec_id", "n_links")
+    out = out.join(first, F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("first", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
