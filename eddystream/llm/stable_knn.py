@@ -115,10 +115,10 @@ def cell_of(z: np.ndarray, nodes: list[tuple[int, float]]) -> np.ndarray:
     return at - len(nodes)
 
 
-def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, project: Projection, k: int, bound: float, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of each query's ``k`` nearest in one block, -1 where there are fewer.
+def search(x: np.ndarray, ids: np.ndarray, row_no: np.ndarray, q: np.ndarray, own: np.ndarray, project: Projection, k: int, bound: float, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of each query's ``k`` nearest in one block, scores of -inf where there are fewer.
 
-    ``known`` are scores that the k-th neighbour has at least, from elsewhere.
+    Rows have numbers ``row_no``, of which ``own`` are the queries'. ``known`` are scores that the k-th neighbour has at least, from elsewhere.
     """
     z, zq = project.rows(x), project.queries(q)
     leaves = split(z, LEAF)
@@ -140,7 +140,7 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, proj
         for leaf in np.unique(at):
             rows, cols = live[at == leaf], leaves[leaf]
             score = q[rows] @ x[cols].T
-            score[qids[rows][:, None] == ids[cols]] = -np.inf
+            score[own[rows][:, None] == row_no[cols]] = -np.inf
             better = np.flatnonzero((score >= best[rows, -1:]).any(1) & (score.max(1) > -np.inf))
             if len(better):
                 rows = rows[better]
@@ -148,7 +148,6 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, proj
                 all_i = np.concatenate([who[rows], np.broadcast_to(ids[cols], (len(rows), len(cols)))], 1)
                 top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
                 best[rows], who[rows] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
-    who[best == -np.inf] = -1
     return who, best
 
 
@@ -159,14 +158,17 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, m: int = M, sure: fl
     Scores are inner products of the vectors as given, in double precision.
     Vectors of different lengths aren't compared. Null, empty and zero vectors,
     ones with null or non-finite numbers, and rows without an id take no part.
-    Of rows that repeat an id, one (the least by its bytes) takes part. An
-    empty table gives no rows.
+    Rows that repeat an id all take part, as candidates (of one another as
+    well) and as queries, each of which has its own ranks. An empty table gives
+    no rows.
     """
     spark = table.sparkSession
     small_batches(spark)
     kind = kind_of(table)
     size_of = int(kind[-1])
-    rows = stored(valid_vectors(table).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", (F.length("v") / size_of).cast("int")), "knn-vectors")
+    rows = valid_vectors(table, once=False).withColumn("dim", (F.length("v") / size_of).cast("int"))
+    # a row's number holds from here on, as the table is written
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "knn-vectors")
 
     def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,9 +200,9 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, m: int = M, sure: fl
                 z = projections[int(d)].rows(x)
                 cell = cell_of(z, trees.get(int(d), []))
                 home = cell_of(projections[int(d)].queries(x), trees.get(int(d), []))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(home), pa.array(list(z), pa.list_(pa.float64()))], ["id", "v", "dim", "cell", "home", "z"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(home), pa.array(list(z), pa.list_(pa.float64()))], ["id", "v", "dim", "row", "cell", "home", "z"])
 
-    placed = stored(rows.mapInArrow(tidy(place), "id long, v binary, dim int, cell long, home long, z array<double>"), "knn-cells")
+    placed = stored(rows.mapInArrow(tidy(place), "id long, v binary, dim int, row long, cell long, home long, z array<double>"), "knn-cells")
     # a cell's box and its blocks: a few numbers each, for MOST_CELLS cells at most a length
     boxes = placed.groupBy("dim", "cell").agg(
         F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
@@ -212,41 +214,39 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, m: int = M, sure: fl
         known_boxes[d] = np.array([r["cell"] for r in own]), np.array([r["low"] for r in own]), np.array([r["high"] for r in own])
     blocks = F.broadcast(spark.createDataFrame([(r["dim"], r["cell"], r["blocks"]) for r in boxes], "dim int, cell long, blocks int"))
     where = spark.sparkContext.broadcast(known_boxes)
-    base = placed.join(blocks, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "v", "dim", "cell", "block")
+    base = placed.join(blocks, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).select("row", "id", "v", "dim", "cell", "block")
     asked = placed.where(F.pmod(F.col("id"), F.lit(every)) == 0)
 
     def run(visits: DataFrame) -> DataFrame:
-        """(query_id, vec_id, score) of visits (id, v, dim, cell, known)."""
+        """(query, query_id, vec_id, score) of visits (row, id, v, dim, cell, known); a query is a row's number."""
         visits = visits.join(blocks, ["dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         parts = visits.groupBy("dim", "cell", "block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-        visits = visits.join(parts, ["dim", "cell", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        visits = visits.join(parts, ["dim", "cell", "block"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
         there = base.join(parts, ["dim", "cell", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        both = visits.select("dim", "cell", "block", "part", "id", "v", "known", F.lit(True).alias("asks")).unionByName(
-            there.select("dim", "cell", "block", "part", "id", "v", F.lit(0.0).alias("known"), F.lit(False).alias("asks"))
+        both = visits.select("dim", "cell", "block", "part", "row", "id", "v", "known", F.lit(True).alias("asks")).unionByName(
+            there.select("dim", "cell", "block", "part", "row", "id", "v", F.lit(0.0).alias("known"), F.lit(False).alias("asks"))
         )
 
         def answer(t: pa.Table) -> pa.RecordBatch:
             asks = t.column("asks").to_numpy(zero_copy_only=False)
-            out_q, out_i, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
             if asks.any() and not asks.all():
-                v, ids = matrix(t.column("v"), kind), t.column("id").to_numpy()
-                q, qids, known = v[asks], ids[asks], t.column("known").to_numpy()[asks]
+                v, ids, row_no = matrix(t.column("v"), kind), t.column("id").to_numpy(), t.column("row").to_numpy()
+                q, qids, own, known = v[asks], ids[asks], row_no[asks], t.column("known").to_numpy()[asks]
                 project = index.value[0][t.column("dim")[0].as_py()]
                 for a in range(0, len(q), 512):
-                    who, score = search(v[~asks], ids[~asks], q[a : a + 512], qids[a : a + 512], project, k, bound, known[a : a + 512])
-                    row, col = np.nonzero(who >= 0) if (ids >= 0).all() else np.nonzero(np.isfinite(score))
-                    out_q.append(qids[a + row])
-                    out_i.append(who[row, col])
-                    out_s.append(score[row, col])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_i, out_s)], ["query_id", "vec_id", "score"])
+                    who, score = search(v[~asks], ids[~asks], row_no[~asks], q[a : a + 512], own[a : a + 512], project, k, bound, known[a : a + 512])
+                    row, col = np.nonzero(np.isfinite(score))
+                    found.append((own[a + row], qids[a + row], who[row, col], score[row, col]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query", "query_id", "vec_id", "score"])
 
         keys = ("dim", "cell", "block", "part")
-        return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(by_group(keys, answer)), "query_id long, vec_id long, score double")
+        return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(by_group(keys, answer)), "query long, query_id long, vec_id long, score double")
 
-    first = stored(run(asked.select("id", "v", "dim", F.col("home").alias("cell"), F.lit(float("-inf")).alias("known"))), "knn-home")
+    first = stored(run(asked.select("row", "id", "v", "dim", F.col("home").alias("cell"), F.lit(float("-inf")).alias("known"))), "knn-home")
     # the k-th best so far, where there are k
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.sort_array(F.collect_list("score"), asc=False)[k - 1]).alias("known"))
-    again = asked.join(kth, asked["id"] == kth["query_id"], "left").select("id", "v", "dim", "home", F.coalesce("known", F.lit(float("-inf"))).alias("known"))
+    kth = first.groupBy("query").agg(F.when(F.count("*") >= k, F.sort_array(F.collect_list("score"), asc=False)[k - 1]).alias("known"))
+    again = asked.join(kth, asked["row"] == kth["query"], "left").select("row", "id", "v", "dim", "home", F.coalesce("known", F.lit(float("-inf"))).alias("known"))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projections = index.value[0]
@@ -262,11 +262,11 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, m: int = M, sure: fl
                 near = (gap * gap).sum(2) <= (project.squares(q, known) * bound)[:, None]
                 near &= cells != part.column("home").to_numpy()[:, None]
                 row, cell = np.nonzero(near)
-                got = part.select(["id", "v", "dim"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*got.columns, pa.array(cells[cell].astype(np.int64)), pa.array(known[row])], ["id", "v", "dim", "cell", "known"])
+                got = part.select(["row", "id", "v", "dim"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*got.columns, pa.array(cells[cell].astype(np.int64)), pa.array(known[row])], ["row", "id", "v", "dim", "cell", "known"])
 
-    other = run(again.mapInArrow(tidy(visit), "id long, v binary, dim int, cell long, known double"))
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    other = run(again.mapInArrow(tidy(visit), "row long, id long, v binary, dim int, cell long, known double"))
+    rank = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = first.unionByName(other).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

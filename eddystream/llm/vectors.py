@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from eddystream.llm.common import plain, tidy
 
 
-def valid_vectors(table: DataFrame, id_: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(id, v) of the distinct rows that hold a usable vector: v has its numbers, four or eight bytes each as in the table (:func:`kind_of`).
+def valid_vectors(table: DataFrame, id_: str = "vec_id", column: str = "embedding", once: bool = True) -> DataFrame:
+    """(id, v) of the rows that hold a usable vector, repeated ones ``once``: v has its numbers, four or eight bytes each as in the table (:func:`kind_of`).
 
     Vectors that are null, empty or zero, or hold null or non-finite numbers, are left out, as are rows without an id.
     """
@@ -33,7 +33,8 @@ def valid_vectors(table: DataFrame, id_: str = "vec_id", column: str = "embeddin
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.binary())], ["id", "v"])
 
     slim = plain(table, id_, column).select(F.col(id_).cast("long"), F.col(column))
-    return slim.mapInArrow(tidy(parse), "id long, v binary").distinct()
+    rows = slim.mapInArrow(tidy(parse), "id long, v binary")
+    return rows.distinct() if once else rows
 
 
 def kind_of(table: DataFrame, column: str = "embedding") -> str:
