@@ -3,8 +3,13 @@
 Rules decide the urls that they fit. For all others the host decides: trust
 flows from hosts with allowed pages along links (personalised PageRank), and
 distrust from hosts with blocked pages against the links, to those that link to
-them. Both are counted in whole numbers of 1/SCALE, so that a rerun, in whatever
-order, gives the same numbers.
+them. A host's distrust from others is the mean of what its own links go to, so
+that a farm of any size around one blocked host is blocked host by host. Both
+are linear in their seeds, each of which is worth 1: a host's score doesn't
+shrink as the web grows, and one threshold fits all. A host without links
+passes nothing on. Scores are whole numbers of 1/SCALE, so that a rerun, in
+whatever order, gives the same ones; they start at nothing, grow, and are
+taken once a round moves none of them by more than TOLERANCE.
 """
 
 from __future__ import annotations
@@ -18,12 +23,14 @@ from pyspark.sql import functions as F
 from eddystream.llm.common import dropped, plain, stored
 
 SCALE = 1_000_000_000
-#: Hundredths of a host's score that go on along its links, and rounds at most.
-DAMPING, ROUNDS = 85, 20
+#: Hundredths of a host's score that go on along its links.
+DAMPING = 85
 #: A host is blocked if its distrust exceeds its trust and a fifth of what a host has all of whose pages are blocked.
 LEAST = SCALE * (100 - DAMPING) // 100 // 5
-#: As many hosts at most are broadcast to the pages; more are joined by a shuffle.
-BROADCAST_HOSTS = 200_000
+#: Rounds end once no score moves by more: what is left then adds up to less than a hundredth of LEAST.
+TOLERANCE = LEAST // 1000
+#: Bytes of hosts and scores that are broadcast to the pages at most; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href[ \t\r\n]*=[ \t\r\n]*["']?(?:https?:)?//([^/?#"'<> \t\r\n]+)"""
 
@@ -74,56 +81,47 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and src <> dst").distinct()
 
 
-def propagate(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: int = DAMPING, by_links: bool = False) -> DataFrame:
+def propagate(hosts: DataFrame, links: DataFrame, tolerance: int = TOLERANCE, damping: int = DAMPING) -> DataFrame:
     """(host, trust, distrust) of ``hosts`` (host, good, bad: its shares of allowed and blocked pages, in 1/SCALE) and all that ``links`` name.
 
-    A round gives each host what its seeds are worth and what its neighbours
-    pass on, shared evenly by their links; it ends early once nothing changes.
-    With ``by_links``, a host's distrust from others is the mean of what its
-    own links go to, which the number of links to a host doesn't shrink, and
-    scores start at nothing, so that unfinished rounds can only lack a little.
-    Every round is written to the shared folder, so lineage stays short.
+    A round gives each host what its seeds are worth, the trust that hosts
+    linking to it pass on, shared evenly by their links, and the mean distrust
+    of the hosts that it links to. The rounds' number follows from the graph
+    and ``tolerance``. Every round is written to the shared folder, so lineage
+    stays short.
     """
     links = stored(links, "links")
     out = links.groupBy(F.col("src").alias("host")).agg(F.count("*").alias("n_out"))
-    in_ = links.groupBy(F.col("dst").alias("host")).agg(F.count("*").alias("n_in"))
-    named = hosts.select("host").union(out.select("host")).union(in_.select("host")).distinct()
-    now = (
-        named.join(hosts, "host", "left").join(out, "host", "left").join(in_, "host", "left")
-        .select("host", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("good", "bad", "n_out", "n_in")))
-        .withColumn("trust", F.lit(0).cast("long") if by_links else F.col("good")).withColumn("distrust", F.lit(0).cast("long") if by_links else F.col("bad"))
+    named = hosts.select("host").union(out.select("host")).union(links.select("dst")).distinct()
+    now = named.join(hosts, "host", "left").join(out, "host", "left").select(
+        "host", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("good", "bad", "n_out")), *(F.lit(0).cast("long").alias(c) for c in ("trust", "distrust"))
     )
     now = stored(now, "hosts")
-    for _ in range(rounds):
+    while True:
         gives = now.where("n_out > 0").select(F.col("host").alias("src"), F.expr("trust div n_out").alias("t"))
-        takes = now.where("n_in > 0").select(F.col("host").alias("dst"), F.expr("distrust" if by_links else "distrust div n_in").alias("d"))
+        takes = now.where("distrust > 0").select(F.col("host").alias("dst"), F.col("distrust").alias("d"))
         got = links.join(gives, "src").select(F.col("dst").alias("host"), "t", F.lit(0).cast("long").alias("d")).union(
             links.join(takes, "dst").select(F.col("src").alias("host"), F.lit(0).cast("long"), "d")
         )
-        got = got.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+        got = now.join(got.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "host", "left")
         step = lambda seed, more: F.expr(f"({100 - damping} * {seed} + {damping} * coalesce({more}, 0)) div 100")
-        got = now.join(got, "host", "left")
-        got = got.withColumn("d", F.expr("d div greatest(n_out, 1)")) if by_links else got
-        new = got.select(
-            "host", "good", "bad", "n_out", "n_in", step("good", "t").alias("trust"), step("bad", "d").alias("distrust"),
-            (F.col("trust") != step("good", "t")).alias("ct"), (F.col("distrust") != step("bad", "d")).alias("cd"),
-        )
-        new = stored(new, "hosts")
+        trust, distrust = step("good", "t"), step("bad", "d div greatest(n_out, 1)")
+        moved = F.greatest(F.abs(trust - F.col("trust")), F.abs(distrust - F.col("distrust")))
+        new = stored(got.select("host", "good", "bad", "n_out", trust.alias("trust"), distrust.alias("distrust"), moved.alias("moved")), "hosts")
         dropped(now)
         now = new
-        if not new.where("ct or cd").limit(1).count():
-            break
-    return now.select("host", "trust", "distrust")
+        if not new.where(F.col("moved") > tolerance).limit(1).count():
+            return now.select("host", "trust", "distrust")
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, by_links: bool = False) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, tolerance: int = TOLERANCE) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every row of ``pages`` (page_id, url, html).
 
     A null url or one without ``://`` has an empty host and path, fits no rule,
     belongs to no node of the graph (trust and distrust 0) and is allowed. A
     null html has no links. Repeated rows are pages of their own. Hosts that no
-    seed reaches are allowed. An empty table gives no rows. ``by_links`` is as
-    for :func:`propagate`.
+    seed reaches are allowed. An html of any length is searched whole. An empty
+    table gives no rows.
     """
     host, path = host_path(F.col("url"))
     rows = plain(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
@@ -131,9 +129,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, by_links: bool = Fals
     rows = rows.withColumn("rule", rule).withColumn("allow", allow)
     share = lambda what: F.expr(f"count_if({what}) * {SCALE} div count(*)")
     hosts = rows.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("not allow").alias("bad"))
-    scores = propagate(hosts, host_links(pages), by_links=by_links)
+    scores = propagate(hosts, host_links(pages), tolerance)
     # pages of one host may be a third of all, so the few rows a host are sent to them if they are few
-    scores = F.broadcast(scores) if scores.count() <= BROADCAST_HOSTS else scores
+    size = scores.agg(F.coalesce(F.sum(F.octet_length("host") + 32), F.lit(0))).first()[0]
+    scores = F.broadcast(scores) if size <= BROADCAST_BYTES else scores
     joined = rows.join(scores, "host", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("trust", "distrust")})
     blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") > LEAST)
     verdict = F.when(F.coalesce(F.col("allow"), ~blocked), "allow").otherwise("block")
@@ -144,27 +143,13 @@ def op1_link_graph(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def op1_link_graph_farms(spark, sf_dir: str) -> DataFrame:
-    """Verdicts that hold for link farms of any size, by the mean distrust of what a host links to."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), by_links=True)
-
-
-def _sql() -> str:
+def sql(tolerance: int = TOLERANCE) -> str:
     fits = "(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')"
     by_length = sorted(RULES, key=lambda r: -len(r.text))
     when = lambda what: "CASE " + " ".join(f"WHEN {fits.format(h=r.host, p=r.path)} THEN {what(r)}" for r in by_length) + " END"
     link = LINK.replace("'", "''")
-    rounds = "".join(
-        f""", r{i} AS (
-  SELECT h.host, ({100 - DAMPING} * h.good + {DAMPING} * coalesce(t.t, 0)) // 100 AS trust, ({100 - DAMPING} * h.bad + {DAMPING} * coalesce(d.d, 0)) // 100 AS distrust
-  FROM nodes h
-  LEFT JOIN (SELECT l.dst AS host, sum(r.trust // n.n_out) AS t FROM links l JOIN r{i - 1} r ON r.host = l.src JOIN nodes n ON n.host = l.src GROUP BY l.dst) t ON t.host = h.host
-  LEFT JOIN (SELECT l.src AS host, sum(r.distrust // n.n_in) AS d FROM links l JOIN r{i - 1} r ON r.host = l.dst JOIN nodes n ON n.host = l.dst GROUP BY l.src) d ON d.host = h.host
-)"""
-        for i in range(1, ROUNDS + 1)
-    )
     return f"""
-WITH rest AS (
+WITH RECURSIVE rest AS (
   SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
   SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
@@ -180,15 +165,25 @@ WITH rest AS (
 ), named AS (
   SELECT host FROM hosts UNION SELECT src FROM links UNION SELECT dst FROM links
 ), nodes AS MATERIALIZED (
-  SELECT n.host, coalesce(h.good, 0) AS good, coalesce(h.bad, 0) AS bad,
-         (SELECT count(*) FROM links l WHERE l.src = n.host) AS n_out, (SELECT count(*) FROM links l WHERE l.dst = n.host) AS n_in
-  FROM named n LEFT JOIN hosts h ON h.host = n.host
-), r0 AS (SELECT host, good AS trust, bad AS distrust FROM nodes){rounds}
+  SELECT n.host, coalesce(h.good, 0) AS good, coalesce(h.bad, 0) AS bad, coalesce(o.n, 0) AS n_out
+  FROM named n LEFT JOIN hosts h ON h.host = n.host LEFT JOIN (SELECT src, count(*) AS n FROM links GROUP BY src) o ON o.src = n.host
+), rounds AS (
+  SELECT 0 AS i, host, good, bad, n_out, CAST(0 AS BIGINT) AS trust, CAST(0 AS BIGINT) AS distrust, CAST({tolerance} + 1 AS BIGINT) AS moved FROM nodes
+  UNION ALL
+  SELECT i + 1, host, good, bad, n_out, t, d, greatest(abs(t - trust), abs(d - distrust))
+  FROM (
+    SELECT r.*, CAST(({100 - DAMPING} * r.good + {DAMPING} * coalesce(t.t, 0)) // 100 AS BIGINT) AS t,
+           CAST(({100 - DAMPING} * r.bad + {DAMPING} * (coalesce(d.d, 0) // greatest(r.n_out, 1))) // 100 AS BIGINT) AS d
+    FROM rounds r
+    LEFT JOIN (SELECT l.dst AS host, sum(x.trust // x.n_out) AS t FROM links l JOIN rounds x ON x.host = l.src GROUP BY l.dst) t ON t.host = r.host
+    LEFT JOIN (SELECT l.src AS host, sum(x.distrust) AS d FROM links l JOIN rounds x ON x.host = l.dst GROUP BY l.src) d ON d.host = r.host
+  ) WHERE (SELECT max(moved) FROM rounds) > {tolerance}
+), scores AS (SELECT host, trust, distrust FROM rounds WHERE i = (SELECT max(i) FROM rounds))
 SELECT j.page_id, j.host, j.path, j.rule,
        CASE WHEN coalesce(j.allow, NOT (coalesce(s.distrust, 0) > coalesce(s.trust, 0) AND coalesce(s.distrust, 0) > {LEAST})) THEN 'allow' ELSE 'block' END AS verdict,
        CAST(coalesce(s.trust, 0) AS BIGINT) AS trust, CAST(coalesce(s.distrust, 0) AS BIGINT) AS distrust
-FROM judged j LEFT JOIN r{ROUNDS} s ON s.host = j.host
+FROM judged j LEFT JOIN scores s ON s.host = j.host
 """
 
 
-OP1_SQL = _sql()
+OP1_SQL = sql()

@@ -227,11 +227,12 @@ def test_link_graph_equals_its_sql(spark):
     for i in range(20, 220):
         links = "".join(f'<a href="http://{rng.choice(hosts)}/en/{i}">' for _ in range(rng.randint(0, 5)))
         rows.append((i, f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es'])}/{i}", links))
-    got = link_graph.judge(pages(spark, rows))
+    tolerance = link_graph.LEAST // 4  # fewer rounds
+    got = link_graph.judge(pages(spark, rows), tolerance=tolerance)
     con = duckdb.connect()
     con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
-    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({link_graph.OP1_SQL})").fetchall()
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({link_graph.sql(tolerance)})").fetchall()
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
     assert any(r[3] is None and r[4] == "block" for r in want)
 
@@ -242,15 +243,19 @@ def test_farms_of_any_size_and_the_hosts_near_a_blocked_one_are_blocked(spark):
     rows += [(100 + i, f"http://farm{i}.xyz/", a("spam.com")) for i in range(400)]
     rows += [(1000 + i, f"http://chain{i}.xyz/", a(f"chain{i - 1}.xyz" if i else "spam.com")) for i in range(30)]
     rows += [(2000, "http://plain.xyz/", a("spam.com", *(f"other{i}.xyz" for i in range(9))))]
-    got = {r["page_id"]: r for r in link_graph.judge(pages(spark, rows), by_links=True).collect()}
+    judged = link_graph.judge(pages(spark, rows))
+    got = {r["page_id"]: r for r in judged.collect()}
     assert {got[100 + i]["verdict"] for i in range(400)} == {"block"} and got[2000]["verdict"] == "allow"
-    verdicts = [got[1000 + i]["verdict"] for i in range(30)]
-    far = verdicts.index("allow")
-    assert 1 <= far and verdicts == ["block"] * far + ["allow"] * (30 - far)
+    assert [got[1000 + i]["verdict"] for i in range(30)] == ["block"] * 9 + ["allow"] * 21
     score = link_graph.SCALE * 15 // 100
-    for i in range(15):  # a hop takes 15 in 100
+    for i in range(30):  # a hop takes 15 in 100, as far as rounds go
         score = 85 * score // 100
-        assert got[1000 + i]["distrust"] == score
+        assert 0 <= score - got[1000 + i]["distrust"] <= link_graph.LEAST // 100
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = con.sql(f"SELECT {', '.join(judged.columns)} FROM ({link_graph.OP1_SQL})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in got.values()))) == sorted(map(str, want))
 
 
 def test_distrust_by_links_equals_brute_force(spark):
@@ -258,14 +263,16 @@ def test_distrust_by_links_equals_brute_force(spark):
     hosts, S = [f"h{i}" for i in range(40)], link_graph.SCALE
     seeds = {h: rng.choice([(S, 0), (0, S), (0, 0), (S // 2, S // 3)]) for h in hosts[:30]}
     edges = sorted({(x, y) for x, y in ((rng.choice(hosts), rng.choice(hosts)) for _ in range(120)) if x != y})
-    got = link_graph.propagate(spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, good long, bad long"), spark.createDataFrame(edges, "src string, dst string"), rounds=6, by_links=True)
+    got = link_graph.propagate(spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, good long, bad long"), spark.createDataFrame(edges, "src string, dst string"), tolerance=S // 10)
     named = set(seeds) | {h for e in edges for h in e}
     out = {h: [y for x, y in edges if x == h] for h in named}
-    now = dict.fromkeys(named, (0, 0))
-    for _ in range(6):
+    now, moved = dict.fromkeys(named, (0, 0)), S
+    while moved > S // 10:
         trust = {h: sum(now[x][0] // len(out[x]) for x, y in edges if y == h) for h in named}
         distrust = {h: sum(now[y][1] for y in out[h]) // max(len(out[h]), 1) for h in named}
-        now = {h: tuple((15 * seeds.get(h, (0, 0))[k] + 85 * more[h]) // 100 for k, more in enumerate((trust, distrust))) for h in named}
+        new = {h: tuple((15 * seeds.get(h, (0, 0))[k] + 85 * more[h]) // 100 for k, more in enumerate((trust, distrust))) for h in named}
+        moved = max(abs(a - b) for h in named for a, b in zip(new[h], now[h], strict=True))
+        now = new
     assert {r["host"]: (r["trust"], r["distrust"]) for r in got.collect()} == now
 
 
