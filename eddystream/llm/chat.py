@@ -11,31 +11,14 @@ from pyspark.sql import functions as F
 
 from eddystream.llm.common import plain
 
-#: Turn numbers of one block: a longer dialogue is rendered in consecutive blocks.
+#: Turn numbers that are rendered together, a step before whole views.
 BLOCK_TURNS = 64
 SYSTEM = "system"
 NOBODY = "unknown"
 
 
-def perspectives(turns: DataFrame, block_turns: int = BLOCK_TURNS, system: str = SYSTEM) -> DataFrame:
-    """(conv_id, participant, block, n_turns, n_own, text, mask) for ``turns`` (conv_id, turn, role, text).
-
-    Participants are the distinct roles of a conversation but ``system``, which
-    keeps its own name in every view; a conversation without any participant
-    has no views. Turns go by (turn, role, text), null turns first; repeated
-    rows stay. A null role is "unknown", a null text empty, a null conv_id a
-    conversation of its own. ``block`` is the turn number divided by
-    ``block_turns``, so that a dialogue of any length is spread over tasks
-    and each row has a bounded span of turns; most dialogues have block 0 alone.
-    ``mask`` has (start, length) of each stretch that the participant says, end
-    mark included, counted in characters of ``text`` from 0. An empty table
-    gives no rows.
-    """
-    return _views(turns, F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(0)), system)
-
-
-def _views(turns: DataFrame, block: Column, system: str) -> DataFrame:
-    """The views of each ``block`` of a dialogue by itself."""
+def _blocks(turns: DataFrame, block: Column, system: str) -> DataFrame:
+    """(conv_id, participant, block, n_turns, n_own, text, mask): the views of each ``block`` of a dialogue by itself."""
     rows = plain(turns, "conv_id", "turn", "role", "text").select(
         "conv_id",
         block.cast("long").alias("block"),
@@ -65,15 +48,21 @@ def _views(turns: DataFrame, block: Column, system: str) -> DataFrame:
     )
 
 
-def whole_views(turns: DataFrame, block_turns: int = BLOCK_TURNS, system: str = SYSTEM) -> DataFrame:
-    """(conv_id, participant, n_turns, n_own, text, mask): one view of the whole dialogue a participant, however long it is.
+def perspectives(turns: DataFrame, block_turns: int = BLOCK_TURNS, system: str = SYSTEM) -> DataFrame:
+    """(conv_id, participant, n_turns, n_own, text, mask) for ``turns`` (conv_id, turn, role, text): one view of the whole dialogue a participant.
 
-    As :func:`perspectives`, but blocks are only a step between: they are
-    rendered apart and joined in order, and masks count from the start of the
-    dialogue. Turns without a number are a block of their own, the first. A
-    view is one row, so its text has to fit into one.
+    Participants are the distinct roles of a conversation but ``system``, which
+    keeps its own name in every view; a conversation without any participant
+    has no views. Turns go by (turn, role, text), null turns first; repeated
+    rows stay. A null role is "unknown", a null text empty; all rows with a
+    null conv_id are one conversation. ``mask`` has (start, length) of each
+    stretch that the participant says, end mark included, counted in characters
+    of ``text`` from 0. A dialogue is rendered in blocks of ``block_turns`` turn
+    numbers, in as many tasks, which are then joined in order with their masks
+    moved on; the block's size doesn't show in the result. A view is one row,
+    so its text has to fit into one (2 GB). An empty table gives no rows.
     """
-    blocks = _views(turns, F.floor(F.col("turn") / block_turns), system)
+    blocks = _blocks(turns, F.floor(F.col("turn") / block_turns), system)
     before = Window.partitionBy("conv_id", "participant").orderBy(F.asc_nulls_first("block")).rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.withColumn("at", F.coalesce(F.sum(F.length("text").cast("long")).over(before), F.lit(0)))
     moved = F.transform("mask", lambda m: F.struct((m["start"] + F.col("at")).alias("start"), m["length"].alias("length")))
@@ -82,29 +71,20 @@ def whole_views(turns: DataFrame, block_turns: int = BLOCK_TURNS, system: str =
     return whole.select("conv_id", "participant", "n_turns", "n_own", F.array_join("pieces.text", "").alias("text"), F.flatten("pieces.mask").alias("mask"))
 
 
-def op4_chat_whole(spark, sf_dir: str) -> DataFrame:
-    """Every whole view, with the mask as in :func:`op4_chat_perspectives`."""
-    return _spans(whole_views(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
-
-
-def _spans(out: DataFrame) -> DataFrame:
-    return out.withColumn("mask", F.array_join(F.transform("mask", lambda m: F.concat_ws("+", m["start"].cast("string"), m["length"].cast("string"))), ","))
-
-
 def op4_chat_perspectives(spark, sf_dir: str) -> DataFrame:
     """Every view; the mask as a string of start+length pairs, which compares alike everywhere."""
-    return _spans(perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    out = perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return out.withColumn("mask", F.array_join(F.transform("mask", lambda m: F.concat_ws("+", m["start"].cast("string"), m["length"].cast("string"))), ","))
 
 
 OP4_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         CAST(coalesce(floor(turn / 64), 0) AS BIGINT) AS block
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations
 ), people AS (
   SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'
 ), parts AS (
-  SELECT t.conv_id, p.participant, t.block, t.turn, t.role, t.text, t.role = p.participant AS own,
+  SELECT t.conv_id, p.participant, t.turn, t.role, t.text, t.role = p.participant AS own,
          CASE WHEN t.role = p.participant THEN '<|assistant|>' || chr(10)
               WHEN t.role = 'system' THEN '<|system|>' || chr(10)
               ELSE '<|user name=' || t.role || '|>' || chr(10) END AS head,
@@ -112,10 +92,10 @@ WITH t AS (
   FROM t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), placed AS (
   SELECT *, row_number() OVER w AS i, sum(length(head) + length(body)) OVER w - length(body) AS start
-  FROM parts WINDOW w AS (PARTITION BY conv_id, participant, block ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+  FROM parts WINDOW w AS (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
 )
-SELECT conv_id, participant, block, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+SELECT conv_id, participant, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
        string_agg(head || body, '' ORDER BY i) AS text,
        coalesce(string_agg(CAST(start AS BIGINT) || '+' || length(body), ',' ORDER BY i) FILTER (own), '') AS mask
-FROM placed GROUP BY conv_id, participant, block
+FROM placed GROUP BY conv_id, participant
 """

@@ -79,12 +79,12 @@ def turns(spark, rows):
 
 
 def test_every_participant_has_a_view(spark):
-    got = {(r["conv_id"], r["participant"], r["block"]): r for r in chat.perspectives(turns(spark, TURNS)).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 1), (1, "bob", 1), (3, "unknown", 0), (3, "ann", 0), (None, "ann", 0), (4, "ann", 0)}
-    view = got[1, "ann", 0]
-    assert view["text"] == "<|system|>\nBe kind.<|end|>\n<|assistant|>\nHi<|end|>\n<|user name=bob|>\nHé <|end|><|end|>\n<|assistant|>\n<|end|>\n"
+    got = {(r["conv_id"], r["participant"]): r for r in chat.perspectives(turns(spark, TURNS)).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (3, "unknown"), (3, "ann"), (None, "ann"), (4, "ann")}
+    view = got[1, "ann"]
+    assert view["text"] == "<|system|>\nBe kind.<|end|>\n<|assistant|>\nHi<|end|>\n<|user name=bob|>\nHé <|end|><|end|>\n<|assistant|>\n<|end|>\n<|user name=bob|>\nlate<|end|>\n"
     assert [view["text"][m["start"] : m["start"] + m["length"]] for m in view["mask"]] == ["Hi<|end|>\n", "<|end|>\n"]
-    assert (view["n_turns"], view["n_own"]) == (4, 2) and got[1, "ann", 1]["mask"] == [] and got[3, "ann", 0]["n_turns"] == 3
+    assert (view["n_turns"], view["n_own"]) == (5, 2) and got[3, "ann"]["n_turns"] == 3
     assert chat.perspectives(turns(spark, [])).count() == 0
 
 
@@ -102,7 +102,8 @@ def test_views_equal_their_sql(spark):
 
 def test_a_long_dialogue_is_one_view_a_participant(spark):
     rows = TURNS + [(9, i * 3 - 90, ("u1", "u2", "system", "u3")[i % 4], f"turn {i}é") for i in range(200)] + [(9, None, "u2", "first"), (9, None, None, None)]
-    got = chat.whole_views(turns(spark, rows)).collect()
+    rows += [(10, None, "ab"[i % 2], f"{i:03}") for i in range(300)]  # turns without a number, in bulk
+    got = chat.perspectives(turns(spark, rows)).collect()
     views = {(r["conv_id"], r["participant"]): r for r in got}
     assert len(views) == len(got)
     want = set()
@@ -118,4 +119,4 @@ def test_a_long_dialogue_is_one_view_a_participant(spark):
             view = views[conv, who]
             assert view["text"] == text and [tuple(m) for m in view["mask"]] == mask
             assert (view["n_turns"], view["n_own"]) == (len(said), len(mask))
-    assert set(views) == want and chat.whole_views(turns(spark, [])).count() == 0
+    assert set(views) == want and chat.perspectives(turns(spark, [])).count() == 0
