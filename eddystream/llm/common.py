@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddystream.session import dropped, shared_dir, ship, stored  # noqa: F401  the operators take them from here
+from eddystream.session import dropped, scratch, ship, stored  # noqa: F401  the operators take them from here
 
 #: Rows and bytes of one Arrow batch: texts can be long, so rows are few.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20

@@ -15,13 +15,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddystream.llm.common import plain, shared_dir, small_batches, tidy
+from eddystream.llm.common import dropped, plain, scratch, small_batches, stored, tidy
 
 #: The date that all records bear: an archive of one input is always the same.
 DATE = "2024-01-01T00:00:00Z"
+#: Digests that a task remembers, to give few copies of one payload.
+SEEN = 100_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -29,23 +31,25 @@ def b32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(key: object) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}')}>"
+def record_id(page_id: int | None, row: int) -> str:
+    """One for each row of an input, also where page_ids are null or repeat."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{row}')}>"
 
 
-def heads_of(page_id: int | None, url: str | None, n: int, sha1: str, first: int | None) -> bytes:
-    """The record up to its payload, for a response (``first`` is None) or a revisit of page ``first``."""
+def heads_of(page_id: int | None, row: int, url: str | None, n: int, sha1: str, first: tuple[int | None, int] | None) -> bytes:
+    """The record up to its payload, for a response (``first`` is None) or a revisit of page and row ``first``."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     uri = (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")
+    number = lambda x: "" if x is None else str(x)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if first is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, row)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{sha1}",
-        *([] if first is None else [f"WARC-Refers-To: {record_id(first)}", f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page: {first}"]),
-        f"X-Page: {'' if page_id is None else page_id}",
+        *([] if first is None else [f"WARC-Refers-To: {record_id(*first)}", f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page: {number(first[0])}"]),
+        f"X-Page: {number(page_id)}",
         f"X-Payload-Length: {n}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(http) + (n if first is None else 0)}",
@@ -53,11 +57,16 @@ def heads_of(page_id: int | None, url: str | None, n: int, sha1: str, first: int
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
-def parse_head(head: bytes) -> dict[str, str]:
-    lines = head.split(b"\r\n\r\n", 1)[0].decode().split("\r\n")
+def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
+    """Fields of a record's head, and its payload: what follows the block's own head, which a revisit ends with."""
+    head, block = record.split(b"\r\n\r\n", 1)
+    lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    return dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
+    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
+    if not block.endswith(b"\r\n\r\n") or len(block) - 4 != int(fields["Content-Length"]):
+        raise ValueError(f"record {fields['WARC-Record-ID']} has another length than it says")
+    return fields, block[:-4].split(b"\r\n\r\n", 1)[1]
 
 
 def digests(pages: DataFrame) -> DataFrame:
@@ -68,15 +77,24 @@ def digests(pages: DataFrame) -> DataFrame:
 
 
 def deflated(rows: DataFrame) -> DataFrame:
-    """``rows`` (sha256, page_id, n_bytes, payload) with the payload deflated, and its base32 SHA-1 from the very bytes that go in."""
+    """(sha256, n_bytes, sha1, deflated) of ``rows`` (sha256, n_bytes, payload), with the base32 SHA-1 from the very bytes that go in; a task gives few copies of one payload."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for b in batches:
+            new = []
+            for i, key in enumerate(b.column("sha256").to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            b = b.take(pa.array(new, pa.int64()))
             data = b.column("payload").to_pylist()
             sums, small = pa.array([b32_sha1(x) for x in data], pa.string()), pa.array([zlib.compress(x, 6) for x in data], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("sha256", "page_id", "n_bytes")), sums, small], ["sha256", "page_id", "n_bytes", "sha1", "deflated"])
+            yield pa.RecordBatch.from_arrays([b.column("sha256"), b.column("n_bytes"), sums, small], ["sha256", "n_bytes", "sha1", "deflated"])
 
-    return rows.mapInArrow(tidy(pack), "sha256 string, page_id long, n_bytes long, sha1 string, deflated binary")
+    return rows.mapInArrow(tidy(pack), "sha256 string, n_bytes long, sha1 string, deflated binary")
 
 
 def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -84,34 +102,35 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
     Of records with equal payloads of at least ``least_bytes`` bytes the one
     with the largest page_id (a null one is the smallest) is the response that
-    the others revisit; smaller ones are all responses. Rows that repeat a
-    page_id with an equal payload are one response and its revisits: the
-    response is stored under that id, and every further row refers to it.
+    the others revisit; smaller ones are all responses. Where several rows have
+    that largest page_id, one of them is the response. Every row has a record
+    with an id of its own. A payload of any length is one value, so it has to
+    fit into one (2 GB). A table without rows makes an archive without records.
     """
     spark = pages.sparkSession
     small_batches(spark)
     rows = digests(pages)
-    # one row a payload: the partial maximum makes a payload with many copies cheap
-    first = rows.groupBy("sha256").agg(F.max("page_id").alias("first"))
     # deflated before they are shuffled: what moves and what is stored is the small form
-    store = deflated(rows.select("sha256", "page_id", "n_bytes", "payload")).join(
-        first.select(F.col("sha256").alias("s"), "first"), (F.col("sha256") == F.col("s")) & F.col("page_id").eqNullSafe(F.col("first"))
-    )
-
-    store = store.dropDuplicates(["sha256", "page_id"]).select("sha256", "n_bytes", "sha1", "deflated")
+    store = deflated(rows.select("sha256", "n_bytes", "payload")).dropDuplicates(["sha256"])
     store.write.mode("overwrite").parquet(f"{path}/payloads")
     kept = spark.read.parquet(f"{path}/payloads").select("sha256", "sha1")
 
-    slim = rows.select("page_id", "url", "sha256", "n_bytes").join(first, "sha256").join(kept, "sha256")
+    # written, so that a row's number holds
+    slim = stored(rows.select("page_id", "url", "sha256", "n_bytes", F.monotonically_increasing_id().alias("row")), "warc-rows")
+    # one row a payload: the partial maximum makes a payload with many copies cheap
+    first = slim.groupBy("sha256").agg(F.max(F.struct("page_id", "row")).alias("first"))
+    joined = slim.join(first, "sha256").join(kept, "sha256").withColumn("revisit", (F.col("n_bytes") >= least_bytes) & (F.col("row") != F.col("first.row")))
+    joined = joined.select("page_id", "row", "url", "sha256", "n_bytes", "sha1", "revisit", F.col("first.page_id").alias("to_page"), F.col("first.row").alias("to_row"))
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for page, url, n, sha1, of in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "n_bytes", "sha1", "first")), strict=True):
-                out.append(heads_of(page, url, n, sha1, None if n < least_bytes or page == of else of))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("sha256"), pa.array(out, pa.binary())], ["page_id", "sha256", "head"])
+            for page, row, url, n, sha1, again, *to in zip(*(b.column(c).to_pylist() for c in ("page_id", "row", "url", "n_bytes", "sha1", "revisit", "to_page", "to_row")), strict=True):
+                out.append(heads_of(page, row, url, n, sha1, tuple(to) if again else None))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("sha256"), b.column("revisit"), pa.array(out, pa.binary())], ["page_id", "sha256", "revisit", "head"])
 
-    slim.mapInArrow(tidy(head), "page_id long, sha256 string, head binary").write.mode("overwrite").parquet(f"{path}/heads")
+    joined.mapInArrow(tidy(head), "page_id long, sha256 string, revisit boolean, head binary").write.mode("overwrite").parquet(f"{path}/heads")
+    dropped(slim)
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -133,36 +152,45 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, sha256, record): the exact original records, a revisit without its payload, from both tables."""
+    """(page_id, sha256, sha1, n_bytes, record): the exact original records, a revisit without its payload, from both tables."""
     heads = spark.read.parquet(f"{path}/heads")
-    store = read_payloads(spark, path).select("sha256", "payload")
-    revisit: Column = F.instr(F.col("head").cast("string"), "WARC-Type: revisit") > 0
-    body = F.when(revisit, F.lit(b"").cast("binary")).otherwise(F.col("payload"))
-    return heads.join(store, "sha256").select("page_id", "sha256", F.concat("head", body, F.lit(b"\r\n\r\n").cast("binary")).alias("record"))
+    end = F.lit(b"\r\n\r\n").cast("binary")
+    full = heads.where("not revisit").join(read_payloads(spark, path), "sha256")
+    full = full.select("page_id", "sha256", "sha1", "n_bytes", F.concat("head", "payload", end).alias("record"))
+    sums = spark.read.parquet(f"{path}/payloads").select("sha256", "sha1", "n_bytes")
+    again = heads.where("revisit").join(sums, "sha256")
+    return full.unionByName(again.select("page_id", "sha256", "sha1", "n_bytes", F.concat("head", end).alias("record")))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) as parsed from the heads, checked against the payload store."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) as parsed from the rebuilt records.
+
+    A response's payload must have the digest and length that its head names, a
+    revisit's head those of the stored payload; anything else raises an error.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got: list[tuple] = []
-            for head, sha1, n in zip(*(b.column(c).to_pylist() for c in ("head", "sha1", "n_bytes")), strict=True):
-                h = parse_head(head)
+            for sha1, n, record in zip(*(b.column(c).to_pylist() for c in ("sha1", "n_bytes", "record")), strict=True):
+                h, payload = parse_record(record)
+                if h["WARC-Type"] == "response":
+                    sha1, n = b32_sha1(payload), len(payload)
+                elif payload:
+                    raise ValueError(f"revisit {h['WARC-Record-ID']} has a payload")
                 if h["WARC-Payload-Digest"] != f"sha1:{sha1}" or int(h["X-Payload-Length"]) != n:
                     raise ValueError(f"record {h['WARC-Record-ID']} doesn't match its payload")
-                to = h.get("X-Refers-To-Page")
-                got.append((int(h["X-Page"]) if h["X-Page"] else None, n, sha1, h["WARC-Type"], int(to) if to and to != "None" else None))
+                number = lambda x: int(x) if x else None
+                got.append((number(h["X-Page"]), n, sha1, h["WARC-Type"], number(h.get("X-Refers-To-Page"))))
             cols = list(zip(*got, strict=True)) if got else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    checked = read_payloads(spark, path).select("sha256", "sha1", "n_bytes")
-    joined = spark.read.parquet(f"{path}/heads").join(checked, "sha256")
-    return joined.mapInArrow(tidy(parse), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    records = read_records(spark, path).select("sha1", "n_bytes", "record")
+    return records.mapInArrow(tidy(parse), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op3_warc_archive(spark, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/eddystream-warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archive(spark, path)

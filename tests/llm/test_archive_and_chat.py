@@ -19,6 +19,7 @@ def pages(spark, rows):
 ROWS = [
     (1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (7, "http://a/7", "<p>é</p>"), (3, None, None), (4, "http://a/4", ""),
     (5, "http://a/5\r\nX: y", "x" * 300_000), (6, "http://a/6", "only"), (6, "http://a/6", "only"), (None, "http://a/n", "lone"), (None, "http://a/m", "<p>é</p>"),
+    (8, "http://a/?WARC-Type: revisit", "only here"),
 ]
 
 
@@ -29,10 +30,11 @@ def test_the_archive_comes_back(spark, tmp_path):
     most: dict = {}
     for i, _, html in ROWS:
         most[html or ""] = max((x for x in (most.get(html or ""), i) if x is not None), default=None)
-    want = []
+    want, done = [], set()
     for i, _, html in ROWS:
         data = (html or "").encode()
-        response = i == most[html or ""]
+        response = i == most[html or ""] and (html or "") not in done  # one a payload
+        done |= {html or ""} if response else set()
         want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if response else "revisit", None if response else most[html or ""]))
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
     store = warc.read_payloads(spark, path)
@@ -42,6 +44,10 @@ def test_the_archive_comes_back(spark, tmp_path):
     head, body = whole.split(b"\r\n\r\n", 1)
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and b"X: y" not in head.split(b"\r\n")
     assert int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"]) == len(body) - 4
+    ids = [warc.parse_record(bytes(r["record"]))[0]["WARC-Record-ID"] for r in warc.read_records(spark, path).collect()]
+    assert len(set(ids)) == len(ROWS)
+    fields, payload = warc.parse_record(records[8])
+    assert fields["WARC-Type"] == "response" and payload == b"only here"
     assert body.endswith(b"x" * 300_000 + b"\r\n\r\n") and records[1].endswith(b"\r\n\r\n\r\n\r\n") and b"revisit" in records[1]
 
 
