@@ -4,20 +4,22 @@ Linking is the same as reaching an overlap: sets of sizes a and b with
 ``den * overlap >= num * union`` overlap by at least ``num*(a+b)/(num+den)``.
 
 1. Each document becomes its set of distinct shingles (64-bit hashes); documents
-   with equal sets are one class, of which one document stands for all.
+   with equal sets (128-bit hashes) are one class, of which one document stands
+   for all.
 2. Prefix filter: two linking sets share at least m shingles among the first
    ``a - least overlap + m`` of each in any fixed order of all shingles. The
    order puts shingles last that many sets hold (a bounded list of the most
    frequent; any list gives the same result), then goes by hash. Sets of whose
-   prefix fewer than m shingles are anybody else's drop out. The others that
-   meet at a shingle go by size; a run of sizes that can link is a star around
-   its first, which keeps one edge a set however many meet.
+   prefix fewer than m shingles are anybody else's drop out. Of the others,
+   those that meet at a shingle and are about as large (a band of sizes) are a
+   star around one of them, and stars of neighbouring bands are tied, which
+   keeps one edge a set however many meet.
 3. The components of the stars are groups in which all links lie. A group's
    sets meet in one task, or, if the group is large, block by block in several:
-   there every set searches the inverted lists of its shingles for sets that
-   occur T times, merging short lists by a heap and probing long ones by binary
-   search. A set that a cheap check has already joined to the largest class is
-   not searched from: any link to another class is found from its other end.
+   there sets search the inverted lists of their shingles for sets that occur T
+   times, merging short lists by a heap and probing long ones by binary search.
+   Sets of the class that is the largest in the end needn't search: any link to
+   another class is found from its other end.
 4. Found links and equal sets make the components.
 """
 
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eddystream.llm import textops
@@ -43,10 +45,8 @@ FREQUENT = 300_000
 LOCAL_FREQUENT = 2
 #: Hundredths of a set's shingles that a partner must share of its prefix, which is longer by as many.
 MORE = 8
-#: As many sets at most are sought in the documents by a broadcast; more by a shuffle.
-BROADCAST_SETS = 500_000
-#: Ids of short lists that a heap merges; more are merged by counting them in bulk.
-HEAP_IDS = 500
+#: Bytes at most of what is sought in the documents by a broadcast; more by a shuffle.
+BROADCAST_BYTES = 64 << 20
 #: Shingles of all sets that meet in one task; larger groups meet block by block.
 TASK_SHINGLES = 1_000_000
 
@@ -74,13 +74,14 @@ def doc_sets(batch_text: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from enumerate(textops.shingles(hashes, bounds, k), a)
 
 
-def set_key(s: np.ndarray) -> int:
-    """64 bits of a set, equal for equal sets (as good as never for others)."""
+def set_key(s: np.ndarray) -> bytes:
+    """128 bits of a set, equal for equal sets (as good as never for others)."""
     if not len(s):
-        return 0
+        return bytes(16)
     with np.errstate(over="ignore"):
-        x = textops.mix(s + textops.BASE).sum(dtype=np.uint64) * textops.BASE + textops.mix(s).sum(dtype=np.uint64)
-        return int(textops.mix(np.array([x + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+        sums = np.array([textops.mix(s + textops.BASE).sum(dtype=np.uint64), textops.mix(s ^ textops.BASE).sum(dtype=np.uint64)], np.uint64)
+        both = np.stack([textops.mix(sums + np.uint64(len(s))), textops.mix(sums[::-1] * textops.BASE + sums)])
+        return (both[0] ^ both[1]).astype(">u8").tobytes()
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
@@ -89,9 +90,9 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(set_key(s), len(s)) for _, s in doc_sets(b.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["doc_id", "key", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.int64())], ["doc_id", "key", "n"])
 
-    return docs.mapInArrow(tidy(keys), "doc_id long, key long, n long")
+    return docs.mapInArrow(tidy(keys), "doc_id long, key binary, n long")
 
 
 def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> np.ndarray:
@@ -99,7 +100,7 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> np.ndarr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
-        seen: set[int] = set()
+        seen: set[bytes] = set()
 
         def flush() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -135,60 +136,71 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> np.ndarr
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(s, n, key): each set's prefix in the order that puts ``frequent`` shingles last."""
+    """(s, n, k1, k2, late): each set's prefix in the order that puts ``frequent`` shingles last, which are marked; k1 and k2 are the halves of its key."""
     last = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = last.value
         for b in batches:
-            out: list[tuple[int, int, np.ndarray]] = []
-            done: set[int] = set()
+            parts, sizes, keys = [], [], []
+            done: set[bytes] = set()
             for _, s in doc_sets(b.column("text"), k):
                 key = set_key(s)
                 if not len(s) or key in done:
                     continue
                 done.add(key)
                 n = len(s)
-                p = n + (-num * n // den) + shared_prefix(n)
                 if len(rare):
                     at = np.searchsorted(rare, s)
                     late = rare[np.minimum(at, len(rare) - 1)] == s
                     s = np.concatenate([s[~late], s[late]]) if late.any() else s
-                out.append((n, key, s[:p]))
-            lens = [len(x[2]) for x in out]
-            full = np.concatenate([x[2] for x in out]) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full.view(np.int64)), *(pa.array(np.repeat(np.array([x[i] for x in out], t), lens)) for i, t in ((0, np.int32), (1, np.int64)))], ["s", "n", "key"]
-            )
+                parts.append(s[: n + (-num * n // den) + shared_prefix(n)])
+                sizes.append(n)
+                keys.append(key)
+            lens = [len(x) for x in parts]
+            full = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            half = np.repeat(np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2), lens, axis=0)
+            late = rare[np.minimum(np.searchsorted(rare, full), len(rare) - 1)] == full if len(rare) else np.zeros(len(full), bool)
+            cols = [full.view(np.int64), np.repeat(np.array(sizes, np.int32), lens), half[:, 0].copy(), half[:, 1].copy(), late]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["s", "n", "k1", "k2", "late"])
 
-    return docs.mapInArrow(tidy(prefixes), "s long, n int, key long")
+    return docs.mapInArrow(tidy(prefixes), "s long, n int, k1 long, k2 long, late boolean")
+
+
+def met_by_others(posts: DataFrame) -> DataFrame:
+    """The rows of ``posts`` whose shingle is in another set's prefix too.
+
+    Frequent shingles are known to be several sets', so they are not counted
+    but dealt out one by one: no task has all rows of a common shingle.
+    """
+    at = Window.partitionBy("s", F.when(F.col("late"), F.struct("k1", "k2")))
+    seen = posts.withColumns({f"{f}{c}": getattr(F, f)(c).over(at) for c in ("k1", "k2") for f in ("min", "max")})
+    return seen.where("late or mink1 <> maxk1 or mink2 <> maxk2").select("s", "n", "k1", "k2", "late")
 
 
 # ---- search in one task ------------------------------------------------------
 
 
-def divide_skip(lists: list, want: int, ratio: float = 0.01) -> tuple[list[int], list[int]]:
+def divide_skip(lists: list[np.ndarray], want: int, ratio: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """Ids that are in at least ``want`` of the sorted ``lists``, and in how many.
 
     The longest lists are set aside; the short ones are merged by a heap, and
-    an id that they hold often enough is probed for in the long ones by binary
-    search. While too few short lists could reach the count, the heap's smallest
-    are popped and skip ahead to the next possible id.
+    ids that they hold often enough are probed for in the long ones by binary
+    search, as long as they can still reach the count. While too few short
+    lists could reach it, the heap's smallest are popped and skip ahead to the
+    next possible id.
     """
     lists = sorted((x for x in lists if len(x)), key=len)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(lists) < want:
-        return [], []
-    longest = len(lists[-1])
-    n_long = min(want - 1, int(want / (ratio * np.log2(longest + 1) + 1)))
+        return none
+    n_long = min(want - 1, int(want / (ratio * np.log2(len(lists[-1]) + 1) + 1)))
     while n_long and len(lists[len(lists) - n_long]) <= 1:  # lists of one id are never worth a probe
         n_long -= 1
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+    short, long = [x.tolist() for x in lists[: len(lists) - n_long]], lists[len(lists) - n_long :]
     need = want - n_long
-    if sum(map(len, short)) > HEAP_IDS:
-        return _divide_skip_vectorised([np.asarray(x) for x in short], [np.asarray(x) for x in long], want)
     found: list[int] = []
     counts: list[int] = []
-    short, long = [list(x) for x in short], [list(x) for x in long]
     heap = [(x[0], i, 0) for i, x in enumerate(short)]
     heapq.heapify(heap)
     while len(heap) >= need:
@@ -197,15 +209,8 @@ def divide_skip(lists: list, want: int, ratio: float = 0.01) -> tuple[list[int],
         while heap and heap[0][0] == at:
             popped.append(heapq.heappop(heap))
         if len(popped) >= need:
-            have = len(popped)
-            for j, x in enumerate(long):
-                if have + len(long) - j < want:
-                    break
-                i = bisect_left(x, at)
-                have += i < len(x) and x[i] == at
-            if have >= want:
-                found.append(at)
-                counts.append(have)
+            found.append(at)
+            counts.append(len(popped))
             target = at + 1
         else:  # need-1 lists are out of the way: nothing below the next head can be found
             while heap and len(popped) < need - 1:
@@ -217,34 +222,15 @@ def divide_skip(lists: list, want: int, ratio: float = 0.01) -> tuple[list[int],
             j = bisect_left(short[i], target, j)
             if j < len(short[i]):
                 heapq.heappush(heap, (short[i][j], i, j))
-    return found, counts
-
-
-def _divide_skip_vectorised(short: list, long: list, want: int) -> tuple[list[int], list[int]]:
-    """The same for many ids: lists are merged by counting them in bulk, candidates are probed for all at once.
-
-    Long lists are probed once that costs less than to merge them, as it does when few candidates are left.
-    """
-    merged = np.concatenate(short)
-    times = np.bincount(merged)
-    while True:
-        ids = np.flatnonzero(times >= want - len(long))
-        if not len(long) or len(ids) * np.log2(len(long[0]) + 2) * 4 < len(long[0]):
-            break
-        some, long = long[:16], long[16:]
-        more = np.bincount(np.concatenate(some), minlength=len(times))
-        more[: len(times)] += times
-        times = more
-    have = times[ids]
+    ids, have = np.array(found, np.int64), np.array(counts, np.int64)
     for j, x in enumerate(long):
-        at = np.minimum(np.searchsorted(x, ids), len(x) - 1)
-        have = have + (x[at] == ids)
-        alive = have + len(long) - 1 - j >= want
+        alive = have + len(long) - j >= want
         if not alive.all():
             ids, have = ids[alive], have[alive]
         if not len(ids):
-            break
-    return ids.tolist(), have.tolist()
+            return none
+        have = have + (x[np.minimum(np.searchsorted(x, ids), len(x) - 1)] == ids)
+    return ids[have >= want], have[have >= want]
 
 
 class Forest:
@@ -264,69 +250,60 @@ class Forest:
 
 
 def links_of(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what all links of ``sets`` connect.
+    """Links that connect what all links of ``sets`` connect, each found by T-occurrence search.
 
-    ``sets`` go by size. Each is first checked against its neighbour in that
-    order and against the first set of each class found so far near it; then
-    the sets outside the largest class are searched from, so no link between
-    two classes is missed.
+    The set that shares most with others searches first. Then one after the
+    other searches that isn't in the largest class, until all outside it have
+    done so: a link between two classes would have been found from one of them.
     """
     n = len(sets)
     forest, found = Forest(n), []
-
-    def linked(i: int, j: int) -> bool:
-        a, b = len(sets[i]), len(sets[j])
-        if not fits(a, b, num, den):
-            return False
-        at = np.minimum(np.searchsorted(sets[j], sets[i]), b - 1)
-        return int((sets[j][at] == sets[i]).sum()) >= least_overlap(a, b, num, den)
-
-    heads: list[int] = []
-    for i in range(n):
-        for j in [*([i - 1] if i else []), *heads[-3:]]:
-            if forest.root(j) != forest.root(i) and linked(i, j):
-                forest.join(i, j)
-                found.append((i, j))
-                break
-        else:
-            heads.append(i)
-    roots = [forest.root(i) for i in range(n)]
-    if len(set(roots)) == 1:
-        return found
-    main = max(set(roots), key=roots.count)
     values, place = np.unique(np.concatenate(sets), return_inverse=True)
     bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     owner = np.repeat(np.arange(n), np.diff(bounds))
     order = np.argsort(place, kind="stable")
     ends = np.searchsorted(place[order], np.arange(len(values) + 1))
-    ids = owner[order]
-    inverted: dict[int, list[int]] = {}
-    for i in range(n):
-        if roots[i] == main:
-            continue
-        low = least_overlap(len(sets[i]), -(-num * len(sets[i]) // den), num, den)
-        lists = []
-        for t in place[bounds[i] : bounds[i + 1]].tolist():
-            if ends[t + 1] - ends[t] > 1:
-                if t not in inverted:
-                    inverted[t] = ids[ends[t] : ends[t + 1]]
-                lists.append(inverted[t])
-        a = len(sets[i])
-        for j, overlap in zip(*divide_skip(lists, low), strict=True):
-            if den * overlap >= num * (a + len(sets[j]) - overlap) and j != i and forest.join(i, j):
+    ids, held = owner[order], np.diff(ends)
+    shares = np.add.reduceat(held[place], bounds[:-1])
+    size, done, largest = [1] * n, [False] * n, int(np.argmax(shares))  # sizes hold for roots
+
+    def search(i: int) -> None:
+        nonlocal largest
+        done[i], a = True, len(sets[i])
+        mine = place[bounds[i] : bounds[i + 1]]
+        lists = [ids[ends[t] : ends[t + 1]] for t in mine[held[mine] > 1].tolist()]
+        for j, overlap in zip(*(x.tolist() for x in divide_skip(lists, least_overlap(a, -(-num * a // den), num, den))), strict=True):
+            if j == i or den * overlap < num * (a + len(sets[j]) - overlap):
+                continue
+            both = size[forest.root(i)] + size[forest.root(j)]
+            if forest.join(i, j):
                 found.append((i, j))
+                size[forest.root(i)] = both
+        if size[forest.root(i)] > size[forest.root(largest)]:
+            largest = i
+
+    search(largest)
+    outside = lambda i: forest.root(i) != forest.root(largest)
+    while todo := [i for i in np.argsort(-shares, kind="stable").tolist() if not done[i] and outside(i)]:
+        for i in todo:
+            if outside(i):
+                search(i)
     return found
 
 
 # ---- the join ----------------------------------------------------------------
 
 
+def band_of(num: int, den: int) -> Column:
+    """``band`` of a size ``n``: sizes that can link are in one band or in two neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(den / num)) * 1.000001)).cast("long").alias("band")
+
+
 def group_links(docs: DataFrame, chosen: DataFrame, k: int, num: int, den: int, task_shingles: int) -> DataFrame:
     """(a, b): links between the sets of ``chosen`` (doc_id, key, n, grp), found group by group."""
     # blocks of a group by size: a block meets itself and every later one that sizes let it link with
     total = chosen.groupBy("grp").agg(F.sum("n").alias("total"))
-    band = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(den / num)) * 1.000001)).cast("long")
-    sized = chosen.join(total, "grp").withColumn("large", F.col("total") > task_shingles).withColumn("band", band)
+    sized = chosen.join(total, "grp").withColumn("large", F.col("total") > task_shingles).withColumn("band", band_of(num, den))
     parts = sized.where("large").groupBy("grp", "band").agg(F.ceil(F.sum("n") / (task_shingles / 2)).cast("long").alias("parts"))
     sized = sized.join(parts, ["grp", "band"], "left")
     part = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))
@@ -340,7 +317,9 @@ def group_links(docs: DataFrame, chosen: DataFrame, k: int, num: int, den: int,
     big = sized.where("large").select("doc_id", "key", "grp", "block").join(met, ["grp", "block"]).select("doc_id", "key", "grp", "task")
     where = small.union(big).groupBy("doc_id").agg(F.collect_list(F.struct("key", "grp", "task")).alias("tasks"))
     where = stored(where, "sought")
-    texts = docs.join(F.broadcast(where) if where.count() <= BROADCAST_SETS else where, "doc_id").select("text", "tasks")
+    # a task's entry: two keys of 16 bytes and its name, with what a row needs beside them
+    size = where.agg(F.coalesce(F.sum(F.lit(64) + F.size("tasks") * 96), F.lit(0))).first()[0]
+    texts = docs.join(F.broadcast(where) if size <= BROADCAST_BYTES else where, "doc_id").select("text", "tasks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -350,23 +329,22 @@ def group_links(docs: DataFrame, chosen: DataFrame, k: int, num: int, den: int,
                 key = set_key(s)
                 rows += [(t["grp"], t["task"], key, s.tobytes()) for t in tasks[i] if t["key"] == key]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["grp", "task", "key", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["grp", "task", "key", "s"])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("key")
         all_ = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
-        order = sorted(range(len(all_)), key=lambda i: (len(all_[i]), int(pdf["key"].iloc[i])))
-        keys = pdf["key"].to_numpy()[order]
+        keys = pdf["key"].to_numpy()
         forest = Forest(len(keys))
-        for i, j in links_of([all_[i] for i in order], num, den):
+        for i, j in links_of(all_, num, den):
             forest.join(i, j)
         # what hangs together goes out as a star, which needs no more rounds to be joined to others
         out = [(keys[i], keys[forest.root(i)]) for i in range(len(keys)) if forest.root(i) != i]
         if len(keys) > 1000:
             give_back()
-        return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype="int64")
+        return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype=object)
 
-    return texts.mapInArrow(tidy(sets), "grp long, task string, key long, s binary").groupBy("grp", "task").applyInPandas(search, "a long, b long")
+    return texts.mapInArrow(tidy(sets), "grp binary, task string, key binary, s binary").groupBy("grp", "task").applyInPandas(search, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, task_shingles: int = TASK_SHINGLES) -> DataFrame:
@@ -378,27 +356,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     nothing; a null text is such a text. ``component_id`` is the smallest
     doc_id reachable by links, itself included. Rows that repeat an id each
     keep a row and the id stands for all of them; a null id is linked with
-    nothing and is its own component (null). An empty table gives no rows.
+    nothing and is its own component (null). Texts of any length are read
+    whole; their sets go from task to task as one value. An empty table gives
+    no rows.
     """
     small_batches(docs.sparkSession)
     docs = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = stored(set_table(docs, k), "sets")
     posts = postings(docs, frequent_shingles(docs, k), k, num, den)
     sizes = base.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    # in order of size, sets that can link with one another are not parted by one that neither can link with
-    shared = stored(posts.withColumn("k", F.count("*").over(Window.partitionBy("s"))).where("k > 1").drop("k"), "postings")
+    shared = stored(met_by_others(posts).distinct(), "postings")
     for _ in range(2):  # a set that drops out can leave others alone with a shingle
         need = F.greatest(F.lit(1), F.floor(F.col("n") * MORE / 100))
-        live = shared.groupBy("key", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need).select("key")
-        left = shared.join(live, "key").withColumn("k", F.count("*").over(Window.partitionBy("s"))).where("k > 1").select("s", "n", "key")
-        left = stored(left, "postings")
+        live = shared.groupBy("k1", "k2", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need).select("k1", "k2")
+        left = stored(met_by_others(shared.join(live, ["k1", "k2"])), "postings")
         dropped(shared)
         shared = left
-    meeting = Window.partitionBy("s").orderBy("n", "key")
-    before = F.lag("n").over(meeting)
-    # the first of each run of sizes stands for it: a star a shingle
-    head = F.last(F.when(before.isNull() | (den * before < num * F.col("n")), F.col("key")), ignorenulls=True).over(meeting.rowsBetween(Window.unboundedPreceding, 0))
-    meets_at = shared.withColumn("head", head).where("head <> key").select("head", "key").distinct()
+    half = lambda c: F.lpad(F.hex(c), 16, "0")
+    shared = stored(shared.select("s", band_of(num, den), F.unhex(F.concat(half("k1"), half("k2"))).alias("key")), "meetings")
+    dropped(left)
+    # sets that can link are in one band or in two neighbouring ones: a star a shingle and band, and stars tied
+    heads = stored(shared.groupBy("s", "band").agg(F.min("key").alias("head")), "heads")
+    stars = shared.join(heads, ["s", "band"]).select("head", "key")
+    after = heads.select("s", (F.col("band") + 1).alias("band"), F.col("head").alias("key"))
+    meets_at = stars.union(heads.join(after, ["s", "band"]).select("head", "key")).where("head <> key").distinct()
     near = components(meets_at, "groups")
     chosen = stored(near.join(sizes, near["node"] == sizes["key"]).select("doc_id", "key", "n", F.col("component").alias("grp")), "chosen")
     found = stored(group_links(docs, chosen, k, num, den, task_shingles), "links")
@@ -413,7 +394,7 @@ def distinct_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """The rows of ``docs`` without near duplicates: of each group the one with the smallest id stays, and all rows without an id."""
     groups = stored(near_duplicates(docs, k, num, den), "groups")
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_SETS else gone
+    gone = F.broadcast(gone) if gone.count() * 32 <= BROADCAST_BYTES else gone
     left = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not twice.limit(1).count():

@@ -97,16 +97,30 @@ def test_distinct_documents_keep_one_of_each_group(spark):
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got.collect()) == sorted(-1 if i is None else i for i in want)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 30), unique=True).map(sorted), max_size=12), st.integers(1, 12), st.sampled_from([0, 500]))
-def test_divide_skip_finds_what_counting_finds(lists, want, heap):
-    old, ngram_join.HEAP_IDS = ngram_join.HEAP_IDS, heap
-    try:
-        counts = Counter(i for x in lists for i in x)
-        ids = sorted(i for i, n in counts.items() if n >= want)
-        assert ngram_join.divide_skip(lists, want) == (ids, [counts[i] for i in ids])
-    finally:
-        ngram_join.HEAP_IDS = old
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), unique=True).map(sorted), max_size=12), st.integers(1, 12))
+def test_divide_skip_finds_what_counting_finds(lists, want):
+    counts = Counter(i for x in lists for i in x)
+    ids = sorted(i for i, n in counts.items() if n >= want)
+    got = ngram_join.divide_skip([np.array(x, np.int64) for x in lists], want)
+    assert [x.tolist() for x in got] == [ids, [counts[i] for i in ids]]
+
+
+def test_all_links_come_from_the_search(monkeypatch):
+    sets = [np.unique(np.array([*range(100), 1000 + i], np.uint64)) for i in range(30)] + [np.arange(5000, 5100, dtype=np.uint64)] * 2
+    searches = []
+    search = ngram_join.divide_skip
+    monkeypatch.setattr(ngram_join, "divide_skip", lambda lists, want: searches.append(search(lists, want)) or searches[-1])
+    assert len(ngram_join.links_of(sets, 85, 100)) == 30 and 1 < len(searches) <= 3
+    monkeypatch.setattr(ngram_join, "divide_skip", lambda lists, want: (np.zeros(0, np.int64),) * 2)
+    assert ngram_join.links_of(sets, 85, 100) == []
+
+
+def test_keys_of_sets_have_128_bits():
+    sets = [np.unique(np.random.default_rng(i).integers(0, 50, 4).astype(np.uint64)) for i in range(5000)]
+    keys = {ngram_join.set_key(s) for s in sets}
+    assert len(keys) == len({tuple(s) for s in sets}) and all(len(k) == 16 for k in keys)
+    assert len({k[:8] for k in keys}) == len({k[8:] for k in keys}) == len(keys)
 
 
 @settings(max_examples=40, deadline=None)
