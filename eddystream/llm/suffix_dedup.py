@@ -10,15 +10,16 @@ smallest hash among its ``seed``-byte windows. Only such places, the anchors
 2. Of different surroundings with one seed, one copy each is sorted twice, by
    what follows the anchor and by what precedes it read backwards: sparse
    suffix arrays with their common prefixes. Deep-shallow: a multikey quicksort
-   orders them to a shallow depth, a few bytes at a time; the groups that are
-   still equal there are ordered by blind tries, which look at one byte of each
-   branch and compare in full once.
+   orders them to a shallow depth, a word of bytes at a time, in three parts
+   around a pivot; the groups that are still equal there are ordered by blind
+   tries, which look at one byte of each branch and compare in full once.
 3. A string that starts d bytes before its anchor repeats if another anchor
    shares d bytes before and ``length - d`` after, that is, if both lie in one
    run of both arrays. A seed with very many surroundings is parted by what
-   strings through it must share besides the seed: either the nearer half of
-   what precedes it or most of what follows. Parts that are still too large for
-   a task count the hashes of their strings instead, in a shuffle.
+   strings through it must share besides the seed: those that start in the
+   nearer half of the places before it share more of what follows, the others
+   more of what precedes. Parts that are still too large are halved again, down
+   to strings of one start, which are equal.
 4. Covered bytes are joined to the documents and cut out.
 """
 
@@ -39,10 +40,9 @@ LENGTH = 200
 #: Bytes that the multikey quicksort looks at, in steps of a word, before blind tries take over.
 SHALLOW, WORD = 32, 8
 #: A seed, or a part of one, with more different surroundings isn't sorted in one task.
-HOT = 50_000
+HOT = 10_000
 #: Surroundings that a task sorts at once, whole groups.
 AT_ONCE = 20_000
-NO_ID = -(1 << 63)
 
 
 def seed_of(length: int) -> int:
@@ -100,13 +100,12 @@ def surroundings(at: np.ndarray, off: np.ndarray, length: int, seed: int) -> tup
 
 
 def anchor_table(docs: DataFrame, length: int) -> DataFrame:
-    """(h, c, did, at) of every anchor: hashes of its seed and of its surroundings, its row by id and text hash, its place there."""
+    """(h, c, row, at) of every anchor: hashes of its seed and of its surroundings, its row's name, its place there."""
     seed = seed_of(length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = textops.raw(b.column("text"))
-            did, th = b.column("did").to_numpy(), b.column("th").to_numpy()
             for i, j in textops.pieces(off):
                 part, po = buf[off[i] : off[j]], off[i : j + 1] - off[i]
                 at, h = anchors(part, po, length, seed)
@@ -116,9 +115,9 @@ def anchor_table(docs: DataFrame, length: int) -> DataFrame:
                 c = Hashes(part).of(at - before, at + after)
                 c = textops.mix(c + (before * 4096 + after).astype(np.uint64))
                 where = (at - po[row]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(did[i + row]), pa.array(th[i + row]), pa.array(where)], ["h", "c", "did", "th", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column("row").take(pa.array(i + row)), pa.array(where)], ["h", "c", "row", "at"])
 
-    return docs.mapInArrow(tidy(find), "h long, c long, did long, th long, at int")
+    return docs.mapInArrow(tidy(find), "h long, c long, row binary, at int")
 
 
 # ---- deep-shallow sorting ----------------------------------------------------
@@ -169,23 +168,51 @@ class BlindTrie:
         else:
             above[1][s[above[0]]] = split
 
-    def ordered(self) -> tuple[list[int], list[int]]:
-        """The strings in order, and how many bytes each shares with the one before it."""
+    def ordered(self) -> list[int]:
         order: list[int] = []
-        shared: list[int] = []
-        stack: list[tuple[list | int | None, int]] = [(self.root, 0)]
+        stack: list[list | int | None] = [self.root]
         while stack:
-            node, deep = stack.pop()
+            node = stack.pop()
             if isinstance(node, list):
-                keys = sorted(node[1], reverse=True)
-                stack += [(node[1][k], deep if k == keys[-1] else node[0]) for k in keys]
+                stack += [node[1][k] for k in sorted(node[1], reverse=True)]
             elif node is not None:
-                order.append(node)
-                shared.append(deep)
-                for i in self.equal.get(node, ()):
-                    order.append(i)
-                    shared.append(self.width)
-        return order, shared
+                order += [node, *self.equal.get(node, ())]
+        return order
+
+
+def multikey_quicksort(words: np.ndarray, order: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Sorts ``order``, places in the rows of ``words``, within its runs (ascending numbers ``run``); gives the runs of rows that are equal.
+
+    Each run is parted in three by the word at its depth, against the median of
+    three of its words: smaller, equal, larger; the equal part goes on one word
+    deeper. All runs that are still open take their next step together.
+    """
+    n, width = words.shape
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    size = np.diff(np.append(first, len(run)))
+    deep = np.zeros(len(first), np.int64)
+    closed: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(first):
+        over = (size < 2) | (deep >= width)
+        closed.append((first[over], size[over]))
+        first, size, deep = first[~over], size[~over], deep[~over]
+        if not len(first):
+            break
+        of = np.repeat(np.arange(len(first)), size)
+        at = np.arange(len(of)) + np.repeat(first - (np.cumsum(size) - size), size)
+        word = words[order[at], deep[of]]
+        three = [words[order[p], deep] for p in (first, first + size // 2, first + size - 1)]
+        pivot = np.sort(np.stack(three), axis=0)[1][of]
+        part = of * 3 + (word >= pivot) + (word > pivot)
+        order[at] = order[at[np.argsort(part, kind="stable")]]
+        count = np.bincount(part, minlength=3 * len(first)).reshape(-1, 3)
+        start = first[:, None] + np.cumsum(count, 1) - count
+        some = count > 0
+        first, size, deep = start[some], count[some], (deep[:, None] + np.array([0, 1, 0]))[some]
+    starts = np.concatenate([f for f, _ in closed]) if closed else np.zeros(0, np.int64)
+    mark = np.zeros(len(order), np.int64)
+    mark[starts] = 1
+    return np.cumsum(mark)
 
 
 def deep_shallow(table: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
@@ -195,51 +222,22 @@ def deep_shallow(table: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -
     """
     n, width = table.shape
     order = np.argsort(group, kind="stable")
-    shared = np.zeros(n, np.int64)
-    start = np.ones(n, bool)
-    start[1:] = group[order][1:] != group[order][:-1]
-    shared[start] = -1
-    depth = 0
-    open_ = np.arange(n)  # positions in ``order`` whose place among equals isn't known yet
-    run = np.cumsum(start)
-    while depth < min(width, shallow):
-        sizes = np.bincount(run[open_], minlength=run[-1] + 1) if n else np.zeros(1, int)
-        open_ = open_[sizes[run[open_]] > 1]
-        if not len(open_):
-            return order, shared
-        take = min(WORD, width - depth)
-        word = np.zeros((len(open_), 8), np.uint8)
-        word[:, :take] = table[order[open_], depth : depth + take]
-        word = word.view(">u8")[:, 0].astype(np.uint64)
-        place = np.lexsort((word, run[open_]))
-        order[open_] = order[open_][place]
-        word = word[place]
-        same_run = run[open_][1:] == run[open_][:-1]
-        diff = word[1:] ^ word[:-1]
-        new = same_run & (diff != 0)
-        # the place of the first byte that differs, by the highest set bit
-        bits = np.frexp(np.maximum(diff >> np.uint64(32), np.uint64(1)).astype(np.float64))[1] + 32
-        low = np.frexp(np.maximum(diff & np.uint64(0xFFFFFFFF), np.uint64(1)).astype(np.float64))[1]
-        bits = np.where(diff >> np.uint64(32) != 0, bits, low)
-        shared[open_[1:][new]] = depth + (64 - bits[new]) // 8
-        split = np.zeros(n, bool)
-        split[open_[1:][new]] = True
-        run = np.cumsum(split) + run
-        depth += take
-    if depth < width:
-        sizes = np.bincount(run[open_], minlength=run[-1] + 1)
-        open_ = open_[sizes[run[open_]] > 1]
-        edges = np.flatnonzero(np.diff(run[open_], prepend=-1, append=-1)) if len(open_) else []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            rows = order[open_[a:b]]
-            tail = [table[r, depth:].tobytes() for r in rows]
-            inner, common = BlindTrie(tail, width - depth).ordered()
-            order[open_[a:b]] = rows[inner]
-            shared[open_[a + 1 : b]] = depth + np.array(common[1:], np.int64)
-    else:
-        new_run = np.ones(len(open_), bool)
-        new_run[1:] = run[open_][1:] != run[open_][:-1]
-        shared[open_[~new_run]] = width
+    if not n:
+        return order, np.zeros(0, np.int64)
+    shallow = min(shallow, width)
+    padded = np.zeros((n, -(-shallow // WORD) * WORD), np.uint8)
+    padded[:, :shallow] = table[:, :shallow]
+    run = multikey_quicksort(padded.view(f">u{WORD}").astype(np.uint64), order, np.cumsum(np.diff(group[order], prepend=group[order[:1]]) != 0))
+    if width > shallow:
+        edges = np.append(np.flatnonzero(np.diff(run, prepend=-1)), n)
+        for a in np.flatnonzero(np.diff(edges) > 1).tolist():
+            rows = order[edges[a] : edges[a + 1]]
+            order[edges[a] : edges[a + 1]] = rows[BlindTrie([table[r, shallow:].tobytes() for r in rows], width - shallow).ordered()]
+    shared = np.full(n, -1, np.int64)
+    for i in range(1, n, 10_000):
+        a, b = order[i - 1 : min(i + 9_999, n - 1)], order[i : i + 10_000]
+        differ = table[a] != table[b]
+        shared[i : i + 10_000] = np.where(group[a] == group[b], np.where(differ.any(1), differ.argmax(1), width), -1)
     return order, shared
 
 
@@ -284,10 +282,10 @@ def covered(found: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """(did, th, text, m0, m1, ...): did and th name a row; rows equal in both, th having 64 bits, have equal texts and so equal results."""
-    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did")
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    return docs.select(did, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), text, *(F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(more)))
+    """(row, did, text, m0, m1, ...): row names a row by 128 bits of its id, or of having none, and text; rows of one name are equal and so have equal results."""
+    id_, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    row = F.unhex(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("none")), F.lit(" "), text).cast("binary")))
+    return docs.select(row.alias("row"), id_.alias("did"), text.alias("text"), *(F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(more)))
 
 
 def contexts(texts: DataFrame, length: int) -> DataFrame:
@@ -326,36 +324,36 @@ def _tables(b: pa.Table, length: int, seed: int) -> tuple:
     return b.column("h").to_numpy(), before.reshape(n, reach), after.reshape(n, reach), nb, na, b.column("twice").to_numpy(zero_copy_only=False)
 
 
-AROUND = "g long, h long, c long, twice boolean, nb int, na int, around binary"
+AROUND = "g long, lo int, hi int, h long, c long, twice boolean, nb int, na int, around binary"
 
 
-def halves(around: DataFrame, length: int) -> DataFrame:
-    """Each row of ``around`` once for the strings that start at least half the reach before the anchor, once for the others.
+def sections(around: DataFrame, length: int) -> DataFrame:
+    """Each row of ``around`` (of AROUND), which stands for the strings that start ``lo`` to ``hi - 1`` bytes before its anchor, once for each half of these.
 
-    ``g`` is what such strings must share: the seed with the half before it, or with all that the shortest of them has after it.
+    ``g`` is what the strings of a half share: all from the nearest start to the end of the farthest.
     """
-    half = (length - seed_of(length)) // 2
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for h, c, twice, nb, na, text in zip(*(b.column(x).to_pylist() for x in ("h", "c", "twice", "nb", "na", "around")), strict=True):
-                if nb >= half:
-                    more = min(na, length - half)
-                    out.append((h, c, twice, nb, more, text[: nb + more], b"L" + text[nb - half : nb]))
-                less = min(nb, half - 1)
-                if half and na > length - half:
-                    out.append((h, c, twice, less, na, text[nb - less :], b"R" + text[nb : nb + length - half + 1]))
-            keys = [int.from_bytes(hashlib.md5(r[6] + r[0].to_bytes(8, "big", signed=True)).digest()[:8], "big", signed=True) for r in out]
-            cols = [keys, *(list(zip(*out, strict=True))[:6] if out else [[]] * 6)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["g", "h", "c", "twice", "nb", "na", "around"])
+            for lo, hi, h, c, twice, nb, na, text in zip(*(b.column(x).to_pylist() for x in ("lo", "hi", "h", "c", "twice", "nb", "na", "around")), strict=True):
+                mid = (lo + hi + 1) // 2
+                for x, y in ((lo, mid), (mid, hi)):
+                    if max(x, length - na) > min(y - 1, nb):
+                        continue  # no string of this half lies in the text
+                    before, after = min(nb, y - 1), min(na, length - x)
+                    same = text[nb - x : nb + length - y + 1]
+                    g = hashlib.md5(f"{h} {x} {y} ".encode() + same).digest()[:8]
+                    out.append((int.from_bytes(g, "big", signed=True), x, y, h, c, twice, before, after, text[nb - before : nb + after]))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 9
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["g", "lo", "hi", "h", "c", "twice", "nb", "na", "around"])
 
     return around.mapInArrow(tidy(part), AROUND)
 
 
 def sorted_repeats(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For rows of AROUND sorted by g: (h, c, lo, hi) of the bytes that repeat around each anchor, whole groups at a time."""
+    """For rows (g, h, c, twice, nb, na, around) sorted by g: (h, c, lo, hi) of the bytes that repeat around each anchor, whole groups at a time."""
     seed = seed_of(length)
 
     def answer(t: pa.Table) -> pa.RecordBatch:
@@ -386,70 +384,51 @@ def sorted_repeats(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def hashed_repeats(hot: DataFrame, length: int) -> DataFrame:
-    """The same for groups with very many surroundings: strings are counted by their hashes, wherever they are."""
-    seed = seed_of(length)
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, len(b), 1000):
-                p = b.slice(k, 1000)
-                nb, na = p.column("nb").to_numpy().astype(np.int64), p.column("na").to_numpy().astype(np.int64)
-                buf, off = textops.raw(p.column("around"))
-                d = np.arange(length - seed + 1)
-                row, d = np.nonzero((d <= nb[:, None]) & (length - d <= na[:, None]))
-                a = off[row] + nb[row] - d
-                w = Hashes(buf).of(a, a + length)
-                yield pa.RecordBatch.from_arrays(
-                    [*(p.column(c).take(pa.array(row)) for c in ("h", "c", "twice")), pa.array(d.astype(np.int32)), pa.array(w.view(np.int64))], ["h", "c", "twice", "d", "w"]
-                )
-
-    all_ = hot.mapInArrow(tidy(strings), "h long, c long, twice boolean, d int, w long")
-    many = all_.groupBy("h", "d", "w").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("times")).where("times > 1")
-    found = all_.where("not twice").join(many, ["h", "d", "w"], "left_semi")
-    return found.select("h", "c", (-F.col("d")).cast("int").alias("lo"), (F.lit(length) - F.col("d")).cast("int").alias("hi"))
-
-
 def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(did, th, spans): for rows of :func:`_keyed` in which something repeats, arrays of (lo, hi) of covered bytes, overlapping ones included."""
+    """(row, spans): for rows of :func:`_keyed` in which something repeats, arrays of (lo, hi) of covered bytes, overlapping ones included."""
     seed = seed_of(length)
-    slim = docs.select("did", "th", "text")
+    slim = docs.select("row", "text")
     all_ = stored(anchor_table(slim, length), "anchors")
     # stored, as are the sides of other joins below: Spark splits a hot key only where nothing but shuffles lies under a join
     often = stored(all_.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "repeated-seeds")
     some = stored(all_.join(often, "h"), "repeated-anchors")
     dropped(often)
     dropped(all_)
-    classes = stored(some.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("did", "th", "at")).alias("rep")), "surroundings")
+    classes = stored(some.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("row", "at")).alias("rep")), "surroundings")
     mixed = stored(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "mixed-seeds")
 
     def around(seeds: DataFrame) -> DataFrame:
         """The different surroundings of ``seeds``, from one row each that has them."""
-        reps = classes.join(seeds, "h").select("rep.did", "rep.th", F.struct("h", "c", (F.col("m") > 1).alias("twice"), F.col("rep.at").alias("at")).alias("r"))
-        by_row = reps.groupBy("did", "th").agg(F.collect_list("r").alias("reps"))
-        # equal rows are one: the same key, the same text
-        return contexts(slim.join(by_row, ["did", "th"]).dropDuplicates(["did", "th"]).select("text", "reps"), length)
+        reps = classes.join(seeds, "h").select("rep.row", F.struct("h", "c", (F.col("m") > 1).alias("twice"), F.col("rep.at").alias("at")).alias("r"))
+        by_row = reps.groupBy("row").agg(F.collect_list("r").alias("reps"))
+        # rows of one name are equal: one of them will do
+        return contexts(slim.join(by_row, "row").dropDuplicates(["row"]).select("text", "reps"), length)
 
-    parts = around(mixed.where(F.col("k") <= hot).select("h")).withColumn("g", F.col("h"))
-    parts = parts.select("g", "h", "c", "twice", "nb", "na", "around").repartition("g")
+    columns = ("g", "h", "c", "twice", "nb", "na", "around")
+    parts = around(mixed.where(F.col("k") <= hot).select("h")).withColumn("g", F.col("h")).select(*columns).repartition("g")
     found = []
-    hottest = mixed.where(F.col("k") > hot).select("h")
-    if hottest.limit(1).count():
-        split = stored(halves(around(hottest), length), "halves")
-        sizes = split.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
-        parts = parts.unionByName(split.join(sizes.where(F.col("k") <= hot).select("g"), "g").repartition("g"))
-        found.append(hashed_repeats(split.join(sizes.where(F.col("k") > hot).select("g"), "g"), length))
+    open_ = around(mixed.where(F.col("k") > hot).select("h")).select(F.lit(0).alias("lo"), F.lit(length - seed + 1).alias("hi"), "h", "c", "twice", "nb", "na", "around")
+    more = bool(mixed.where(F.col("k") > hot).limit(1).count())
+    while more:
+        halves = stored(sections(open_, length), "sections")
+        sizes = stored(halves.groupBy("g").agg(F.count("*").alias("k"), F.max(F.col("hi") - F.col("lo")).alias("starts")).where("k > 1"), "section-sizes")
+        large = sizes.where(F.col("k") > hot)
+        parts = parts.unionByName(halves.join(sizes.where(F.col("k") <= hot).select("g"), "g").select(*columns).repartition("g"))
+        # strings of one start that share all are equal
+        equal = halves.join(large.where("starts = 1").select("g"), "g").where("not twice")
+        found.append(equal.select("h", "c", (-F.col("lo")).alias("lo"), (F.lit(length) - F.col("lo")).alias("hi")))
+        open_ = halves.join(large.where("starts > 1").select("g"), "g").drop("g")
+        more = bool(large.where("starts > 1").limit(1).count())
     # surroundings that occur twice are covered from end to end
     found.append(classes.where("m > 1").select("h", "c", F.lit(seed - length).alias("lo"), F.lit(length).alias("hi")))
     marks = parts.sortWithinPartitions("g").mapInArrow(tidy(sorted_repeats(length)), "h long, c long, lo int, hi int")
-    for more in found:
-        marks = marks.unionByName(more)
+    for spans in found:
+        marks = marks.unionByName(spans)
     at = F.col("at")
     spans = some.join(marks, ["h", "c"]).select(
-        "did", "th",
-        F.struct(F.greatest(at + F.col("lo"), F.lit(0)).cast("int").alias("lo"), (at + F.col("hi")).cast("int").alias("hi")).alias("s"),
+        "row", F.struct(F.greatest(at + F.col("lo"), F.lit(0)).cast("int").alias("lo"), (at + F.col("hi")).cast("int").alias("hi")).alias("s")
     )
-    return spans.groupBy("did", "th").agg(F.collect_set("s").alias("spans"))
+    return spans.groupBy("row").agg(F.collect_set("s").alias("spans"))
 
 
 def keep(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
@@ -478,11 +457,12 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, more: tuple[str, ...] = (
     string that starts anywhere else as well, in the same or another row, are
     removed; rows that repeat an id are rows like others, and equal rows remove
     each other. ``kept`` are the remaining bytes; cuts can part a character.
-    A text shorter than ``length`` stays. An empty table gives no rows.
+    A text shorter than ``length`` stays, one of any length is read whole. A row
+    without an id is a row like others. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     rows = _keyed(docs, *more)
-    joined = rows.join(removed(rows, length, hot), ["did", "th"], "left")
+    joined = rows.join(removed(rows, length, hot), "row", "left")
     carried = [*more]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -504,7 +484,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, more: tuple[str, ...] = (
     schema = ", ".join(["did long", *(f"m{i} {kinds[f'm{i}']}" for i in range(len(carried))), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"])
     done = slim.mapInArrow(tidy(cut), schema)
     return done.select(
-        F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept",
+        F.col("did").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept",
         *(F.col(f"m{i}").alias(m) for i, m in enumerate(carried)),
     )
 

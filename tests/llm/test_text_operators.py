@@ -160,7 +160,7 @@ def brute_removal(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "hot"), [(200, 50_000), (40, 50_000), (40, 2), (13, 5)])
+@pytest.mark.parametrize(("length", "hot"), [(200, 50_000), (40, 50_000), (40, 2), (13, 5), (13, 1)])
 def test_suffix_dedup_is_exact(spark, length, hot):
     rows = corpus(length)
     got = suffix_dedup.deduplicate(table(spark, rows), length, hot=hot).drop("kept")
@@ -186,6 +186,18 @@ def test_deep_shallow_sorts(strings, shallow):
         assert n == (same if group[a] == group[b] else -1)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.lists(st.integers(0, 4), min_size=3, max_size=3)), max_size=60))
+def test_multikey_quicksort_sorts_runs(rows):
+    words = np.array([w for _, w in rows], np.uint64).reshape(-1, 3)
+    group = np.array([g for g, _ in rows], np.int64)
+    order = np.argsort(group, kind="stable")
+    run = suffix_dedup.multikey_quicksort(words, order, group[order])
+    got = [rows[i] for i in order]
+    assert got == sorted(rows)
+    assert all((run[i] == run[i - 1]) == (got[i] == got[i - 1]) for i in range(1, len(rows)))
+
+
 # ---- packing -----------------------------------------------------------------
 
 
@@ -348,6 +360,7 @@ def test_words_are_what_the_pattern_finds(texts):
 
 
 def test_texts_without_an_id_that_share_a_short_hash_are_rows_of_their_own(spark):
+    # rows were once named by F.hash of their text
     texts = spark.range(300_000).select(F.concat(F.sha2(F.col("id").cast("string"), 512), F.sha2((-F.col("id") - 1).cast("string"), 512)).alias("text"))
     pair = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("both")).where("size(both) = 2").orderBy("both").first()["both"]
     for a, b in (pair, pair[::-1]):
