@@ -18,8 +18,9 @@ smallest hash among its ``seed``-byte windows. Only such places, the anchors
    run of both arrays. A seed with very many surroundings is parted by what
    strings through it must share besides the seed: those that start in the
    nearer half of the places before it share more of what follows, the others
-   more of what precedes. Parts that are still too large are halved again, down
-   to strings of one start, which are equal.
+   more of what precedes. Surroundings that are equal as far as the strings of
+   a part reach repeat there and go on as one. Parts that are still too large
+   are halved again, down to strings of one start, which are all equal.
 4. Covered bytes are joined to the documents and cut out.
 """
 
@@ -40,7 +41,7 @@ LENGTH = 200
 #: Bytes that the multikey quicksort looks at, in steps of a word, before blind tries take over.
 SHALLOW, WORD = 32, 8
 #: A seed, or a part of one, with more different surroundings isn't sorted in one task.
-HOT = 10_000
+HOT = 50_000
 #: Surroundings that a task sorts at once, whole groups.
 AT_ONCE = 20_000
 
@@ -324,13 +325,14 @@ def _tables(b: pa.Table, length: int, seed: int) -> tuple:
     return b.column("h").to_numpy(), before.reshape(n, reach), after.reshape(n, reach), nb, na, b.column("twice").to_numpy(zero_copy_only=False)
 
 
-AROUND = "g long, lo int, hi int, h long, c long, twice boolean, nb int, na int, around binary"
+AROUND = "g long, same binary, lo int, hi int, h long, c long, twice boolean, nb int, na int, around binary"
 
 
 def sections(around: DataFrame, length: int) -> DataFrame:
     """Each row of ``around`` (of AROUND), which stands for the strings that start ``lo`` to ``hi - 1`` bytes before its anchor, once for each half of these.
 
-    ``g`` is what the strings of a half share: all from the nearest start to the end of the farthest.
+    ``g`` is what the strings of a half share: all from the nearest start to
+    the end of the farthest. ``same`` is the digest of all that they cover.
     """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,12 +344,13 @@ def sections(around: DataFrame, length: int) -> DataFrame:
                     if max(x, length - na) > min(y - 1, nb):
                         continue  # no string of this half lies in the text
                     before, after = min(nb, y - 1), min(na, length - x)
-                    same = text[nb - x : nb + length - y + 1]
-                    g = hashlib.md5(f"{h} {x} {y} ".encode() + same).digest()[:8]
-                    out.append((int.from_bytes(g, "big", signed=True), x, y, h, c, twice, before, after, text[nb - before : nb + after]))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 9
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["g", "lo", "hi", "h", "c", "twice", "nb", "na", "around"])
+                    some, all_ = text[nb - x : nb + length - y + 1], text[nb - before : nb + after]
+                    name = f"{h} {x} {y} ".encode()
+                    g = int.from_bytes(hashlib.md5(name + some).digest()[:8], "big", signed=True)
+                    out.append((g, hashlib.md5(name + f"{before} ".encode() + all_).digest(), x, y, h, c, twice, before, after, all_))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 10
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["g", "same", "lo", "hi", "h", "c", "twice", "nb", "na", "around"])
 
     return around.mapInArrow(tidy(part), AROUND)
 
@@ -411,14 +414,16 @@ def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     more = bool(mixed.where(F.col("k") > hot).limit(1).count())
     while more:
         halves = stored(sections(open_, length), "sections")
-        sizes = stored(halves.groupBy("g").agg(F.count("*").alias("k"), F.max(F.col("hi") - F.col("lo")).alias("starts")).where("k > 1"), "section-sizes")
-        large = sizes.where(F.col("k") > hot)
-        parts = parts.unionByName(halves.join(sizes.where(F.col("k") <= hot).select("g"), "g").select(*columns).repartition("g"))
-        # strings of one start that share all are equal
-        equal = halves.join(large.where("starts = 1").select("g"), "g").where("not twice")
-        found.append(equal.select("h", "c", (-F.col("lo")).alias("lo"), (F.lit(length) - F.col("lo")).alias("hi")))
-        open_ = halves.join(large.where("starts > 1").select("g"), "g").drop("g")
-        more = bool(large.where("starts > 1").limit(1).count())
+        alike = stored(halves.groupBy("g", "same").agg(F.count("*").alias("m"), F.max("twice").alias("before"), F.min(F.struct("h", "c")).alias("rep")), "alike")
+        repeated = halves.where("not twice").join(alike.where("m > 1 or before").select("g", "same"), ["g", "same"])
+        # from the farthest start that is in the text to the end of the nearest
+        found.append(repeated.select("h", "c", (-F.least(F.col("hi") - 1, "nb")).alias("lo"), F.least(F.lit(length) - F.col("lo"), "na").alias("hi")))
+        ones = halves.join(alike.withColumn("again", F.expr("m > 1 or before")).select("g", "same", "rep", "again"), ["g", "same"]).where("h = rep.h and c = rep.c")
+        ones = stored(ones.withColumn("twice", F.col("again")).drop("rep", "again", "same"), "section-classes")
+        sizes = stored(ones.groupBy("g").agg(F.count("*").alias("k")).where("k > 1"), "section-sizes")
+        parts = parts.unionByName(ones.join(sizes.where(F.col("k") <= hot).select("g"), "g").select(*columns).repartition("g"))
+        open_ = ones.join(sizes.where(F.col("k") > hot).select("g"), "g").drop("g")
+        more = bool(sizes.where(F.col("k") > hot).limit(1).count())
     # surroundings that occur twice are covered from end to end
     found.append(classes.where("m > 1").select("h", "c", F.lit(seed - length).alias("lo"), F.lit(length).alias("hi")))
     marks = parts.sortWithinPartitions("g").mapInArrow(tidy(sorted_repeats(length)), "h long, c long, lo int, hi int")
