@@ -210,26 +210,34 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
     kind = dict(known.dtypes)
-    got: pd.DataFrame = texts.mapInArrow(tidy(pool), f"doc_id {kind['doc_id']}, quality {kind['quality']}, x binary").dropDuplicates(["doc_id"]).toPandas()
-    got = got.sort_values("doc_id")
+    # of several texts of one id the one with the least features, so that a rerun takes the same
+    pooled_ = texts.mapInArrow(tidy(pool), f"doc_id {kind['doc_id']}, quality {kind['quality']}, x binary").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x"))
+    got: pd.DataFrame = pooled_.toPandas().sort_values("doc_id")
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, width) if len(got) else np.zeros((0, width), np.float32)
     return fit(x, (got["quality"].to_numpy() > 0).astype(float))
 
 
 def score(docs: DataFrame, vectors: np.ndarray, net: Network, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``docs``'s columns ``keep`` and the score of its text (null: empty)."""
+    """``docs``'s columns ``keep`` and the score of its text.
+
+    A null or empty text has the score of a text without words. Texts of any
+    length are read whole; each row has its own text's score, also where rows
+    repeat or share an id. Other columns, whatever their names, play no part.
+    An empty table gives no rows.
+    """
     spark = docs.sparkSession
+    again = "text" not in keep  # a text that is kept is sent to the workers once
     model = spark.sparkContext.broadcast((vectors, net))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vectors, net = model.value
-            buf, off = textops.raw(b.column(b.num_columns - 1))
+            buf, off = textops.raw(b.column(len(keep) if again else keep.index("text")))
             y = net.score(pooled(buf, off, vectors))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(y, pa.float64())], [*(f"c{i}" for i in range(len(keep))), "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(y, pa.float64())], [*(f"c{i}" for i in range(len(keep))), "score"])
 
-    slim = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col("text").alias("_text"))
-    schema = ", ".join([*(f"c{i} {kind}" for i, (_, kind) in enumerate(slim.dtypes[:-1])), "score double"])
+    slim = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), *([F.col("text").alias("_text")] if again else []))
+    schema = ", ".join([*(f"c{i} {kind}" for i, (_, kind) in enumerate(slim.dtypes[: len(keep)])), "score double"])
     return slim.mapInArrow(tidy(rate), schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "score")
 
 
@@ -246,7 +254,7 @@ def classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    """Every row's score. A null doc_id is in no fold and not held out; an empty text has the score of an empty vector."""
+    """Every row's score. A null doc_id is in no fold and not held out; all else as :func:`score` has it."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = score(docs, *classifier(docs, labels))
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))

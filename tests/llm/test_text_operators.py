@@ -251,6 +251,24 @@ def test_packing_is_whole(spark):
     assert packing.pack_documents(table(spark, EMPTY)).count() == 0
 
 
+_ODD_SPACE = st.sampled_from([" ", "  ", "   ", "\t", "\n", "\r\n", "\n\n ", "\x0b", "\x0c", "\x1f", "\x85", "\xa0", "\u200b", "\u2009", "\u3000", "'s", "'LL", "1234", "é", "ß.", "漢", "😀", "<|endoftext|>"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(_ODD_SPACE | st.text(max_size=12), max_size=60).map("".join))
+def test_both_tokenizers_agree_on_odd_spaces(text):
+    slow, _ = packing.encoders("byte_bpe_50k.json")
+    assert packing.encode(text, "byte_bpe_50k.json") == slow.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.integers(0, 10**9), st.sampled_from(["ab ", "aB9 .,'", "é ö\n", "a", " ", "x-_/ \t"]))
+def test_both_tokenizers_agree_on_long_texts(seed, letters):
+    text = "".join(random.Random(seed).choices(letters, k=20_000))
+    slow, _ = packing.encoders("byte_bpe_50k.json")
+    assert packing.encode(text, "byte_bpe_50k.json") == slow.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=200))
 def test_both_tokenizers_agree(text):
@@ -322,6 +340,56 @@ def test_quality_learns_and_never_sees_the_held_out_fold(spark):
     assert all(0 <= s <= 1 for s in first.values()) and first[1000] == first[1001]
 
 
+def test_word_vectors_and_pooling_equal_brute_force(spark):
+    rng = random.Random(3)
+    words = ["Ab", "cd!", "e9", "FG", "hé", "ii", "--"]
+    texts = [None, "", *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(25))]
+    terms, dim = 256, 8
+
+    def two(word):  # a word's terms, by the word alone
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return tuple(quality.terms_of(raw, np.array([0, len(raw)]), terms)[0][0].tolist())
+
+    place, sign = quality.index_vectors(terms, dim)
+    index = np.zeros((terms, dim))
+    for t in range(terms):
+        for p, x in zip(place[t], sign[t], strict=True):
+            index[t, p] += x
+    sums = np.zeros((terms, dim))
+    for text in texts:
+        said = [two(w) for w in (text or "").split()]
+        for i, (letters, shape) in enumerate(said):
+            sums[letters] += index[shape]
+            sums[shape] += index[letters]
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(said):
+                    sums[letters] += index[said[j][0]]
+                    sums[shape] += index[said[j][1]]
+    want = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    docs = table(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = quality.word_vectors(docs.repartition(3), terms, dim)
+    assert np.allclose(got, want, atol=1e-6)
+    import pyarrow as pa
+
+    features = quality.pooled(*textops.raw(pa.array(texts)), got)
+    for text, row in zip(texts, features, strict=True):
+        said = [two(w) for w in (text or "").split()]
+        if not said:
+            assert row.tolist() == [0.0] * (2 * dim + 2) + [1.0]
+            continue
+        v = np.array([want[a] + want[b] for a, b in said])
+        full = [*v.mean(0), *v.std(0), len({a for a, _ in said}) / len(said), np.log1p(len(said)), 0.0]
+        assert np.allclose(row, full, atol=1e-3)
+
+
+def test_of_several_texts_of_one_id_training_takes_the_same(spark):
+    rows = [(i % 40, f"{'good words here' if i % 2 else 'BAD !!! $$$'} {i} " * 5, "s") for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = table(spark, rows)
+    first, again = (quality.classifier(d, labels)[1] for d in (docs, docs.orderBy(F.desc("text")).repartition(3)))
+    assert np.array_equal(first.w1, again.w1) and first.temperature == again.temperature
+
+
 def test_quality_without_documents_or_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = table(spark, [(1, "a", "s"), (2, None, None)])
