@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from eddystream.functions.geometry import cell, dense_side, join_side, near, stencil
 from eddystream.operators.components import components
 from eddystream.operators.kernel import cluster_chunk, cluster_window, roots
-from eddystream.operators.neighbors import moved_cells, neighbor_counts_incremental, window_pairs
-from eddystream.operators.windows import count_windows, dense_cells, first_window, last_window, n_windows
+from eddystream.operators.neighbors import all_near, by_chunk, moved_cells, sparse_counts, window_pairs
+from eddystream.operators.windows import count_windows, dense_cells
 from eddystream.params import BORDER, CORE, NOISE, DbscanParams
 from eddystream.session import ship, stored
 
@@ -19,8 +21,8 @@ RESULT = "window_id int, seq long, pos int, label int, cluster_id long"
 
 
 def core_points(points: DataFrame, p: DbscanParams) -> DataFrame:
-    """(window_id, seq, pos) of rows with at least min_pts near rows."""
-    return neighbor_counts_incremental(points, p).where(F.col("nn") >= p.min_pts).select("window_id", "seq", "pos")
+    """(window_id, seq, pos) of rows with at least min_pts near rows; dense cells are never compared inside."""
+    return sparse_counts(points, p).where("core").select("window_id", "seq", "pos")
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -28,7 +30,12 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def point_labels(points: DataFrame, p: DbscanParams) -> DataFrame:
-    """(window_id, seq, pos, label) by joins alone: cores, rows next to a core, the rest."""
+    """(window_id, seq, pos, label): cores, rows next to a core, the rest."""
+    return dbscan_windows(points, p).select("window_id", "seq", "pos", "label")
+
+
+def joined_labels(points: DataFrame, p: DbscanParams) -> DataFrame:
+    """The same by joins alone."""
     pairs = _both_ways(window_pairs(points, p))
     counts = pairs.groupBy("window_id", "pos").agg((F.count("*") + 1).alias("nn"))
     cores = counts.where(F.col("nn") >= p.min_pts).select("window_id", "pos")
@@ -78,7 +85,7 @@ def dbscan_components(points: DataFrame, p: DbscanParams) -> DataFrame:
 def dbscan_windows_joined(points: DataFrame, p: DbscanParams) -> DataFrame:
     """The result of :func:`dbscan_windows` by joins, with Python only for components: for very large windows of few neighbours."""
     comps = dbscan_components(points, p)
-    labels = point_labels(points, p)
+    labels = joined_labels(points, p)
     pairs = _both_ways(window_pairs(points, p))
     beside = pairs.join(comps.select("window_id", F.col("pos").alias("other"), "root"), ["window_id", "other"]).groupBy("window_id", "pos").agg(F.min("root").alias("beside"))
     out = labels.join(comps, ["window_id", "pos"], "left").join(beside, ["window_id", "pos"], "left")
@@ -96,24 +103,39 @@ def dbscan_windows(points: DataFrame, p: DbscanParams, collapse: bool = True) ->
     not by the stream, and there are as many tasks as the stream is long.
     ``collapse`` spares comparisons within cells that are dense.
     """
-    some = p.window // p.stride
-    bounded = points.withColumn("_lo", first_window(p)).withColumn("_hi", last_window(p, n_windows(points, p))).where("_lo <= _hi")
-    chunk = F.explode(F.sequence(F.floor((F.col("_lo") - 1) / some), F.floor((F.col("_hi") - 1) / some)))
-    rows = bounded.select(chunk.alias("chunk"), "seq", "x", "y", "z")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        seq, first = pdf["seq"].to_numpy(), int(key[0]) * some + 1
-        # the last chunk of a stream may hold fewer windows: those whose last row has come
-        last = min(first + some - 1, (int(seq[-1]) + 1 - p.window) // p.stride)
-        done = [
-            pd.DataFrame({"window_id": np.int32(k), "seq": seq[at], "pos": (seq[at] % p.window).astype(np.int32), "label": label, "cluster_id": cluster})
-            for k, at, label, cluster in cluster_chunk(seq, pdf[["x", "y", "z"]].to_numpy(), p, first, last, collapse)
-        ]
-        return pd.concat(done) if done else pd.DataFrame({"window_id": [], "seq": [], "pos": [], "label": [], "cluster_id": []})
+
+    def step(seq: np.ndarray, xyz: np.ndarray, first: int, last: int) -> Iterator[pd.DataFrame]:
+        for k, at, label, cluster in cluster_chunk(seq, xyz, p, first, last, collapse):
+            yield pd.DataFrame({"window_id": np.int32(k), "seq": seq[at], "pos": (seq[at] % p.window).astype(np.int32), "label": label, "cluster_id": cluster})
+
+    return by_chunk(points, p, RESULT, step)
+
+
+def brute_force_windows(points: DataFrame, p: DbscanParams) -> DataFrame:
+    """The result of :func:`dbscan_windows` by comparing every two rows of a window and walking from core to core: without grid, chunks or pairs, to hold others against."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        xyz, pos, n = pdf[list(p.axes)].to_numpy(), pdf["pos"].to_numpy().astype(np.int64), len(pdf)
+        core = np.concatenate([all_near(xyz[i : i + 256], xyz, p).sum(1) >= p.min_pts for i in range(0, n, 256)])
+        cluster, label = np.full(n, -1, np.int64), np.where(core, CORE, NOISE).astype(np.int32)
+        for start in np.flatnonzero(core):  # in order of pos: the first core of a cluster names it, and borders go to the first cluster
+            if cluster[start] >= 0:
+                continue
+            wave = np.array([start])
+            cluster[start] = pos[start]
+            while len(wave):
+                reach = np.zeros(n, bool)
+                for i in range(0, len(wave), 256):
+                    reach |= all_near(xyz[wave[i : i + 256]], xyz, p).any(0)
+                reach &= cluster < 0
+                cluster[reach] = pos[start]
+                wave = np.flatnonzero(reach & core)
+        label[~core & (cluster >= 0)] = BORDER
+        return pd.DataFrame({"window_id": pdf["window_id"].to_numpy(), "seq": pdf["seq"].to_numpy(), "pos": pdf["pos"].to_numpy(), "label": label, "cluster_id": np.where(cluster >= 0, cluster, pos)})
 
     ship(points.sparkSession)
-    return rows.groupBy("chunk").applyInPandas(run, RESULT)
+    return count_windows(points, p).groupBy("window_id").applyInPandas(run, RESULT)
 
 
 def dbscan_static(points: DataFrame, p: DbscanParams, n: int) -> DataFrame:

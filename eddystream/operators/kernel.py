@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -30,8 +30,11 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return up
 
 
-def near_pairs(xyz: np.ndarray, p: DbscanParams, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows nearer than the radius, each once; rows of one ``group`` (not -1) are not compared with each other."""
+def near_pairs(xyz: np.ndarray, p: DbscanParams, group: np.ndarray | None = None, sink: Callable[[np.ndarray, np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows nearer than the radius, each once; rows of one ``group`` (not -1) are not compared with each other.
+
+    With a ``sink``, pairs are given to it some millions at a time instead of being returned.
+    """
     n, dims = len(xyz), p.dims
     none = np.zeros(0, np.int64)
     if n < 2:
@@ -45,22 +48,22 @@ def near_pairs(xyz: np.ndarray, p: DbscanParams, group: np.ndarray | None = None
         moves = [int(np.dot(o, weight)) for o in stencil(dims, half=True)]
     else:  # far apart: number the cells that occur and look moved ones up
         known, code = np.unique(cells, axis=0, return_inverse=True)
-        return _pairs_sparse(xyz, p, known, code.reshape(-1), group)
+        return _pairs_sparse(xyz, p, known, code.reshape(-1), group, sink)
     order = np.argsort(code, kind="stable")
     sorted_ = code[order]
-    out_a, out_b = [], []
+    out_a, out_b, keep = _kept()
     for move in [0, *moves]:
         low = np.searchsorted(sorted_, sorted_ + move, "left") if move else np.arange(1, n + 1)
         high = np.searchsorted(sorted_, sorted_ + move, "right")
-        _expand(order, low, high, xyz, p, group, out_a, out_b)
+        _expand(order, low, high, xyz, p, group, sink or keep)
     return np.concatenate(out_a) if out_a else none, np.concatenate(out_b) if out_b else none
 
 
-def _pairs_sparse(xyz, p, known, code, group):
+def _pairs_sparse(xyz, p, known, code, group, sink):
     place = {tuple(c): i for i, c in enumerate(known.tolist())}
     order = np.argsort(code, kind="stable")
     first = np.searchsorted(code[order], np.arange(len(known) + 1))
-    out_a, out_b = [], []
+    out_a, out_b, keep = _kept()
     for o in [(0,) * p.dims, *stencil(p.dims, half=True)]:
         to = np.array([place.get(tuple(c), -1) for c in (known + np.array(o)).tolist()])
         target = to[code[order]]
@@ -68,12 +71,19 @@ def _pairs_sparse(xyz, p, known, code, group):
         high = np.where(target >= 0, first[target + 1], 0)
         if not any(o):
             low = np.arange(1, len(order) + 1)
-        _expand(order, low, high, xyz, p, group, out_a, out_b)
+        _expand(order, low, high, xyz, p, group, sink or keep)
     none = np.zeros(0, np.int64)
     return np.concatenate(out_a) if out_a else none, np.concatenate(out_b) if out_b else none
 
 
-def _expand(order, low, high, xyz, p, group, out_a, out_b, most: int = 2_000_000) -> None:
+def _kept() -> tuple[list, list, Callable[[np.ndarray, np.ndarray], None]]:
+    """Two lists, and a sink that adds to them."""
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+    return a, b, lambda x, y: (a.append(x), b.append(y)) and None
+
+
+def _expand(order, low, high, xyz, p, group, sink, most: int = 2_000_000) -> None:
     """Tests the rows ``order[i]`` against ``order[low[i]:high[i]]``, some millions of pairs at a time."""
     width = np.maximum(high - low, 0)
     ends = np.cumsum(width)
@@ -96,8 +106,7 @@ def _expand(order, low, high, xyz, p, group, out_a, out_b, most: int = 2_000_000
                 d = data[a, axis] - data[b, axis]
                 d2 += d * d
             ok = d2 < r * r
-            out_a.append(a[ok])
-            out_b.append(b[ok])
+            sink(a[ok], b[ok])
         i = j
 
 
@@ -131,6 +140,16 @@ def _heads(cell: np.ndarray, alike: np.ndarray) -> np.ndarray:
     return head
 
 
+def _always_dense(seq: np.ndarray, xyz: np.ndarray, p: DbscanParams, first: int, last: int) -> np.ndarray:
+    """Each row's cell if that holds min_pts in every one of the windows, else -1."""
+    cell = np.unique(np.floor(xyz / dense_side(p)), axis=0, return_inverse=True)[1].reshape(-1)
+    fewest = np.full(cell.max() + 1, len(seq))
+    for k in range(first, last + 1):
+        low, high = np.searchsorted(seq, [k * p.stride, k * p.stride + p.window])
+        fewest = np.minimum(fewest, np.bincount(cell[low:high], minlength=len(fewest)))
+    return np.where(fewest[cell] >= p.min_pts, cell, -1)
+
+
 def cluster_chunk(seq: np.ndarray, xyz: np.ndarray, p: DbscanParams, first: int, last: int, collapse: bool = True) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
     """(window, rows, labels, cluster ids) of windows ``first`` to ``last`` of rows sorted by ``seq``.
 
@@ -141,13 +160,7 @@ def cluster_chunk(seq: np.ndarray, xyz: np.ndarray, p: DbscanParams, first: int,
     """
     xyz = np.ascontiguousarray(xyz[:, : p.dims])
     bounds = [np.searchsorted(seq, [k * p.stride, k * p.stride + p.window]) for k in range(first, last + 1)]
-    cell = group = np.full(len(seq), -1)
-    if collapse and len(seq):
-        cell = np.unique(np.floor(xyz / dense_side(p)), axis=0, return_inverse=True)[1].reshape(-1)
-        fewest = np.full(cell.max() + 1, len(seq))
-        for low, high in bounds:
-            fewest = np.minimum(fewest, np.bincount(cell[low:high], minlength=len(fewest)))
-        group = np.where(fewest[cell] >= p.min_pts, cell, -1)
+    group = _always_dense(seq, xyz, p, first, last) if collapse and len(seq) else np.full(len(seq), -1)
     a, b = near_pairs(xyz, p, group if collapse else None)
     a, b = np.minimum(a, b), np.maximum(a, b)
     by = np.argsort(a, kind="stable")
@@ -155,10 +168,42 @@ def cluster_chunk(seq: np.ndarray, xyz: np.ndarray, p: DbscanParams, first: int,
     for k, (low, high) in zip(range(first, last + 1), bounds, strict=True):
         i, j = np.searchsorted(a, [low, high])
         alive = b[i:j] < high
-        head = _heads(cell[low:high], group[low:high] >= 0)
+        head = _heads(group[low:high], group[low:high] >= 0)
         yield k, slice(low, high), *_label(seq[low:high] % p.window, a[i:j][alive] - low, b[i:j][alive] - low, head, p)
 
 
+def count_chunk(seq: np.ndarray, xyz: np.ndarray, p: DbscanParams, first: int, last: int, collapse: bool = False) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+    """(window, rows, near rows of each, itself included, and whether it is a core) of windows ``first`` to ``last`` of rows sorted by ``seq``.
+
+    By differences: a pair adds one to both its rows in the window in which it
+    comes alive and takes one off after the last that holds both; pairs are
+    counted in blocks as they are found and never kept. With ``collapse``, rows
+    of cells that hold min_pts in all windows are cores without being compared
+    with one another, and counts are those of the pairs that are compared.
+    """
+    xyz = np.ascontiguousarray(xyz[:, : p.dims])
+    n, wide = len(seq), last - first + 2
+    steps = np.zeros(n * wide, np.int64)
+    group = _always_dense(seq, xyz, p, first, last) if collapse and n else None
+    come = np.maximum(first, (seq - p.window) // p.stride + 1) - first
+    go = np.minimum(last, seq // p.stride) - first + 1
+
+    def tally(a: np.ndarray, b: np.ndarray) -> None:
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        some = come[b] < go[a]
+        a, b = a[some], b[some]
+        for x in (a, b):
+            np.add.at(steps, x * wide + come[b], 1)
+            np.add.at(steps, x * wide + go[a], -1)
+
+    near_pairs(xyz, p, group, tally)
+    counts = np.cumsum(steps.reshape(n, wide), axis=1) + 1
+    for k in range(first, last + 1):
+        low, high = np.searchsorted(seq, [k * p.stride, k * p.stride + p.window])
+        nn = counts[low:high, k - first]
+        yield k, slice(low, high), nn, (nn >= p.min_pts) | (group[low:high] >= 0 if group is not None else False)
+
+
 def cluster_window(pos: np.ndarray, xyz: np.ndarray, p: DbscanParams, collapse: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Labels and cluster ids of one window's rows.
 

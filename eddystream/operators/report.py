@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eddystream.functions.geometry import cell, join_side
-from eddystream.operators.neighbors import moved_cells, brute_force_counts, window_pairs
+from eddystream.operators.cluster import brute_force_windows
+from eddystream.operators.neighbors import live_pairs, moved_cells
 from eddystream.operators.windows import count_windows, dense_totals
-from eddystream.params import BORDER, CORE, NOISE, DbscanParams
+from eddystream.params import DbscanParams
 from eddystream.session import ship
 
 
@@ -31,27 +32,20 @@ def cluster_summary(result: DataFrame, min_pts: int) -> DataFrame:
 
 
 def verify(result: DataFrame, points: DataFrame, p: DbscanParams) -> DataFrame:
-    """(window_id, pos, problem): rows whose label or cluster contradicts what comparing all rows says; none if all is well.
+    """(window_id, pos, problem): rows of ``result`` that a brute-force clustering contradicts; none if all is well.
 
-    Labels must follow the counts; near cores must share an id that is no
-    larger than their pos; a border must have a near core of its cluster, a
-    noise row none.
+    Every row of every window is expected once: one that lacks is "missing",
+    one too many (also a repeated one) "extra", the others are "label" or
+    "cluster" where that differs.
     """
-    nn = brute_force_counts(points, p).select("window_id", "pos", "nn")
-    labelled = result.join(nn, ["window_id", "pos"])
-    wrong_core = labelled.where((F.col("label") == CORE) != (F.col("nn") >= p.min_pts)).select("window_id", "pos", F.lit("core").alias("problem"))
-    pairs = window_pairs(points, p)
-    both = pairs.union(pairs.select("window_id", "pos_b", "pos_a"))
-    mine = result.select("window_id", F.col("pos").alias("pos_a"), F.col("label").alias("la"), F.col("cluster_id").alias("ca"))
-    other = result.select("window_id", F.col("pos").alias("pos_b"), F.col("label").alias("lb"), F.col("cluster_id").alias("cb"))
-    met = both.join(mine, ["window_id", "pos_a"]).join(other, ["window_id", "pos_b"])
-    apart = met.where((F.col("la") == CORE) & (F.col("lb") == CORE) & (F.col("ca") != F.col("cb"))).select("window_id", F.col("pos_a").alias("pos"), F.lit("cluster").alias("problem"))
-    cores = met.where(F.col("lb") == CORE).groupBy("window_id", "pos_a").agg(F.min("cb").alias("least"), F.count("*").alias("k"))
-    rest = result.where(F.col("label") != CORE).join(cores.withColumnRenamed("pos_a", "pos"), ["window_id", "pos"], "left")
-    border = rest.where(F.when(F.col("label") == BORDER, ~F.col("cluster_id").eqNullSafe(F.col("least"))).otherwise(F.col("k").isNotNull()))
-    heads = result.where((F.col("label") == CORE) & (F.col("cluster_id") > F.col("pos"))).select("window_id", "pos", F.lit("id").alias("problem"))
-    lone = result.where((F.col("label") == NOISE) & (F.col("cluster_id") != F.col("pos"))).select("window_id", "pos", F.lit("noise").alias("problem"))
-    return wrong_core.union(apart).union(border.select("window_id", "pos", F.lit("border").alias("problem"))).union(heads).union(lone)
+    got = result.groupBy("window_id", "pos").agg(F.count("*").alias("times"), F.min("label").alias("label"), F.min("cluster_id").alias("cluster_id"))
+    want = brute_force_windows(points, p).select("window_id", "pos", F.col("label").alias("right_label"), F.col("cluster_id").alias("right_id"))
+    both = got.join(want, ["window_id", "pos"], "full")
+    problem = (
+        F.when(F.col("times").isNull(), "missing").when(F.col("right_label").isNull() | (F.col("times") > 1), "extra")
+        .when(~F.col("label").eqNullSafe(F.col("right_label")), "label").when(~F.col("cluster_id").eqNullSafe(F.col("right_id")), "cluster")
+    )
+    return both.select("window_id", "pos", problem.alias("problem")).where("problem is not null")
 
 
 def rt_counters(points: DataFrame, p: DbscanParams) -> DataFrame:
@@ -61,8 +55,7 @@ def rt_counters(points: DataFrame, p: DbscanParams) -> DataFrame:
     here = counted.select("window_id", "n", F.explode(moved_cells(p)).alias("to")).select("window_id", "n", "to.*")
     there = counted.withColumnRenamed("n", "m")
     seen = here.join(there, ["window_id", *axes]).groupBy("window_id").agg(F.sum(F.col("n") * F.col("m")).alias("candidates"))
-    found = window_pairs(points, p).groupBy("window_id").agg(F.count("*").alias("pairs"))
-    out = seen.join(found, "window_id", "left").join(dense_totals(count_windows(points, p), p), "window_id")
+    out = seen.join(live_pairs(points, p), "window_id", "left").join(dense_totals(count_windows(points, p), p), "window_id")
     return out.select("window_id", "candidates", F.coalesce("pairs", F.lit(0)).alias("pairs"), "dense_cells", "dense_points")
 
 

@@ -83,6 +83,12 @@ def test_all_ways_to_count_agree(spark, stream_points):
     want = rows(neighbors.brute_force_counts(stream_points, P), "window_id", "seq", "pos", "nn")
     assert rows(neighbors.neighbor_counts(stream_points, P), "window_id", "seq", "pos", "nn") == want
     assert rows(neighbors.neighbor_counts_incremental(stream_points, P), "window_id", "seq", "pos", "nn") == want
+    assert neighbors.differing_counts(neighbors.neighbor_counts(stream_points, P), neighbors.brute_force_counts(stream_points, P)).count() == 0
+    cores = {(w, s) for w, s, _, n in want if n >= P.min_pts}
+    assert {tuple(r) for r in cluster.core_points(stream_points, P).select("window_id", "seq").collect()} == cores
+    pairs = rows(neighbors.eps_pairs(stream_points, P), "seq_a", "seq_b")
+    assert pairs == rows(neighbors.eps_pairs_joined(stream_points, P), "seq_a", "seq_b") and len(pairs) == len(set(pairs)) > 0
+    assert rows(cluster.joined_labels(stream_points, P), "window_id", "pos", "label") == rows(cluster.point_labels(stream_points, P), "window_id", "pos", "label")
     moved = stream_points.select("seq", (F.col("x") - 1000).alias("x"), (F.col("y") + 77).alias("y"), "z")
     assert rows(neighbors.neighbor_counts(moved, P), "window_id", "seq", "pos", "nn") == want
 
@@ -103,7 +109,13 @@ def test_joined_and_grouped_clusters_agree_and_verify(spark, stream_points):
     assert rows(got, *cols) == rows(cluster.dbscan_windows_joined(stream_points, P), *cols)
     assert rows(got, *cols) == rows(cluster.dbscan_windows(stream_points.orderBy(F.desc("seq")), P, collapse=False), *cols)
     assert {r["label"] for r in got.collect()} == {0, 1, 2}
+    assert rows(got, *cols) == rows(cluster.brute_force_windows(stream_points, P), *cols)
     assert report.verify(got, stream_points, P).count() == 0
+    assert report.verify(got.where("pos < 0"), stream_points, P).groupBy("problem").count().collect() == [("missing", 160)]
+    one = got.where("label = 0").groupBy("window_id").agg(F.min("cluster_id").alias("one"))
+    merged = got.join(one, "window_id").withColumn("cluster_id", F.when(F.col("label") < 2, F.col("one")).otherwise(F.col("cluster_id"))).drop("one")
+    assert {r["problem"] for r in report.verify(merged, stream_points, P).collect()} == {"cluster"}
+    assert {r["problem"] for r in report.verify(got.union(got.where("pos = 3")), stream_points, P).collect()} == {"extra"}
     wrong = got.withColumn("cluster_id", F.when(F.col("label") == 0, F.col("cluster_id") + F.col("pos") % 2).otherwise(F.col("cluster_id")))
     assert report.verify(wrong, stream_points, P).count() > 0
     s = report.cluster_summary(got, 3).orderBy("window_id").first()
