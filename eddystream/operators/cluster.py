@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddystream.functions.geometry import cell, dense_side, join_side, near, stencil
+from eddystream.functions.geometry import cell, cell_centre, dense_side, join_side, near, squared_distance, stencil
 from eddystream.operators.components import components
 from eddystream.operators.kernel import cluster_chunk, cluster_window, roots
 from eddystream.operators.neighbors import all_near, by_chunk, moved_cells, sparse_counts, window_pairs
@@ -198,6 +198,25 @@ def sphere_list(points: DataFrame, p: DbscanParams) -> DataFrame:
     return sparse.unionByName(dense.select("window_id", F.lit("dense").alias("kind"), F.col("min_pos").alias("pos"), F.lit(3).alias("radius_x2")))
 
 
+def sphere_hits(points: DataFrame, p: DbscanParams) -> DataFrame:
+    """(window_id, pos, hits): spheres of :func:`sphere_list` that hold each row, dense cells' around their centres; by a join on cells as wide as the largest."""
+    axes = [f"c{a}" for a in p.axes]
+    rows = count_windows(points, p).withColumns(cell(p, dense_side(p)))
+    dense = dense_cells(count_windows(points, p), p).select("window_id", *axes)
+    centre = cell_centre(p, dense_side(p))
+    around = dense.select("window_id", *(c.alias(a) for a, c in zip(p.axes, centre.values(), strict=True)), F.lit(1.5 * p.radius).alias("r"))
+    sparse = rows.join(dense, ["window_id", *axes], "left_anti").select("window_id", *p.axes, F.lit(float(p.radius)).alias("r"))
+    wide = 1.5 * join_side(p)
+    spheres = around.unionByName(sparse).withColumns(cell(p, wide))
+    spheres = spheres.select("window_id", *p.axes, "r", F.explode(moved_cells(p)).alias("to")).select("window_id", *p.axes, "r", "to.*").alias("a")
+    held = count_windows(points, p).withColumns(cell(p, wide)).alias("b")
+    on = F.col("a.window_id") == F.col("b.window_id")
+    for k in axes:
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    hit = spheres.join(held, on & (squared_distance(p) < F.col("a.r") * F.col("a.r")))
+    return hit.groupBy(F.col("b.window_id").alias("window_id"), F.col("b.pos").alias("pos")).agg(F.count("*").alias("hits"))
+
+
 def _dense_pairs(points: DataFrame, p: DbscanParams) -> DataFrame:
     """Pairs of dense cells (d, e) of a window whose centres are less than two radii apart, each pair once, by a join on coarse cells."""
     side = dense_side(p)

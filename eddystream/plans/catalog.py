@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddystream.functions.geometry import box, cell, cell_centre, dense_side, join_side
+from eddystream.functions.geometry import box, cell, cell_centre, dense_side, distance, dot, join_side, length
 from eddystream.operators import cluster, neighbors, report, windows
 from eddystream.operators.vectors import vector_labels
 from eddystream.params import DbscanParams
+from eddystream.session import scratch, stored
 from eddystream.sources import points as src
-from eddystream.streaming.windows import cluster_stream
+from eddystream.sources.sinks import write_binary, write_results
+from eddystream.streaming.windows import cluster_stream, event_time_windows
 
 P1 = DbscanParams(2000, 500, 4, 0.055, 1)
 P2 = DbscanParams(2000, 500, 4, 1.0, 2)
@@ -21,7 +22,6 @@ P3 = DbscanParams(2000, 500, 6, 2.5, 3)
 DENSE = DbscanParams(2000, 500, 4, 2.0, 2)
 TUMBLE = DbscanParams(1000, 1000, 4, 1.0, 2)
 ORDERS = DbscanParams(2000, 500, 4, 300.5, 1)
-STATIC_ROWS = 4000
 
 _PARAMS = {"1": P1, "2": P2, "3": P3, "d": DENSE, "t": TUMBLE, "o": ORDERS}
 
@@ -120,15 +120,10 @@ far AS (
 # ---- the catalogue -----------------------------------------------------------
 
 
-def _static(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.dbscan_static(_points(spark, sf, "2"), P2, STATIC_ROWS)
-
-
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     """Events replayed as a stream of files through the stateful operator; the sink's table is the result."""
     points = _points(spark, sf, "3").withColumn("stream_id", F.lit("events"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/eddystream"
-    folder = f"{base.rstrip('/')}/stream-{next(tempfile._get_candidate_names())}"
+    folder = scratch(spark, "stream")
     points.repartitionByRange(4, "seq").write.parquet(f"{folder}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
@@ -140,6 +135,95 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("stream_id string, window_id int, seq long, pos int, label int, cluster_id long").parquet(f"{folder}/out").drop("stream_id")
 
 
+def _event_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in files of three days each, some rows a file late, as a stream: every window once, whatever batches it is cut into."""
+    folder, p = scratch(spark, "event-time"), _PARAMS["3"]
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("seq"), "ts")
+    day = F.datediff(F.col("ts"), events.agg(F.min("ts")).scalar())
+    timed = _points(spark, sf, "3").join(events, "seq").withColumn("file", F.floor(day / 3) + F.when(F.col("seq") % 11 == 0, 1).otherwise(0))
+    timed = stored(timed, "timed")
+    for i in range(int(timed.agg(F.max("file")).first()[0]) + 1):  # one after the other, as the source goes by time of writing
+        timed.where(F.col("file") == i).drop("file").coalesce(1).write.parquet(f"{folder}/in/{i:03}")
+    stream = spark.readStream.schema(timed.drop("file").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    query = (
+        event_time_windows(stream, p, "2 days", "1 day", LATE).writeStream.format("parquet").option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start()
+    )
+    query.awaitTermination()
+    got = spark.read.parquet(f"{folder}/out")
+    return got.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "n", "cores", "noise")
+
+
+# ---- readers -----------------------------------------------------------------
+
+LATE = "6 days"
+
+
+def _written(spark: SparkSession, sf: str, which: str, name: str, value: Column, header: str | None = None) -> str:
+    """A folder ``name`` of text files with a line a point, in order, after a header."""
+    path = f"{scratch(spark, 'files')}/{name}"
+    lines = _points(spark, sf, which).select("seq", value.alias("value"))
+    if header is not None:
+        lines = lines.union(spark.createDataFrame([(-1, header)], "seq long, value string"))
+    lines.repartitionByRange(3, "seq").sortWithinPartitions("seq").select("value").write.text(path)
+    return path
+
+
+def _read(which: str, kind: str, value: Callable[[], Column], header: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """Points of events written as a reader's files, and read again by the reader that the folder's name asks for."""
+    return lambda spark, sf: src.read_points(spark, _written(spark, sf, which, f"my-{kind}", value(), header))
+
+
+def _read_binary(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch(spark, 'files')}/geolife.bin"
+    write_binary(_points(spark, sf, "3"), path)
+    return src.read_points(spark, path)
+
+
+def _read_trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as three trajectory files with the usual six lines before them."""
+    path = f"{scratch(spark, 'files')}/plt"
+    head = ["Geolife trajectory", "WGS 84", "Altitude is in Feet", "Reserved 3", "0,2,255,My Track,0,0,2,8421376", "0"]
+    first = spark.createDataFrame([(i - 6, h) for i, h in enumerate(head)], "seq long, value string")
+    alt, day = F.hour("ts") * F.lit(1000.0), F.col("event_id") * F.lit(0.25)
+    lines = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.concat_ws(",", "value", F.col("user_id") / 10, F.lit("0"), alt, day, F.lit("2024-01-01"), F.lit("00:00:00")).alias("value"))
+    for i in range(3):
+        own = lines.where(F.col("event_id") % 3 == i).union(first)
+        own.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(f"{path}/{i}")
+    return src.trajectories(spark, f"{path}/*")
+
+
+def _timer_averages(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a log's lines of phases and times, among others; the mean of each phase."""
+    path = f"{scratch(spark, 'files')}/log"
+    line = F.concat(F.lit("[Time] "), "event_type", F.lit(": "), F.round(F.abs("value"), 2).cast("decimal(20,2)").cast("string"), F.lit(" ms"))
+    spark.read.parquet(f"{sf}/events.parquet").select(F.explode(F.array(line, F.lit("[Step] 1"))).alias("value")).write.text(path)
+    return src.phase_times(spark, path).groupBy("phase").agg(F.round(F.avg("ms"), 6).alias("ms"))
+
+
+def _copied_out(points: DataFrame, p: DbscanParams) -> DataFrame:
+    path = scratch(points.sparkSession, "results")
+    write_results(cluster.dbscan_windows(points, p), path)
+    return points.sparkSession.read.parquet(path).select("window_id", "seq", "pos", "label", "cluster_id")
+
+
+def _damaged(points: DataFrame, p: DbscanParams) -> DataFrame:
+    """Problems that the verifier counts in a result of which rows lack, are doubled or have a wrong label or cluster."""
+    good = cluster.dbscan_windows(points, p)
+    pos = F.col("pos") % 50
+    bad = good.where(pos != 0).withColumn("label", F.when(pos == 1, (F.col("label") + 1) % 3).otherwise(F.col("label")))
+    bad = bad.withColumn("cluster_id", F.when(pos == 2, F.col("cluster_id") + 1).otherwise(F.col("cluster_id"))).union(good.where(pos == 3))
+    return report.verify(bad, points, p).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+def _merged(points: DataFrame, p: DbscanParams) -> DataFrame:
+    """Rows that the verifier finds wrong if all clusters of a window become one."""
+    good = cluster.dbscan_windows(points, p)
+    one = good.where("label = 0").groupBy("window_id").agg(F.min("cluster_id").alias("one"))
+    bad = good.join(one, "window_id", "left").withColumn("cluster_id", F.when(F.col("label") < 2, F.col("one")).otherwise(F.col("cluster_id"))).drop("one")
+    return report.verify(bad, points, p).groupBy("window_id", "problem").agg(F.count("*").alias("n"))
+
+
 def _scan(which: str) -> Callable[[SparkSession, str], DataFrame]:
     axes = _PARAMS[which].axes
     return lambda spark, sf: _points(spark, sf, which).select("seq", *(F.round(a, 6).alias(a) for a in axes))
@@ -234,9 +318,9 @@ _q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "dbscan_windows_tumbling": (_on("t", cluster.dbscan_windows), _sql("t", _RESULT, comps=True)),
     "dbscan_windows_orders": (_on("o", cluster.dbscan_windows), _sql("o", _RESULT, comps=True)),
     "dbscan_static": (
-        _static,
+        _on("2", cluster.dbscan_whole),
         f"""
-WITH RECURSIVE pts AS MATERIALIZED (SELECT * FROM ({_sql_points('2')}) WHERE seq < {STATIC_ROWS}),
+WITH RECURSIVE pts AS MATERIALIZED (SELECT * FROM ({_sql_points('2')})),
 near AS MATERIALIZED (SELECT a.seq AS pa, b.seq AS pb FROM pts a JOIN pts b ON {_near(P2)}),
 cores AS MATERIALIZED (SELECT pa AS pos FROM near GROUP BY pa HAVING count(*) >= {P2.min_pts}),
 edges AS MATERIALIZED (SELECT pa, pb FROM near SEMI JOIN cores a ON a.pos = pa SEMI JOIN cores b ON b.pos = pb),
@@ -248,8 +332,6 @@ comps(pos, root) USING KEY (pos) AS (
 SELECT p.seq, CAST(CASE WHEN c.pos IS NOT NULL THEN 0 WHEN b.root IS NOT NULL THEN 1 ELSE 2 END AS INTEGER) AS label, coalesce(c.root, b.root, p.seq) AS cluster_id
 FROM pts p LEFT JOIN comps c ON c.pos = p.seq LEFT JOIN (SELECT pa AS pos, min(root) AS root FROM near JOIN comps k ON k.pos = pb GROUP BY pa) b ON b.pos = p.seq""",
     ),
-    # all rows, which dbscan_static and its SQL cut to STATIC_ROWS; held against brute force and dbscan_static in the tests
-    "dbscan_static_whole": (_on("2", cluster.dbscan_whole), None),
     "cluster_sizes": (_on("2", lambda pts, p: report.cluster_sizes(cluster.dbscan_windows(pts, p))), _sql("2", "SELECT window_id, cluster_id, count(*) AS n_points FROM result GROUP BY ALL", comps=True)),
     "cluster_summary": (
         _on("3", lambda pts, p: report.cluster_summary(cluster.dbscan_windows(pts, p), p.min_pts)),
@@ -273,7 +355,68 @@ LEFT JOIN (SELECT window_id, count(*) AS pairs FROM near WHERE seq_a < seq_b GRO
 JOIN (SELECT window_id, count(*) FILTER (n_points >= 4) AS dense_cells, CAST(coalesce(sum(n_points) FILTER (n_points >= 4), 0) AS BIGINT) AS dense_points FROM {_counted(P2)} GROUP BY window_id) d ON d.window_id = c.window_id""", nn=True),
     ),
     "stream_dbscan": (_stream, _sql("3", _RESULT, comps=True)),
-    "uniform_points": (lambda s, d: src.uniform_points(s, 10_000, 3, 7), None),
+    "stream_event_time": (
+        _event_time,
+        f"""
+WITH pts AS ({_sql_points('3').replace("SELECT event_id AS seq", "SELECT event_id AS seq, ts")}),
+win AS MATERIALIZED (
+  SELECT s AS start, seq, x, y, z FROM range((SELECT date_trunc('day', min(ts)) - INTERVAL 1 DAY FROM pts), (SELECT max(ts) - INTERVAL {LATE} - INTERVAL 2 DAY FROM pts), INTERVAL 1 DAY) r(s)
+  JOIN pts ON ts >= s AND ts < s + INTERVAL 2 DAY
+),
+near AS MATERIALIZED (SELECT a.start, a.seq, b.seq AS other FROM win a JOIN win b ON a.start = b.start AND {_near(P3)}),
+cores AS MATERIALIZED (SELECT start, seq FROM near GROUP BY ALL HAVING count(*) >= {P3.min_pts}),
+touched AS (SELECT DISTINCT n.start, n.seq FROM near n SEMI JOIN cores c ON c.start = n.start AND c.seq = n.other)
+SELECT strftime(w.start, '%Y-%m-%d') AS window_start, count(*) AS n, count(c.seq) AS cores, count(*) - count(t.seq) AS noise
+FROM win w LEFT JOIN cores c ON c.start = w.start AND c.seq = w.seq LEFT JOIN touched t ON t.start = w.start AND t.seq = w.seq GROUP BY w.start""",
+    ),
+    "read_csv_3d": (_read("3", "tao", lambda: F.concat_ws(",", "x", "y", "z")), f"SELECT seq, x, y, z FROM ({_sql_points('3')})"),
+    "read_csv_2d": (_read("2", "rbf", lambda: F.concat_ws(",", "x", "y", F.lit("a")), "x,y,class"), f"SELECT seq, x, y, z FROM ({_sql_points('2')})"),
+    "read_spaced_2d": (_read("2", "eds", lambda: F.concat_ws(" ", "seq", "x", "y", F.lit("1")), "id x y class"), f"SELECT seq, x, y, z FROM ({_sql_points('2')})"),
+    "read_lines_1d": (_read("1", "stock", lambda: F.col("x").cast("string"), "9.5"), f"SELECT seq, x, y, z FROM ({_sql_points('1')})"),
+    "read_binary_3d": (_read_binary, f"SELECT seq, x, y, z FROM ({_sql_points('3')})"),
+    "read_trajectories": (_read_trajectories, "SELECT event_id AS seq, value AS x, CAST(user_id AS DOUBLE) / 10 AS y, hour(ts) * 1000.0::DOUBLE / 300000.0::DOUBLE AS z FROM events"),
+    "timer_averages": (_timer_averages, "SELECT event_type AS phase, round(avg(CAST(CAST(round(abs(value), 2) AS DECIMAL(20, 2)) AS DOUBLE)), 6) AS ms FROM events GROUP BY event_type"),
+    "sample_points": (
+        lambda s, d: src.sample_points(s),
+        "SELECT i AS seq, CAST(i // 4 * 2 - 1 AS DOUBLE) AS x, CAST(i // 2 % 2 * 2 - 1 AS DOUBLE) AS y, CAST(i % 2 * 2 - 1 AS DOUBLE) AS z FROM range(8) r(i)",
+    ),
+    "result_copy_out": (_on("2", _copied_out), _sql("2", _RESULT, comps=True)),
+    "neighbor_counts_brute": (_on("2", neighbors.brute_force_counts), _sql("2", "SELECT window_id, seq, pos, nn FROM nn", nn=True)),
+    "counts_cross_check": (
+        _on("2", lambda pts, p: neighbors.differing_counts(neighbors.neighbor_counts_incremental(pts, p).where("pos % 100 <> 7").withColumn("nn", F.col("nn") + F.when(F.col("pos") % 100 == 8, 1).otherwise(0)), neighbors.neighbor_counts(pts, p))),
+        _sql("2", "SELECT window_id, pos, CASE pos % 100 WHEN 8 THEN nn + 1 END AS nn, nn AS nn_other FROM nn WHERE pos % 100 IN (7, 8)", nn=True),
+    ),
+    "sparse_core_counts": (_on("d", neighbors.sparse_counts), _sql("d", f"SELECT window_id, seq, pos, nn >= {DENSE.min_pts} AS core FROM nn", nn=True)),
+    "eps_join_pairs_joined": (
+        _on("2", neighbors.eps_pairs_joined),
+        f"WITH pts AS ({_sql_points('2')}) SELECT a.seq AS seq_a, b.seq AS seq_b FROM pts a JOIN pts b ON a.seq < b.seq AND b.seq - a.seq < {P2.window} AND {_near(P2)}",
+    ),
+    "sphere_hits": (
+        _on("d", cluster.sphere_hits),
+        _sql("d", f"""SELECT w.window_id, w.pos, count(*) AS hits FROM win w JOIN (
+  SELECT window_id, (cx + 0.5) * {dense_side(DENSE)!r}::DOUBLE AS x, (cy + 0.5) * {dense_side(DENSE)!r}::DOUBLE AS y, 1.5 * {DENSE.radius!r}::DOUBLE AS r FROM {_counted(DENSE)} WHERE n_points >= {DENSE.min_pts}
+  UNION ALL SELECT window_id, x, y, {DENSE.radius!r}::DOUBLE FROM (SELECT *, count(*) OVER (PARTITION BY window_id, cx, cy) AS n FROM (SELECT window_id, x, y, {_cells(DENSE, dense_side(DENSE))} FROM win)) WHERE n < {DENSE.min_pts}
+) s ON s.window_id = w.window_id AND (s.x - w.x) * (s.x - w.x) + (s.y - w.y) * (s.y - w.y) < s.r * s.r GROUP BY w.window_id, w.pos"""),
+    ),
+    "dbscan_brute": (_on("3", cluster.brute_force_windows), _sql("3", _RESULT, comps=True)),
+    "verify_damaged": (
+        _on("3", _damaged),
+        _sql("3", "SELECT CASE pos % 50 WHEN 0 THEN 'missing' WHEN 1 THEN 'label' WHEN 2 THEN 'cluster' ELSE 'extra' END AS problem, count(*) AS n FROM result WHERE pos % 50 < 4 GROUP BY 1", comps=True),
+    ),
+    "verify_merged": (
+        _on("3", _merged),
+        _sql("3", "SELECT window_id, 'cluster' AS problem, count(*) AS n FROM (SELECT *, min(cluster_id) FILTER (label = 0) OVER (PARTITION BY window_id) AS one FROM result) WHERE label < 2 AND cluster_id <> one GROUP BY window_id", comps=True),
+    ),
+    "vector_math": (
+        lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select(
+            "vec_id", F.round(dot("embedding", F.reverse("embedding")), 6).alias("dot"), F.round(length("embedding"), 6).alias("length"), F.round(distance("embedding", F.reverse("embedding")), 6).alias("distance")
+        ),
+        "SELECT vec_id, round(list_dot_product(e, list_reverse(e)), 6) AS dot, round(sqrt(list_dot_product(e, e)), 6) AS length, round(list_distance(e, list_reverse(e)), 6) AS distance FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)",
+    ),
+    "uniform_points": (
+        lambda s, d: src.uniform_points(s, 10_000, 3, 7),
+        "SELECT i AS seq, " + ", ".join(f"CAST('0x' || substr(md5('{7 + j}:' || i), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS {a}" for j, a in enumerate("xyz")) + " FROM range(10000) r(i)",
+    ),
     "vector_dbscan": (
         _vectors,
         """

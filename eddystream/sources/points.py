@@ -13,21 +13,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eddystream.session import stored
+
 POINT = "seq long, x double, y double, z double"
 
 
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, value) of the lines that aren't blank, numbered by file name and place in the file.
+def _numbered_lines(spark: SparkSession, path: str | list[str], each_file: bool = False) -> DataFrame:
+    """(seq, file, value) of lines, numbered by file name and place in the file: those that aren't blank over all files, or all of ``each_file`` by itself.
 
     A file is read in blocks; counting each block's lines first gives every
     block its first number, and lines then count on within their block.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-    lines = lines.where(F.trim("value") != "").withColumn("_row", F.monotonically_increasing_id())
-    counts = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_before", before).select("_file", "_block", "_first", "_before")  # a row a block of a file
-    return lines.join(counts, ["_file", "_block"]).select((F.col("_row") - F.col("_first") + F.col("_before")).alias("seq"), "value")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = lines if each_file else lines.where(F.trim("value") != "")
+    lines = lines.withColumn("_row", F.monotonically_increasing_id())
+    counts = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    order = Window.partitionBy("file").orderBy("_block") if each_file else Window.orderBy("file", "_block")
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).select("file", "_block", "_first", "_before")  # a row a block of a file
+    return lines.join(counts, ["file", "_block"]).select((F.col("_row") - F.col("_first") + F.col("_before")).alias("seq"), "file", "value")
 
 
 def _text_points(spark: SparkSession, path: str, sep: str, fields: tuple[int, ...], skip: int) -> DataFrame:
@@ -58,25 +62,40 @@ def read_lines_1d(spark: SparkSession, path: str, skip: int = 1) -> DataFrame:
 
 
 def read_binary_3d(spark: SparkSession, path: str) -> DataFrame:
-    """Files of little-endian doubles, three a record, in the order of their names."""
+    """Files of little-endian doubles, three a record, in the order of their names.
+
+    Hadoop's reader of records of one length splits a file anywhere between two
+    records and says where each starts, so a file of any size is read by many tasks from
+    any store. A file that ends within a record is an error.
+    """
+    sc, before, parts = spark.sparkContext, 0, []
+    # a row a file, as a listing has them
+    for r in spark.read.format("binaryFile").load(path).select("path", "length").orderBy("path").collect():
+        if r["length"]:
+            records = sc.newAPIHadoopFile(
+                r["path"], "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
+                conf={"fixedlengthinputformat.record.length": str(RECORD)},
+            )
+            parts.append(records.map(_from(before)))
+            before += r["length"] // RECORD
+    both = spark.createDataFrame(sc.union(parts) if parts else sc.emptyRDD(), "seq long, record binary")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for b in batches:
-            for content, before in zip(b.column("content"), b.column("before").to_pylist(), strict=True):
-                raw = np.frombuffer(content.as_buffer(), "<f8")
-                xyz = raw[: len(raw) // 3 * 3].reshape(-1, 3)
-                for i in range(0, len(xyz), 65_536):
-                    part = xyz[i : i + 65_536]
-                    seq = np.arange(before + i, before + i + len(part))
-                    yield pa.RecordBatch.from_arrays([pa.array(seq), *(pa.array(part[:, j].copy()) for j in range(3))], ["seq", "x", "y", "z"])
+            xyz = np.frombuffer(b"".join(b.column("record").to_pylist()), "<f8").reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column("seq"), *(pa.array(xyz[:, j].copy()) for j in range(3))], ["seq", "x", "y", "z"])
+
+    return both.mapInArrow(decode, POINT)
+
+
+#: Bytes of a binary record.
+RECORD = 24
+
 
-    files = spark.read.format("binaryFile").load(path)
-    order = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    before = files.select("path", F.floor(F.col("length") / 24).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    joined = files.select("path", "content").join(F.broadcast(before.select("path", "before")), "path")  # a row a file
-    return joined.select("content", "before").mapInArrow(decode, POINT)
+def _from(before: int) -> Callable[[tuple], tuple]:
+    return lambda kv: (before + kv[0] // RECORD, bytearray(kv[1]))
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -95,24 +114,45 @@ def read_points(spark: SparkSession, path: str, kind: str | None = None, n: int
 
 
 def trajectories(spark: SparkSession, paths: str | list[str], skip: int = 6, altitude_unit: float = 300_000.0) -> DataFrame:
-    """Trajectory files (lat, lon, _, altitude, day, ...) after ``skip`` lines, as points in the order of their days."""
-    lines = spark.read.text(paths).withColumn("_file", F.input_file_name())
+    """Trajectory files (lat, lon, _, altitude, day, ...) without the first ``skip`` lines of each, as points in the order of their days.
+
+    Rows of one day go by file and line. Lines that lack one of the four
+    numbers are left out.
+    """
     parts = F.split("value", ",")
-    rows = lines.where(F.size(parts) >= 5).select("_file", *(parts[i].cast("double").alias(n) for i, n in ((0, "x"), (1, "y"), (3, "alt"), (4, "day"))))
-    rows = rows.where("x is not null and y is not null and alt is not null and day is not null")
-    ranked = rows.withColumn("z", F.col("alt") / altitude_unit)
-    order = Window.orderBy("day", "_file", "x", "y", "z")
-    return ranked.select((F.row_number().over(order) - 1).cast("long").alias("seq"), "x", "y", "z")
+    rows = _numbered_lines(spark, paths, each_file=True).where(F.col("seq") >= skip)
+    field = lambda i: F.try_element_at(parts, F.lit(i + 1)).try_cast("double")
+    rows = rows.select("file", F.col("seq").alias("line"), *(field(i).alias(n) for i, n in ((0, "x"), (1, "y"), (3, "alt"), (4, "day"))))
+    rows = rows.where("x is not null and y is not null and alt is not null and day is not null").withColumn("z", F.col("alt") / altitude_unit)
+    return numbered(rows.drop("alt"), "day", "file", "line").select("seq", "x", "y", "z")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with their place in ``order`` as seq: sorted by ranges, each range starting where those before it end."""
+    number = F.monotonically_increasing_id()  # the range's number above 33 bits of the place in it
+    # written, so that ranges and places hold
+    kept = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", number), "ranges")
+    part = F.shiftright("_n", 33).alias("_part")
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = kept.groupBy(part).agg(F.count("*").alias("_k")).select("_part", before.alias("_before"))  # a row a range
+    joined = kept.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return joined.withColumn("seq", F.col("_before") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))).drop("_n", "_part", "_before")
+
+
+def even(seed: int, *names: str) -> Column:
+    """A number from 0 to 1, the same for the same values of ``names`` wherever and however often it is made."""
+    text = F.concat_ws(":", F.lit(str(seed)), *names)
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def uniform_points(spark: SparkSession, n: int, dims: int = 3, seed: int = 0) -> DataFrame:
-    """``n`` points even in the unit cube of ``dims`` dimensions."""
-    axes = [F.rand(seed + i).alias(a) if i < dims else F.lit(0.0).alias(a) for i, a in enumerate("xyz")]
+    """``n`` points even in the unit cube of ``dims`` dimensions, by hashes of their numbers."""
+    axes = [even(seed + i, "id").alias(a) if i < dims else F.lit(0.0).alias(a) for i, a in enumerate("xyz")]
     return spark.range(n).select(F.col("id").alias("seq"), *axes)
 
 
 def uniform_vectors(spark: SparkSession, n: int, dims: int, seed: int = 0) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("seq"), F.array(*(F.rand(seed + i) for i in range(dims))).alias("v"))
+    return spark.range(n).select(F.col("id").alias("seq"), F.array(*(even(seed + i, "id") for i in range(dims))).alias("v"))
 
 
 def sample_points(spark: SparkSession) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from eddystream.params import DbscanParams
+
 
 def write_results(result: DataFrame, path: str) -> None:
     """Results by window: later reads of some windows touch only their folders."""
@@ -30,6 +35,28 @@ def packed(points: DataFrame) -> DataFrame:
     return points.select("seq", "x", "y", "z").mapInArrow(pack, "seq long, record binary")
 
 
+def write_binary(points: DataFrame, path: str) -> None:
+    """One file of such records in the order of seq, in whatever store ``path`` names.
+
+    A raw file has one writer, the driver, which takes the rows partition by
+    partition and never holds more than two.
+    """
+    sc = points.sparkSession.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        rows = packed(points.repartitionByRange("seq").sortWithinPartitions("seq")).select("record").toLocalIterator()
+        while some := b"".join(bytes(r[0]) for r in islice(rows, 65_536)):
+            out.write(some)
+    finally:
+        out.close()
+
+
+def config_log(p: DbscanParams, **more: object) -> str:
+    """The settings of a run as the lines that a log begins with, in the order of their names."""
+    return "\n".join(f"[Config] {k}: {v}" for k, v in sorted((asdict(p) | more).items()))
+
+
 def time_report(progress: list[dict]) -> dict[str, float]:
     """Mean milliseconds of each phase over the batches of a streaming query's progress."""
     sums: dict[str, list[float]] = {}

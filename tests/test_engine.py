@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from eddystream.operators import cluster, neighbors, report, windows
 from eddystream.params import DbscanParams
 from eddystream.sources import points as src
-from eddystream.sources.sinks import packed, time_report, write_results
-from eddystream.streaming.windows import cluster_stream
+from eddystream.sources.sinks import config_log, packed, time_report, write_binary, write_results
+from eddystream.streaming.windows import cluster_stream, event_time_windows
 
 P = DbscanParams(20, 5, 3, 1.2, 2)
 
@@ -34,6 +34,9 @@ def test_readers(spark, tmp_path):
     (tmp_path / "stock.txt").write_text("9.5\n1.25\n2.5\n")
     with open(tmp_path / "geolife.bin", "wb") as f:
         f.write(b"".join(struct.pack("<3d", i, 2 * i, 3 * i) for i in range(7)))
+    write_binary(src.read_points(spark, str(tmp_path / "geolife.bin")).where("seq >= 2"), str(tmp_path / "geolife2.bin"))
+    assert (tmp_path / "geolife2.bin").read_bytes() == (tmp_path / "geolife.bin").read_bytes()[48:]
+    assert rows(src.read_binary_3d(spark, str(tmp_path / "geolife*.bin")), "seq", "x") == [(i, float(x)) for i, x in enumerate([0, 1, 2, 3, 4, 5, 6, 2, 3, 4, 5, 6])]
     read = lambda name, **k: rows(src.read_points(spark, str(tmp_path / name), **k), "seq", "x", "y", "z")
     assert read("tao.txt") == [(i, float(i), i + 0.5, float(-i)) for i in range(50)]
     assert read("tao.txt", n=3) == [(i, float(i), i + 0.5, float(-i)) for i in range(3)]
@@ -59,9 +62,14 @@ def test_lines_of_large_and_several_files_keep_their_order(spark, tmp_path):
 
 
 def test_trajectories_generators_and_logs(spark, tmp_path):
-    head = "a\n" * 6
-    (tmp_path / "one.plt").write_text(head + "1,2,0,300000,39000.5,d,t\n3,4,0,600000,38000.5,d,t\n")
+    head = "Geolife trajectory\nWGS 84\nAltitude is in Feet\nReserved 3\n0,2,255,My Track,0,0,2,8421376\n0\n"
+    (tmp_path / "one.plt").write_text(head + "1,2,0,300000,39000.5,d,t\n3,4,0,600000,38000.5,d,t\nbad,4,0,0,1,d,t\n\n5,6\n")
+    (tmp_path / "two.plt").write_text("1,2,0,300000,1,d,t\n" * 6 + "7,8,0,0,38500,d,t\n")
     assert rows(src.trajectories(spark, str(tmp_path / "one.plt")), "seq", "x", "y", "z") == [(0, 3.0, 4.0, 2.0), (1, 1.0, 2.0, 1.0)]
+    assert rows(src.trajectories(spark, str(tmp_path / "*.plt")), "seq", "x") == [(0, 3.0), (1, 7.0), (2, 1.0)]
+    assert src.trajectories(spark, str(tmp_path / "two.plt"), skip=0).count() == 7
+    assert rows(src.uniform_points(spark, 100, 2, 1), "seq", "x") == rows(src.uniform_points(spark, 100, 2, 1).repartition(7), "seq", "x")
+    assert config_log(P, file="tao.txt").splitlines()[:2] == ["[Config] dims: 2", "[Config] file: tao.txt"]
     assert src.uniform_points(spark, 100, 2, 1).where("x < 0 or x >= 1 or z <> 0").count() == 0
     assert src.sample_points(spark).count() == 8
     assert len(src.uniform_vectors(spark, 3, 9).first()["v"]) == 9
@@ -147,11 +155,9 @@ def test_the_whole_static_query_has_every_event(spark):
 
     sf, cols = "/root/testdata/sf0.01", ("seq", "label", "cluster_id")
     points = src.events_points(spark, sf, 2)
-    got = rows(catalog.queries()["dbscan_static_whole"](spark, sf), *cols)
-    assert len(got) == points.count() > catalog.STATIC_ROWS
+    got = rows(catalog.queries()["dbscan_static"](spark, sf), *cols)
+    assert len(got) == points.count()
     assert got == rows(cluster.dbscan_static(points, catalog.P2, len(got)), *cols)
-    first = points.where(F.col("seq") < catalog.STATIC_ROWS)
-    assert rows(cluster.dbscan_whole(first, catalog.P2), *cols) == rows(catalog.queries()["dbscan_static"](spark, sf), *cols)
 
 
 def test_tumbling_and_minimal_points(spark, stream_points):
@@ -199,8 +205,50 @@ def test_stream_gives_the_batch_result_in_any_order(spark, stream_points, tmp_pa
         assert rows(got.where(F.col("stream_id") == name), *cols) == rows(cluster.dbscan_windows(batch.drop("stream_id"), P), *cols)
 
 
+def test_a_stream_that_lacks_rows_goes_on_without_them(spark, stream_points, tmp_path):
+    pts = stream_points.withColumn("stream_id", F.lit("a"))
+    for i, part in enumerate((pts.where("seq < 11"), pts.where("seq > 12 and seq < 50"), pts.where("seq >= 50"), pts.where("seq in (11, 12)"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"b{i}"))
+    stream = spark.readStream.schema(pts.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = (
+        cluster_stream(stream, P, patience=10).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    held = {k: n for k, n in got.groupBy("window_id").count().collect()}
+    # windows 1 and 2 lack rows 11 and 12; all have come out once, the late rows are dropped
+    assert held == {k: 18 if k < 3 else 20 for k in range(1, 9)}
+    want = cluster.dbscan_windows(stream_points, P).where("window_id > 2")
+    cols = ("window_id", "seq", "pos", "label", "cluster_id")
+    assert rows(got.where("window_id > 2"), *cols) == rows(want, *cols)
+
+
+def test_event_time_windows_come_out_once(spark, tmp_path):
+    rng = random.Random(2)
+    made = [(i, i * 60 + rng.randint(0, 1800), rng.randint(0, 9) / 2, rng.randint(0, 9) / 2) for i in range(300)]
+    all_ = spark.createDataFrame(made, "i long, at long, x double, y double").select("i", F.timestamp_seconds(F.col("at") + 1704067200).alias("ts"), "x", "y", F.lit(0.0).alias("z"))
+    for i in range(10):  # windows are cut by every batch
+        all_.where(F.col("i") % 300 >= 30 * i).where(F.col("i") < 30 * (i + 1)).drop("i").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    stream = spark.readStream.schema(all_.drop("i").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = (
+        event_time_windows(stream, P, "30 minutes", "15 minutes", "40 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).outputMode("append").start()
+    )
+    q.awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(F.unix_timestamp("window_start"), "n", "cores", "noise").collect()]
+    newest, want = max(at for _, at, _, _ in made), []
+    for start in range(-900, newest, 900):
+        held = [(x, y) for _, at, x, y in made if start <= at < start + 1800]
+        if held and start + 1800 <= newest - 2400:
+            near = [[(a - c) ** 2 + (b - d) ** 2 < P.radius**2 for c, d in held] for a, b in held]
+            core = [sum(n) >= P.min_pts for n in near]
+            want.append((start + 1704067200, len(held), sum(core), sum(not any(n and c for n, c in zip(row, core, strict=True)) for row in near)))
+    assert sorted(got) == want and len(want) > 10
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
-@pytest.mark.parametrize("name", ["dbscan_windows_2d", "neighbor_counts_incremental", "sphere_list", "window_bounds"])
+@pytest.mark.parametrize("name", ["dbscan_windows_2d", "neighbor_counts_incremental", "sphere_list", "window_bounds", "verify_damaged", "read_binary_3d", "read_trajectories", "stream_event_time"])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from eddystream.plans import catalog
