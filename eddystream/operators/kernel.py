@@ -83,12 +83,14 @@ def _kept() -> tuple[list, list, Callable[[np.ndarray, np.ndarray], None]]:
     return a, b, lambda x, y: (a.append(x), b.append(y)) and None
 
 
-def _expand(order, low, high, xyz, p, group, sink, most: int = 2_000_000) -> None:
+def _expand(order, low, high, xyz, p, group, sink, most: int = 500_000) -> None:
     """Tests the rows ``order[i]`` against ``order[low[i]:high[i]]``, some millions of pairs at a time."""
     width = np.maximum(high - low, 0)
     ends = np.cumsum(width)
     kind = np.float32 if p.precision == "float" else np.float64
-    data, r = xyz.astype(kind), kind(p.radius)
+    # in the order of the cells, so that what is compared lies together
+    data, r = [np.ascontiguousarray(xyz[order, axis], kind) for axis in range(p.dims)], kind(p.radius)
+    group = None if group is None else group[order]
     i = 0
     while i < len(order):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
@@ -97,16 +99,15 @@ def _expand(order, low, high, xyz, p, group, sink, most: int = 2_000_000) -> Non
         if total:
             a = np.repeat(np.arange(i, j), w)
             b = np.arange(total) - np.repeat(np.cumsum(w) - w, w) + np.repeat(low[i:j], w)
-            a, b = order[a], order[b]
             if group is not None:
                 apart = (group[a] != group[b]) | (group[a] < 0)
                 a, b = a[apart], b[apart]
             d2 = np.zeros(len(a), kind)
-            for axis in range(p.dims):
-                d = data[a, axis] - data[b, axis]
+            for x in data:
+                d = x[a] - x[b]
                 d2 += d * d
             ok = d2 < r * r
-            sink(a[ok], b[ok])
+            sink(order[a[ok]], order[b[ok]])
         i = j
 
 
@@ -135,14 +136,76 @@ def _heads(cell: np.ndarray, alike: np.ndarray) -> np.ndarray:
     head = np.full(len(cell), -1)
     rows = np.flatnonzero(alike)
     if len(rows):
-        _, first, back = np.unique(cell[rows], return_index=True, return_inverse=True)
-        head[rows] = rows[first][back.reshape(-1)]
+        first = np.empty(int(cell.max()) + 1, np.int64)
+        first[cell[rows[::-1]]] = rows[::-1]  # the last that is put there, the first row, stays
+        head[rows] = first[cell[rows]]
     return head
 
 
+def _reach(x: np.ndarray, p: DbscanParams) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    """On a line: each row's place among the distinct values, how many rows are near each value, and the test of two values.
+
+    Differences grow along the line, so what is near is a run of values, whose ends are found by search and then by the very test.
+    """
+    kind = np.float32 if p.precision == "float" else np.float64
+    value, place, many = np.unique(x.astype(kind), return_inverse=True, return_counts=True)
+    r, n = kind(p.radius), len(value)
+    near = lambda i, j: (value[i] - value[j]) * (value[i] - value[j]) < r * r
+    own = np.arange(n)
+    low, high = np.searchsorted(value, value - r), np.searchsorted(value, value + r) - 1
+    low, high = np.minimum(low, own), np.maximum(high, own)
+    for ends, step in ((low, -1), (high, 1)):
+        while True:
+            beyond = np.clip(ends + step, 0, n - 1)
+            out = (beyond != ends) & near(own, beyond)
+            back = ~near(own, ends)
+            if not (out | back).any():
+                break
+            ends += step * out.astype(np.int64) - step * back.astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(many)])
+    return place.reshape(-1), upto[high + 1] - upto[low], near
+
+
+def _label_line(pos: np.ndarray, x: np.ndarray, p: DbscanParams) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_label` for points on a line: a cluster is a run of core values of which each is near the next."""
+    place, counts, near = _reach(x, p)
+    n = len(counts)
+    core = counts >= p.min_pts
+    cores = np.flatnonzero(core)
+    cid = pos.astype(np.int64).copy()
+    label = np.full(len(pos), NOISE, np.int32)
+    if not len(cores):
+        return label, cid
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, place, pos)
+    start = np.concatenate([[True], ~near(cores[1:], cores[:-1])])
+    first = np.minimum.reduceat(least[cores], np.flatnonzero(start))[np.cumsum(start) - 1]  # of each core value's cluster
+    before = np.searchsorted(cores, np.arange(n), "right") - 1
+    after = np.minimum(before + 1, len(cores) - 1)
+    sides = [np.where((b >= 0) & near(np.arange(n), cores[b]), first[b], np.iinfo(np.int64).max) for b in (before, after)]
+    beside = np.minimum(*sides)
+    own = np.zeros(n, np.int64)
+    own[cores] = first
+    touched = beside < np.iinfo(np.int64).max
+    label[touched[place]], label[core[place]] = BORDER, CORE
+    return label, np.where(core[place], own[place], np.where(touched[place], beside[place], cid))
+
+
+def _numbers(cells: np.ndarray) -> np.ndarray:
+    """A number from 0 on for each row of ``cells``, the same for equal rows."""
+    low = cells.min(0)
+    span = cells.max(0) - low + 1
+    if float(np.prod(span)) < 2**62:  # one number a cell sorts faster than rows of them
+        code = np.zeros(len(cells), np.int64)
+        for axis in range(cells.shape[1]):
+            code = code * np.int64(span[axis]) + (cells[:, axis] - low[axis]).astype(np.int64)
+        return np.unique(code, return_inverse=True)[1].reshape(-1)
+    return np.unique(cells, axis=0, return_inverse=True)[1].reshape(-1)
+
+
 def _always_dense(seq: np.ndarray, xyz: np.ndarray, p: DbscanParams, first: int, last: int) -> np.ndarray:
     """Each row's cell if that holds min_pts in every one of the windows, else -1."""
-    cell = np.unique(np.floor(xyz / dense_side(p)), axis=0, return_inverse=True)[1].reshape(-1)
+    cell = _numbers(np.floor(xyz / dense_side(p)))
     fewest = np.full(cell.max() + 1, len(seq))
     for k in range(first, last + 1):
         low, high = np.searchsorted(seq, [k * p.stride, k * p.stride + p.window])
@@ -160,6 +223,10 @@ def cluster_chunk(seq: np.ndarray, xyz: np.ndarray, p: DbscanParams, first: int,
     """
     xyz = np.ascontiguousarray(xyz[:, : p.dims])
     bounds = [np.searchsorted(seq, [k * p.stride, k * p.stride + p.window]) for k in range(first, last + 1)]
+    if p.dims == 1:  # no pairs are needed
+        for k, (low, high) in zip(range(first, last + 1), bounds, strict=True):
+            yield k, slice(low, high), *_label_line(seq[low:high] % p.window, xyz[low:high, 0], p)
+        return
     group = _always_dense(seq, xyz, p, first, last) if collapse and len(seq) else np.full(len(seq), -1)
     a, b = near_pairs(xyz, p, group if collapse else None)
     a, b = np.minimum(a, b), np.maximum(a, b)
@@ -182,6 +249,12 @@ def count_chunk(seq: np.ndarray, xyz: np.ndarray, p: DbscanParams, first: int, l
     with one another, and counts are those of the pairs that are compared.
     """
     xyz = np.ascontiguousarray(xyz[:, : p.dims])
+    if p.dims == 1:
+        for k in range(first, last + 1):
+            low, high = np.searchsorted(seq, [k * p.stride, k * p.stride + p.window])
+            place, counts, _ = _reach(xyz[low:high, 0], p)
+            yield k, slice(low, high), counts[place], counts[place] >= p.min_pts
+        return
     n, wide = len(seq), last - first + 2
     steps = np.zeros(n * wide, np.int64)
     group = _always_dense(seq, xyz, p, first, last) if collapse and n else None
@@ -211,10 +284,11 @@ def cluster_window(pos: np.ndarray, xyz: np.ndarray, p: DbscanParams, collapse:
     smallest cluster next to it, noise keeps its pos.
     """
     xyz = np.ascontiguousarray(xyz[:, : p.dims])
+    if p.dims == 1:
+        return _label_line(pos, xyz[:, 0], p)
     head = np.full(len(pos), -1)
     if collapse and len(pos):
-        _, cell, size = np.unique(np.floor(xyz / dense_side(p)), axis=0, return_inverse=True, return_counts=True)
-        cell = cell.reshape(-1)
-        head = _heads(cell, size[cell] >= p.min_pts)
+        cell = _numbers(np.floor(xyz / dense_side(p)))
+        head = _heads(cell, np.bincount(cell)[cell] >= p.min_pts)
     a, b = near_pairs(xyz, p, head if collapse else None)
     return _label(pos, a, b, head, p)

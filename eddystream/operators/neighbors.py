@@ -1,7 +1,7 @@
 """Neighbours within the radius.
 
-The stream is cut into chunks of as many consecutive windows as overlap, about
-two windows of rows: a pair of rows of one window lies in one or two of them,
+The stream is cut into chunks of as many consecutive windows as overlap (fewer
+if the stream is short), about two windows of rows: a pair of rows of one window lies in one or two of them,
 each row is shuffled about twice, and what a task holds is bounded by the
 window. Within a chunk, rows are sorted by grid cell and compared with half the
 cells around. ``eps_pairs_joined`` says the same as an equi-join on cells and
@@ -31,14 +31,17 @@ def moved_cells(p: DbscanParams, half: bool = False) -> Column:
 
 def by_chunk(points: DataFrame, p: DbscanParams, schema: str, step: Callable[[np.ndarray, np.ndarray, int, int], Iterator[pd.DataFrame]]) -> DataFrame:
     """What ``step`` gives for (seq, xyz, first window, last window) of every chunk of windows, its rows in order."""
-    some = p.window // p.stride
-    bounded = points.withColumn("_lo", first_window(p)).withColumn("_hi", last_window(p, n_windows(points, p))).where("_lo <= _hi")
-    chunk = F.explode(F.sequence(F.floor((F.col("_lo") - 1) / some), F.floor((F.col("_hi") - 1) / some)))
-    rows = bounded.select(chunk.alias("chunk"), "seq", "x", "y", "z")
+    n, least = n_windows(points, p), points.sparkSession.sparkContext.defaultParallelism
+    # fewer windows at once where a stream is so short that some cores would have none
+    some = F.least(F.lit(p.window // p.stride), F.greatest(F.lit(1), F.ceil(n / least))).cast("long")
+    bounded = points.withColumn("_lo", first_window(p)).withColumn("_hi", last_window(p, n)).withColumn("_some", some).where("_lo <= _hi")
+    chunk = F.explode(F.sequence(F.expr("(_lo - 1) div _some"), F.expr("(_hi - 1) div _some")))
+    rows = bounded.select(chunk.alias("chunk"), F.col("_some").alias("some"), "seq", "x", "y", "z")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable")
-        seq, first = pdf["seq"].to_numpy(), int(key[0]) * some + 1
+        seq, some = pdf["seq"].to_numpy(), int(pdf["some"].iloc[0])
+        first = int(key[0]) * some + 1
         # the last chunk of a stream may hold fewer windows: those whose last row has come
         last = min(first + some - 1, (int(seq[-1]) + 1 - p.window) // p.stride)
         done = list(step(seq, pdf[["x", "y", "z"]].to_numpy(), first, last))

@@ -166,6 +166,15 @@ def test_tumbling_and_minimal_points(spark, stream_points):
         assert rows(cluster.dbscan_windows(stream_points, p), *cols) == rows(cluster.dbscan_windows_joined(stream_points, p), *cols)
 
 
+@pytest.mark.parametrize("p", [DbscanParams(20, 5, 3, 1.0, 1), DbscanParams(20, 5, 1, 0.3, 1), DbscanParams(20, 5, 4, 0.7, 1, "float"), DbscanParams(20, 5, 2, 0.07, 1)])
+def test_points_on_a_line(spark, p):
+    rng = random.Random(8)
+    pts = spark.createDataFrame([(i, rng.choice((rng.randint(0, 40) / 10, rng.randint(0, 300) / 100, -1e6)), 0.0, 0.0) for i in range(83)], src.POINT)
+    cols = ("window_id", "seq", "pos", "label", "cluster_id")
+    assert rows(cluster.dbscan_windows(pts, p), *cols) == rows(cluster.brute_force_windows(pts, p), *cols)
+    assert rows(neighbors.neighbor_counts_incremental(pts, p), "window_id", "pos", "nn") == rows(neighbors.brute_force_counts(pts, p), "window_id", "pos", "nn")
+
+
 def test_bad_points_fail(spark):
     for bad in ((1, None, 0.0, 0.0), (1, float("nan"), 0.0, 0.0), (None, 1.0, 0.0, 0.0), (1, float("inf"), 0.0, 0.0)):
         with pytest.raises(Exception, match="finite"):
