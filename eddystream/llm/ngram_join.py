@@ -181,7 +181,7 @@ def met_by_others(posts: DataFrame) -> DataFrame:
 # ---- search in one task ------------------------------------------------------
 
 
-def divide_skip(lists: list[np.ndarray], want: int, ratio: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+def divide_skip(lists: list[np.ndarray], want: int, ratio: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
     """Ids that are in at least ``want`` of the sorted ``lists``, and in how many.
 
     The longest lists are set aside; the short ones are merged by a heap, and
@@ -197,31 +197,38 @@ def divide_skip(lists: list[np.ndarray], want: int, ratio: float = 0.01) -> tupl
     n_long = min(want - 1, int(want / (ratio * np.log2(len(lists[-1]) + 1) + 1)))
     while n_long and len(lists[len(lists) - n_long]) <= 1:  # lists of one id are never worth a probe
         n_long -= 1
-    short, long = [x.tolist() for x in lists[: len(lists) - n_long]], lists[len(lists) - n_long :]
-    need = want - n_long
+    long, need, m = lists[len(lists) - n_long :], want - n_long, len(lists) - n_long
+    # an entry is its id times the number of lists, plus its list
+    short = [(x * m + i).tolist() for i, x in enumerate(lists[:m])]
     found: list[int] = []
     counts: list[int] = []
-    heap = [(x[0], i, 0) for i, x in enumerate(short)]
+    at = [0] * m
+    heap = [x[0] for x in short]
     heapq.heapify(heap)
     while len(heap) >= need:
-        at = heap[0][0]
-        popped = []
-        while heap and heap[0][0] == at:
-            popped.append(heapq.heappop(heap))
-        if len(popped) >= need:
-            found.append(at)
-            counts.append(len(popped))
-            target = at + 1
-        else:  # need-1 lists are out of the way: nothing below the next head can be found
-            while heap and len(popped) < need - 1:
-                popped.append(heapq.heappop(heap))
+        id_ = heap[0] // m
+        have, beyond = 0, (id_ + 1) * m
+        while heap and heap[0] < beyond:
+            have += 1
+            i = heap[0] % m
+            at[i] += 1
+            if at[i] < len(short[i]):
+                heapq.heapreplace(heap, short[i][at[i]])
+            else:
+                heapq.heappop(heap)
+        if have >= need:
+            found.append(id_)
+            counts.append(have)
+        elif need > 1:  # with need-1 lists out of the way, nothing below the next head can be found
+            popped = [heapq.heappop(heap) for _ in range(min(need - 1, len(heap)))]
             if not heap:
                 break
-            target = max(heap[0][0], at + 1)
-        for _, i, j in popped:
-            j = bisect_left(short[i], target, j)
-            if j < len(short[i]):
-                heapq.heappush(heap, (short[i][j], i, j))
+            target = heap[0] // m * m
+            for entry in popped:
+                i = entry % m
+                at[i] = bisect_left(short[i], target, at[i])
+                if at[i] < len(short[i]):
+                    heapq.heappush(heap, short[i][at[i]])
     ids, have = np.array(found, np.int64), np.array(counts, np.int64)
     for j, x in enumerate(long):
         alive = have + len(long) - j >= want
@@ -270,9 +277,12 @@ def links_of(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]
     def search(i: int) -> None:
         nonlocal largest
         done[i], a = True, len(sets[i])
-        mine = place[bounds[i] : bounds[i + 1]]
-        lists = [ids[ends[t] : ends[t + 1]] for t in mine[held[mine] > 1].tolist()]
-        for j, overlap in zip(*(x.tolist() for x in divide_skip(lists, least_overlap(a, -(-num * a // den), num, den))), strict=True):
+        mine, want = place[bounds[i] : bounds[i + 1]], least_overlap(a, -(-num * a // den), num, den)
+        mine = mine[held[mine] > 1]
+        if len(mine) < want:  # too few shingles are anybody else's
+            return
+        lists = [ids[ends[t] : ends[t + 1]] for t in mine.tolist()]
+        for j, overlap in zip(*(x.tolist() for x in divide_skip(lists, want)), strict=True):
             if j == i or den * overlap < num * (a + len(sets[j]) - overlap):
                 continue
             both = size[forest.root(i)] + size[forest.root(j)]
