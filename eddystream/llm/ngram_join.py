@@ -30,7 +30,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +37,7 @@ from pyspark.sql import functions as F
 from eddystream.llm import textops
 from eddystream.llm.common import dropped, give_back, plain, small_batches, stored, tidy
 from eddystream.llm.components import components, smallest_ids
+from eddystream.llm.vectors import by_group
 
 #: Shingles that go last in the order: as many at most, a bounded broadcast.
 FREQUENT = 300_000
@@ -341,20 +341,19 @@ def group_links(docs: DataFrame, chosen: DataFrame, k: int, num: int, den: int,
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["grp", "task", "key", "s"])
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("key")
-        all_ = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
-        keys = pdf["key"].to_numpy()
-        forest = Forest(len(keys))
-        for i, j in links_of(all_, num, den):
+    def search(t: pa.Table) -> pa.RecordBatch:
+        held = dict(zip(t.column("key").to_pylist(), t.column("s").to_pylist(), strict=True))
+        keys, forest = list(held), Forest(len(held))
+        for i, j in links_of([np.frombuffer(s, np.uint64) for s in held.values()], num, den) if len(held) > 1 else ():
             forest.join(i, j)
         # what hangs together goes out as a star, which needs no more rounds to be joined to others
         out = [(keys[i], keys[forest.root(i)]) for i in range(len(keys)) if forest.root(i) != i]
         if len(keys) > 1000:
             give_back()
-        return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype=object)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
-    return texts.mapInArrow(tidy(sets), "grp binary, task string, key binary, s binary").groupBy("grp", "task").applyInPandas(search, "a binary, b binary")
+    found = texts.mapInArrow(tidy(sets), "grp binary, task string, key binary, s binary")
+    return found.repartition("grp", "task").sortWithinPartitions("grp", "task").mapInArrow(tidy(by_group(("grp", "task"), search)), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, task_shingles: int = TASK_SHINGLES) -> DataFrame:
