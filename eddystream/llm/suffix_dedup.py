@@ -101,12 +101,13 @@ def surroundings(at: np.ndarray, off: np.ndarray, length: int, seed: int) -> tup
 
 
 def anchor_table(docs: DataFrame, length: int) -> DataFrame:
-    """(h, c, row, at) of every anchor: hashes of its seed and of its surroundings, its row's name, its place there."""
+    """(h, c, r1, r2, at) of every anchor: hashes of its seed and of its surroundings, its row's name, its place there."""
     seed = seed_of(length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = textops.raw(b.column("text"))
+            r1, r2 = b.column("r1").to_numpy(), b.column("r2").to_numpy()
             for i, j in textops.pieces(off):
                 part, po = buf[off[i] : off[j]], off[i : j + 1] - off[i]
                 at, h = anchors(part, po, length, seed)
@@ -116,9 +117,9 @@ def anchor_table(docs: DataFrame, length: int) -> DataFrame:
                 c = Hashes(part).of(at - before, at + after)
                 c = textops.mix(c + (before * 4096 + after).astype(np.uint64))
                 where = (at - po[row]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column("row").take(pa.array(i + row)), pa.array(where)], ["h", "c", "row", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(r1[i + row]), pa.array(r2[i + row]), pa.array(where)], ["h", "c", "r1", "r2", "at"])
 
-    return docs.mapInArrow(tidy(find), "h long, c long, row binary, at int")
+    return docs.mapInArrow(tidy(find), "h long, c long, r1 long, r2 long, at int")
 
 
 # ---- deep-shallow sorting ----------------------------------------------------
@@ -283,10 +284,10 @@ def covered(found: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """(row, did, text, m0, m1, ...): row names a row by 128 bits of its id, or of having none, and text; rows of one name are equal and so have equal results."""
+    """(r1, r2, did, text, m0, m1, ...): r1 and r2 name a row by 128 bits of its id, or of having none, and text; rows of one name are equal and so have equal results."""
     id_, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
-    row = F.unhex(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("none")), F.lit(" "), text).cast("binary")))
-    return docs.select(row.alias("row"), id_.alias("did"), text.alias("text"), *(F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(more)))
+    names = [F.xxhash64(F.lit(n), id_.isNull(), id_, text).alias(f"r{n}") for n in (1, 2)]
+    return docs.select(*names, id_.alias("did"), text.alias("text"), *(F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(more)))
 
 
 def contexts(texts: DataFrame, length: int) -> DataFrame:
@@ -388,24 +389,24 @@ def sorted_repeats(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(row, spans): for rows of :func:`_keyed` in which something repeats, arrays of (lo, hi) of covered bytes, overlapping ones included."""
+    """(r1, r2, spans): for rows of :func:`_keyed` in which something repeats, arrays of (lo, hi) of covered bytes, overlapping ones included."""
     seed = seed_of(length)
-    slim = docs.select("row", "text")
+    slim = docs.select("r1", "r2", "did", "text")
     all_ = stored(anchor_table(slim, length), "anchors")
     # stored, as are the sides of other joins below: Spark splits a hot key only where nothing but shuffles lies under a join
     often = stored(all_.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "repeated-seeds")
     some = stored(all_.join(often, "h"), "repeated-anchors")
     dropped(often)
     dropped(all_)
-    classes = stored(some.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("row", "at")).alias("rep")), "surroundings")
+    classes = stored(some.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("r1", "r2", "at")).alias("rep")), "surroundings")
     mixed = stored(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "mixed-seeds")
 
     def around(seeds: DataFrame) -> DataFrame:
         """The different surroundings of ``seeds``, from one row each that has them."""
-        reps = classes.join(seeds, "h").select("rep.row", F.struct("h", "c", (F.col("m") > 1).alias("twice"), F.col("rep.at").alias("at")).alias("r"))
-        by_row = reps.groupBy("row").agg(F.collect_list("r").alias("reps"))
-        # rows of one name are equal: one of them will do
-        return contexts(slim.join(by_row, "row").dropDuplicates(["row"]).select("text", "reps"), length)
+        reps = classes.join(seeds, "h").select("rep.r1", "rep.r2", F.struct("h", "c", (F.col("m") > 1).alias("twice"), F.col("rep.at").alias("at")).alias("r"))
+        by_row = reps.groupBy("r1", "r2").agg(F.collect_list("r").alias("reps"))
+        # rows of one name are equal: one of them will do; with did, so that the texts' shuffle is that of the last join
+        return contexts(slim.join(by_row, ["r1", "r2"]).dropDuplicates(["r1", "r2"]).select("did", "text", "reps"), length)
 
     columns = ("g", "h", "c", "twice", "nb", "na", "around")
     parts = around(mixed.where(F.col("k") <= hot).select("h")).withColumn("g", F.col("h")).select(*columns).repartition("g")
@@ -431,9 +432,9 @@ def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
         marks = marks.unionByName(spans)
     at = F.col("at")
     spans = some.join(marks, ["h", "c"]).select(
-        "row", F.struct(F.greatest(at + F.col("lo"), F.lit(0)).cast("int").alias("lo"), (at + F.col("hi")).cast("int").alias("hi")).alias("s")
+        "r1", "r2", F.struct(F.greatest(at + F.col("lo"), F.lit(0)).cast("int").alias("lo"), (at + F.col("hi")).cast("int").alias("hi")).alias("s")
     )
-    return spans.groupBy("row").agg(F.collect_set("s").alias("spans"))
+    return spans.groupBy("r1", "r2").agg(F.collect_set("s").alias("spans"))
 
 
 def keep(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
@@ -467,7 +468,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, more: tuple[str, ...] = (
     """
     small_batches(docs.sparkSession)
     rows = _keyed(docs, *more)
-    joined = rows.join(removed(rows, length, hot), "row", "left")
+    joined = rows.join(removed(rows, length, hot), ["r1", "r2"], "left")
     carried = [*more]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
