@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from eddystream.session import dropped, scratch, ship, stored  # noqa: F401  the operators take them from here
 
 #: Rows and bytes of one Arrow batch: texts can be long, so rows are few.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+#: glibc's numbers for the size from which memory is mapped by itself, and thus given back once freed, and for the number of arenas.
+M_MMAP_THRESHOLD, M_ARENA_MAX = -3, -8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,7 @@ def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     """``step`` for mapInArrow, after which the worker, which Spark keeps for later tasks, gives its memory back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_little()
         try:
             yield from step(batches)
         finally:
@@ -46,6 +49,15 @@ def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+def keep_little() -> None:
+    """Has this process return large blocks of memory as soon as they are free."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(M_MMAP_THRESHOLD, 1 << 20)
+        libc.mallopt(M_ARENA_MAX, 2)
+
+
 def give_back() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
