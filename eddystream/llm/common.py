@@ -18,8 +18,10 @@ from eddystream.session import dropped, scratch, ship, stored  # noqa: F401  the
 
 #: Rows and bytes of one Arrow batch: texts can be long, so rows are few.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
-#: glibc's numbers for the size from which memory is mapped by itself, and thus given back once freed, and for the number of arenas.
-M_MMAP_THRESHOLD, M_ARENA_MAX = -3, -8
+#: glibc's numbers for the size from which memory is mapped by itself, for what a heap keeps free at its top, and for the number of arenas.
+M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX = -3, -1, -8
+#: Blocks of this size are given back once freed, and of smaller ones twice as much is kept: with less, arrays cost more page faults than work.
+KEPT_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +56,8 @@ def keep_little() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL(None)
-        libc.mallopt(M_MMAP_THRESHOLD, 1 << 20)
+        libc.mallopt(M_MMAP_THRESHOLD, KEPT_BYTES)
+        libc.mallopt(M_TRIM_THRESHOLD, 2 * KEPT_BYTES)
         libc.mallopt(M_ARENA_MAX, 2)
 
 
