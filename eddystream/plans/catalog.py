@@ -203,8 +203,9 @@ def _timer_averages(spark: SparkSession, sf: str) -> DataFrame:
 
 def _copied_out(points: DataFrame, p: DbscanParams) -> DataFrame:
     path = scratch(points.sparkSession, "results")
-    write_results(cluster.dbscan_windows(points, p), path)
-    return points.sparkSession.read.parquet(path).select("window_id", "seq", "pos", "label", "cluster_id")
+    result = cluster.dbscan_windows(points, p)
+    write_results(result, path)
+    return points.sparkSession.read.schema(result.schema).parquet(path).select("window_id", "seq", "pos", "label", "cluster_id")
 
 
 def _damaged(points: DataFrame, p: DbscanParams) -> DataFrame:
