@@ -120,15 +120,28 @@ far AS (
 # ---- the catalogue -----------------------------------------------------------
 
 
+#: Rows of a file of the replayed stream at most, and files at least.
+FILE_ROWS, FILES = 100_000, 4
+
+
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Events replayed as a stream of files through the stateful operator; the sink's table is the result."""
-    points = _points(spark, sf, "3").withColumn("stream_id", F.lit("events"))
+    """Events replayed in their order as a stream of files through the stateful operator; the sink's table is the result.
+
+    The source goes by time of writing: files written side by side would come
+    in any order, and windows would go without the rows of one that comes later
+    than the operator waits. So each is written after the one before it.
+    """
+    points, p = _points(spark, sf, "3").withColumn("stream_id", F.lit("events")), _PARAMS["3"]
     folder = scratch(spark, "stream")
-    points.repartitionByRange(4, "seq").write.parquet(f"{folder}/in")
+    rows = max(1, min(FILE_ROWS, points.count() // FILES))
+    points.withColumn("file", F.floor(F.col("seq") / rows)).repartition("file").write.partitionBy("file").parquet(f"{folder}/parts")
+    parts = spark.read.schema("file long").parquet(f"{folder}/parts").select("file").distinct()
+    for i in sorted(r["file"] for r in parts.collect()):  # a row a file
+        spark.read.schema(points.schema).parquet(f"{folder}/parts/file={i}").coalesce(1).write.parquet(f"{folder}/in/{i:09}")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
     query = (
-        cluster_stream(stream, P3).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        cluster_stream(stream, p).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).outputMode("append").start()
     )
     query.awaitTermination()

@@ -233,6 +233,23 @@ def test_a_stream_that_lacks_rows_goes_on_without_them(spark, stream_points, tmp
     assert rows(got.where("window_id > 2"), *cols) == rows(want, *cols)
 
 
+def test_a_replay_longer_than_the_stream_waits_equals_its_sql(spark, tmp_path, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    from eddystream.plans import catalog
+
+    small = catalog.P3.with_(window=20, stride=5, min_pts=4)
+    monkeypatch.setattr(catalog, "P3", small)
+    monkeypatch.setitem(catalog._PARAMS, "3", small)
+    monkeypatch.setattr(catalog, "FILE_ROWS", 700, raising=False)  # a window waits for 200 rows
+    con = duckdb.connect()
+    con.sql("CREATE VIEW events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + i * INTERVAL 7 MINUTE AS ts, i * 37 % 50 AS user_id, (i * 7919 % 50) / 10.0::DOUBLE AS value FROM range(3999, -1, -1) r(i)")
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    cols = ("window_id", "seq", "pos", "label", "cluster_id")
+    want = sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({catalog._sql('3', catalog._RESULT, comps=True)})").fetchall())
+    assert {r[3] for r in want} == {0, 1, 2} and len(want) == 20 * 796
+    assert rows(catalog.queries()["stream_dbscan"](spark, str(tmp_path)), *cols) == want
+
+
 def test_event_time_windows_come_out_once(spark, tmp_path):
     rng = random.Random(2)
     made = [(i, i * 60 + rng.randint(0, 1800), rng.randint(0, 9) / 2, rng.randint(0, 9) / 2) for i in range(300)]
